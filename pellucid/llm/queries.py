@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate_fm, lang_rank, mixing
+from . import decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, quality_rules, substring_rlz, url_markov
 
 QUERIES = {
+    "op1_html_text": html_mincut.op1_html_text,
+    "op2_lm_score": lm_bloom.op2_lm_score,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_substring_dedup": substring_rlz.op4_substring_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_decontaminate": decontaminate_fm.op7_decontaminate,
     "op8_language": lang_rank.op8_language,
+    "op9_url_filter": url_markov.op9_url_filter,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op4_substring_dedup": substring_rlz.ORACLE,
+    "op5_near_dedup": near_dedup.ORACLE,
     "op7_decontaminate": decontaminate_fm.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
