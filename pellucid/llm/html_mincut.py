@@ -150,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in _RAW:
             close()
         if closing:
             for k in range(len(stack) - 1, 0, -1):

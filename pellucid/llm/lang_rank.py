@@ -176,7 +176,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in flat.steps(batches, "text"):
         lang = batch.column(batch.schema.get_field_index("lang")).to_pylist()
         group = np.array([-1 if x is None else names.setdefault(x, len(names)) for x in lang], np.int64)
-        held.append(counted(batch.column(batch.schema.get_field_index("text")).to_pylist(), group))
+        some = counted(batch.column(batch.schema.get_field_index("text")).to_pylist(), group)
+        if len(some[0]):
+            held.append(some)
         if sum(len(x[0]) for x in held) > HELD:
             held = [merged()]
             if len(held[0][0]) > HELD // 2:
