@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, quality_rules, substring_rlz, url_markov
+from . import decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, pii_bootstrap, quality_rules, substring_rlz, url_markov
 
 QUERIES = {
     "op1_html_text": html_mincut.op1_html_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_substring_dedup": substring_rlz.op4_substring_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_pii": pii_bootstrap.op6_pii,
     "op7_decontaminate": decontaminate_fm.op7_decontaminate,
     "op8_language": lang_rank.op8_language,
     "op9_url_filter": url_markov.op9_url_filter,
