@@ -1,6 +1,453 @@
-"""Every query of the engine by name, and the DuckDB SQL that gives the same rows."""
+"""Every query of the engine by name, and the DuckDB SQL that gives the same rows.
+
+Queries run over whole tables.  Documents stand for files: see
+sources/documents.py, and REC below for the same relation in SQL.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import fingerprint, layout, ordering
+from .functions.vectors import cohesion_description, norm, normalized, similarity
+from .operators import cache, compare, findings, vectors
+from .operators import similarity as sim
+from .plans.analysis import Analysis
+from .plans.report import csv_field, finding_rows
+from .sources.documents import document_records
+from .streaming.watch import changes
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+NATURAL = "list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 6, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END)"
+
+_PATH = """(CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 10 = 7 THEN 'val/' WHEN doc_id % 10 >= 8 THEN 'test/' ELSE 'train/' END)
+  || lang || '/doc' || doc_id || (CASE WHEN doc_id % 7 = 0 THEN ' copy' WHEN doc_id % 11 = 0 THEN ' (1)' ELSE '' END) || '.txt'"""
+
+REC = f"""
+r0 AS MATERIALIZED (SELECT *, {_PATH} AS relative_path,
+  CASE WHEN length(text) = 0 THEN 'empty' WHEN doc_id % 97 = 0 THEN 'unreadable' WHEN doc_id % 89 = 0 THEN 'decode_failed' WHEN n_chars < 20 THEN 'truncated' END AS problem,
+  list_transform(range(72), lambda i: unicode(substr(text, CAST(1 + (i * length(text)) // 72 AS BIGINT), 1))) AS gray,
+  list_transform(range(48), lambda i: unicode(substr(text, CAST(1 + (i * length(text)) // 48 AS BIGINT), 1))) AS rgb
+  FROM documents),
+r1 AS MATERIALIZED (SELECT *, list_sum(list_transform(range(64), lambda k: CASE WHEN gray[(k // 8) * 9 + k % 8 + 1] > gray[(k // 8) * 9 + k % 8 + 2] THEN CAST(1 AS HUGEINT) << CAST(k AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS wide FROM r0),
+rec AS MATERIALIZED (SELECT doc_id, 'file:///data/' || relative_path AS url, relative_path, CAST(strlen(text) AS BIGINT) AS byte_size,
+  CASE WHEN doc_id % 19 <> 0 THEN CAST(1700000000 + doc_id * 3600 % 1000000 AS BIGINT) END AS modified_s,
+  CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'PNG' ELSE 'JPEG' END END AS format,
+  CASE WHEN doc_id % 17 <> 0 THEN n_chars % 640 + 1 END AS width, CASE WHEN doc_id % 17 <> 0 THEN n_chars % 480 + 1 END AS height,
+  sha256(text) AS content_hash,
+  CASE WHEN problem IS NULL THEN CAST(CASE WHEN wide >= CAST(9223372036854775808 AS HUGEINT) THEN wide - CAST(18446744073709551616 AS HUGEINT) ELSE wide END AS BIGINT) END AS bits,
+  CASE WHEN problem IS NULL AND doc_id % 23 <> 0 THEN list_transform(rgb, lambda x: least(x, 255) >> 1) END AS color,
+  problem, lang AS label,
+  CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 10 = 7 THEN 'validation' WHEN doc_id % 10 >= 8 THEN 'test' ELSE 'train' END AS split,
+  {NATURAL.format("relative_path")} AS nat,
+  (doc_id % 7 = 0 OR doc_id % 11 = 0) AS is_copy, len(string_split(relative_path, '/')) AS depth FROM r1)"""
+
+_APART = "bit_count(xor(a.bits, b.bits))"
+_COLORS = "(list_sum(list_transform(list_zip(a.color, b.color), lambda x: abs(CAST(x[1] AS INTEGER) - CAST(x[2] AS INTEGER)))) // 48 <= 12)"
+_KEEPER = "is_copy, depth, nat, relative_path"
+_FIDELITY = "coalesce(width * height, 0) DESC, byte_size DESC, nat, relative_path"
+
+#: Exact groups and representatives in SQL.
+EXACT = f"""
+exm AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY {_KEEPER}) AS member_rank, count(*) OVER (PARTITION BY content_hash) AS n_members FROM rec WHERE problem IS NULL),
+ex AS (SELECT content_hash, 'exact-' || content_hash AS group_id, count(*) AS n_members, sum(CASE WHEN member_rank > 1 THEN byte_size ELSE 0 END) AS reclaimable_bytes, max(CASE WHEN member_rank = 1 THEN relative_path END) AS first_path FROM exm WHERE n_members > 1 GROUP BY content_hash),
+exn AS (SELECT *, row_number() OVER (ORDER BY reclaimable_bytes DESC, {NATURAL.format("first_path")}, first_path) AS number FROM ex),
+rep AS MATERIALIZED (SELECT * FROM exm WHERE member_rank = 1)"""
+
+
+def _components(nodes: str, name: str) -> str:
+    return f"""
+{name}e AS MATERIALIZED (SELECT a.url AS x, b.url AS y FROM {nodes} a JOIN {nodes} b ON a.url <> b.url AND {_APART} <= 8 AND (a.color IS NULL OR b.color IS NULL OR {_COLORS})),
+{name}r AS (SELECT x, x AS y FROM {name}e UNION SELECT x, y FROM {name}e UNION SELECT {name}r.x, {name}e.y FROM {name}r JOIN {name}e ON {name}r.y = {name}e.x),
+{name}c AS (SELECT x AS url, min(y) AS component FROM {name}r GROUP BY x)"""
+
+
+_SPREAD = "(SELECT a.component, max(bit_count(xor(a.bits, b.bits))) AS spread FROM {0} a JOIN {0} b USING (component) GROUP BY 1)"
+NEAR = f"""{_components("rep", "n")},
+nm0 AS MATERIALIZED (SELECT rep.* EXCLUDE (member_rank, n_members), component FROM rep JOIN nc USING (url)),
+nm AS MATERIALIZED (SELECT nm0.*, s.spread, row_number() OVER (PARTITION BY nm0.component ORDER BY {_FIDELITY}) AS member_rank FROM nm0 JOIN {_SPREAD.format("nm0")} s USING (component)),
+ng AS (SELECT component, count(*) AS n_members, max(spread) AS spread, sum(CASE WHEN member_rank > 1 THEN byte_size ELSE 0 END) AS reclaimable_bytes, max(CASE WHEN member_rank = 1 THEN relative_path END) AS first_path FROM nm GROUP BY component),
+ngn AS (SELECT *, 'near-' || first_path AS group_id, row_number() OVER (ORDER BY n_members DESC, {NATURAL.format("first_path")}, first_path) AS number FROM ng)"""
+LEAK = f"""
+sp AS MATERIALIZED (SELECT *, CASE split WHEN 'validation' THEN 1 WHEN 'test' THEN 2 ELSE 0 END AS ordinal FROM rec WHERE problem IS NULL AND split IS NOT NULL),{_components("sp", "l")},
+lm0 AS MATERIALIZED (SELECT sp.*, component FROM sp JOIN lc USING (url) WHERE component IN (SELECT component FROM sp JOIN lc USING (url) GROUP BY 1 HAVING count(DISTINCT split) > 1)),
+lm AS MATERIALIZED (SELECT lm0.*, s.spread, row_number() OVER (PARTITION BY lm0.component ORDER BY ordinal, nat, relative_path) AS member_rank FROM lm0 JOIN {_SPREAD.format("lm0")} s USING (component)),
+lt AS (SELECT component, bool_or(n > 1) AS identical FROM (SELECT component, content_hash, count(DISTINCT split) AS n FROM lm GROUP BY 1, 2) GROUP BY 1),
+ls AS (SELECT component, string_agg(upper(split[1]) || split[2:], ' ↔ ' ORDER BY ordinal) AS splits FROM (SELECT DISTINCT component, split, ordinal FROM lm) GROUP BY 1),
+lg AS (SELECT component, count(*) AS n_members, max(spread) AS spread, sum(CASE WHEN member_rank > 1 THEN byte_size ELSE 0 END) AS reclaimable_bytes, max(CASE WHEN member_rank = 1 THEN relative_path END) AS first_path FROM lm GROUP BY 1),
+lgn AS (SELECT *, 'leak-' || first_path AS group_id, row_number() OVER (ORDER BY identical DESC, spread, {NATURAL.format("first_path")}, first_path) AS number FROM lg JOIN lt USING (component) JOIN ls USING (component))"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def rec_sql(select: str, *more: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{','.join([REC, *more])}\n{select}"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return document_records(spark, d)
+
+
+def _seconds(c: str = "modified_at"):
+    return F.unix_seconds(c)
+
+
+@query("records_projection", rec_sql("SELECT url, relative_path, byte_size, modified_s, format, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, content_hash, problem, label, split FROM rec"))
+def records_projection(spark, d):
+    return records(spark, d).select("url", "relative_path", "byte_size", _seconds().alias("modified_s"), "format", F.col("pixel_size.width").alias("width"), F.col("pixel_size.height").alias("height"), "content_hash", "problem", "label", "split")
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return records(spark, d).select("doc_id", "content_hash")
+
+
+@query("perceptual_hash", rec_sql("SELECT doc_id, CASE WHEN bits IS NOT NULL THEN lower(lpad(to_hex(CASE WHEN bits < 0 THEN CAST(bits AS HUGEINT) + CAST(18446744073709551616 AS HUGEINT) ELSE CAST(bits AS HUGEINT) END), 16, '0')) END AS hash_hex FROM rec"))
+def perceptual_hash(spark, d):
+    return records(spark, d).select("doc_id", fingerprint.hex_bits(F.col("perceptual_hash")).alias("hash_hex"))
+
+
+@query("color_signature", rec_sql("SELECT doc_id, array_to_string(color, ',') AS samples FROM rec"))
+def color_signature(spark, d):
+    return records(spark, d).select("doc_id", F.when(F.col("color_signature").isNotNull(), F.array_join(F.transform("color_signature", lambda x: x.cast("string")), ",")).alias("samples"))
+
+
+_VARIANT = "CASE doc_id % 6 WHEN 0 THEN 'train/' || lang || '/x.png' WHEN 1 THEN lang || '/x.png' WHEN 2 THEN 'Training/test/' || lang || '/deep/x.png' WHEN 3 THEN 'holdout/x.png' WHEN 4 THEN 'x.png' ELSE 'dev/train/x.png' END"
+
+
+@query("layout_attributes", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN lang WHEN 1 THEN lang WHEN 2 THEN 'deep' WHEN 5 THEN 'train' END AS label, CASE doc_id % 6 WHEN 0 THEN 'train' WHEN 2 THEN 'train' WHEN 3 THEN 'test' WHEN 5 THEN 'validation' END AS split FROM documents")
+def layout_attributes(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_VARIANT).alias("path"))
+    a = layout.attributes(F.col("path"))
+    return docs.select("doc_id", a.label.alias("label"), a.split.alias("split"))
+
+
+_FOLDERS = [("train", "train"), ("Training", "train"), ("trainval", "train"), ("val", "validation"), ("VALID", "validation"), ("validation", "validation"), ("dev", "validation"), ("test", "test"), ("testing", "test"), ("Eval", "test"), ("holdout", "test"), ("tests", None), ("cats", None), ("", None)]
+
+
+@query("split_matching", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _FOLDERS) + ") AS t(folder, split)")
+def split_matching(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in _FOLDERS], "folder string").select("folder", layout.split_of(F.col("folder")).alias("split"))
+
+
+@query("copy_name_flag", rec_sql("SELECT doc_id, regexp_extract(relative_path, '[^/]*$') AS file_name, is_copy FROM rec"))
+def copy_name_flag(spark, d):
+    name = layout.file_name(F.col("relative_path"))
+    return records(spark, d).select("doc_id", name.alias("file_name"), layout.looks_like_copy(name).alias("is_copy"))
+
+
+@query("usable_records", rec_sql("SELECT url FROM rec WHERE problem IS NULL"))
+def usable_records(spark, d):
+    return findings.usable(records(spark, d)).select("url")
+
+
+_SUMMARIES = "CASE problem WHEN 'unreadable' THEN 'Unreadable, not recognized as an image' WHEN 'truncated' THEN 'Truncated, pixel data is incomplete' WHEN 'decode_failed' THEN 'Corrupt: the header parsed but decoding failed' WHEN 'empty' THEN 'Empty, the file contains no data' END"
+
+
+@query("problem_records", rec_sql(f"SELECT url, problem, {_SUMMARIES} AS summary FROM rec WHERE problem IS NOT NULL"))
+def problem_records(spark, d):
+    return findings.problem_records(records(spark, d)).select("url", "problem", findings.problem_summary(F.col("problem")).alias("summary"))
+
+
+@query("path_filter", rec_sql("SELECT url FROM rec WHERE contains(strip_accents(lower(relative_path)), 'fr/doc1')"))
+def path_filter(spark, d):
+    return records(spark, d).where(ordering.matches_text(F.col("relative_path"), " FR/dôc1 ")).select("url")
+
+
+@query("natural_path_rank", rec_sql("SELECT url, row_number() OVER (ORDER BY nat, relative_path) AS place FROM rec"))
+def natural_path_rank(spark, d):
+    p = F.col("relative_path")
+    return records(spark, d).select("url", F.row_number().over(Window.orderBy(ordering.natural_key(p), p)).cast("long").alias("place"))
+
+
+def _sorted_query(name: str, key: str, ascending: bool, value: str) -> None:
+    way = "ASC" if ascending else "DESC"
+    tie = "nat, relative_path" if ascending else f"CASE WHEN {value} IS NULL THEN nat END, CASE WHEN {value} IS NOT NULL THEN nat END DESC, CASE WHEN {value} IS NULL THEN relative_path END, relative_path DESC"
+
+    @query(name, rec_sql(f"SELECT url, row_number() OVER (ORDER BY {value} {way} NULLS LAST, {tie}) AS place FROM rec"))
+    def run(spark, d):
+        k = ordering.record_keys()[key]
+        return records(spark, d).select("url", F.row_number().over(Window.orderBy(*k.order(F.col("relative_path"), ascending))).cast("long").alias("place"))
+
+
+for _name, _value in (("size", "byte_size"), ("dimensions", "width * height"), ("modified", "modified_s")):
+    _sorted_query(f"sort_by_{_name}_ascending", _name, True, _value)
+    _sorted_query(f"sort_by_{_name}_descending", _name, False, _value)
+
+
+@query("exact_groups", rec_sql("SELECT group_id, n_members, CAST(reclaimable_bytes AS BIGINT) AS reclaimable_bytes, first_path, number FROM exn", EXACT))
+def exact_groups(spark, d):
+    return findings.exact_groups(records(spark, d)).select("group_id", "n_members", "reclaimable_bytes", "first_path", F.col("number").cast("long").alias("number"))
+
+
+@query("exact_members", rec_sql("SELECT group_id, url, member_rank FROM exm JOIN ex USING (content_hash)", EXACT))
+def exact_members(spark, d):
+    return findings.exact_members(records(spark, d)).select("group_id", "url", F.col("member_rank").cast("long").alias("member_rank"))
+
+
+@query("representatives", rec_sql("SELECT url FROM rep", EXACT))
+def representatives(spark, d):
+    return findings.representatives(findings.usable(records(spark, d))).select("url")
+
+
+@query("near_pairs", rec_sql(f"SELECT a.url AS a, b.url AS b, CAST({_APART} AS INTEGER) AS bits_apart FROM rep a JOIN rep b ON a.url < b.url AND {_APART} <= 8 AND (a.color IS NULL OR b.color IS NULL OR {_COLORS})", EXACT))
+def near_pairs(spark, d):
+    f = findings.fingerprints(findings.representatives(findings.usable(records(spark, d))))
+    return sim.pairs(f, f, ordered=True)
+
+
+@query("near_pairs_banded", rec_sql(f"SELECT a.url AS a, b.url AS b, CAST({_APART} AS INTEGER) AS bits_apart FROM rep a JOIN rep b ON a.url < b.url AND {_APART} <= 12 AND (a.color IS NULL OR b.color IS NULL OR {_COLORS})", EXACT))
+def near_pairs_banded(spark, d):
+    f = findings.fingerprints(findings.representatives(findings.usable(records(spark, d))))
+    return sim.pairs(f, f, threshold=12, ordered=True, plan="bands")
+
+
+@query("color_distance_pairs", rec_sql("SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.color IS NULL OR b.color IS NULL THEN 255 ELSE CAST(list_sum(list_transform(list_zip(a.color, b.color), lambda x: abs(CAST(x[1] AS INTEGER) - CAST(x[2] AS INTEGER)))) // 48 AS INTEGER) END AS distance FROM rec a JOIN rec b ON b.doc_id = a.doc_id + 1"))
+def color_distance_pairs(spark, d):
+    r = records(spark, d).select("doc_id", "color_signature")
+    a, b = r.alias("a"), r.alias("b")
+    return a.join(b, F.col("b.doc_id") == F.col("a.doc_id") + 1).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.coalesce(fingerprint.color_distance(F.col("a.color_signature"), F.col("b.color_signature")), F.lit(255)).alias("distance"))
+
+
+@query("near_groups", rec_sql("SELECT group_id, n_members, CAST(reclaimable_bytes AS BIGINT) AS reclaimable_bytes, first_path, CAST(spread AS INTEGER) AS spread, number FROM ngn", EXACT, NEAR, recursive=True))
+def near_groups(spark, d):
+    return findings.near_groups(records(spark, d))[0].select("group_id", "n_members", "reclaimable_bytes", "first_path", "spread", F.col("number").cast("long").alias("number"))
+
+
+@query("near_members", rec_sql("SELECT group_id, url, member_rank FROM nm JOIN ngn USING (component)", EXACT, NEAR, recursive=True))
+def near_members(spark, d):
+    return findings.near_groups(records(spark, d))[1].select("group_id", "url", F.col("member_rank").cast("long").alias("member_rank"))
+
+
+@query("leakage_groups", rec_sql("SELECT group_id, n_members, first_path, splits, CAST(spread AS INTEGER) AS spread, identical, number FROM lgn", LEAK, recursive=True))
+def leakage_groups(spark, d):
+    return findings.leakage_groups(records(spark, d))[0].select("group_id", "n_members", "first_path", "splits", "spread", "identical", F.col("number").cast("long").alias("number"))
+
+
+@query("leakage_members", rec_sql("SELECT group_id, url, split, member_rank FROM lm JOIN lgn USING (component)", LEAK, recursive=True))
+def leakage_members(spark, d):
+    return findings.leakage_groups(records(spark, d))[1].select("group_id", "url", "split", F.col("member_rank").cast("long").alias("member_rank"))
+
+
+@query("leakage_by_split", rec_sql("SELECT group_id, split, count(*) AS n FROM lm JOIN lgn USING (component) GROUP BY 1, 2", LEAK, recursive=True))
+def leakage_by_split(spark, d):
+    return findings.leakage_by_split(findings.leakage_groups(records(spark, d))[1])
+
+
+def _tally_sql(column: str, unknown: str, where: str = "") -> str:
+    return rec_sql(f"SELECT name, n, row_number() OVER (ORDER BY n DESC, {NATURAL.format('name')}, name) AS place FROM (SELECT coalesce({column}, '{unknown}') AS name, count(*) AS n FROM rec {where} GROUP BY 1)")
+
+
+@query("format_tally", _tally_sql("format", "Unknown"))
+def format_tally(spark, d):
+    return findings.format_tally(records(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("label_tally", _tally_sql("label", "Unlabeled", "WHERE label IS NOT NULL"))
+def label_tally(spark, d):
+    return findings.label_tally(records(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("split_tally", _tally_sql("upper(split[1]) || split[2:]", "Unsplit"))
+def split_tally(spark, d):
+    return findings.split_tally(records(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+_HEALTH = """SELECT t.*, x.*, l.n_labels, round(l.most * 1.0 / l.least, 6) AS label_imbalance, l.n_labels >= 2 AS has_labels, (SELECT count(DISTINCT coalesce(split, '')) FROM rec) >= 2 AS has_splits, l.most >= 3 * l.least AS imbalance_concerning
+FROM (SELECT count(*) AS n_images, CAST(sum(byte_size) AS BIGINT) AS n_bytes, count(problem) AS n_problems, count(*) FILTER (label IS NULL) AS n_unlabelled FROM rec) t,
+ (SELECT count(*) AS n_exact_groups, CAST(sum(n_members - 1) AS BIGINT) AS n_redundant, CAST(sum(reclaimable_bytes) AS BIGINT) AS reclaimable_bytes FROM ex) x,
+ (SELECT count(*) AS n_labels, max(n) AS most, min(n) AS least FROM (SELECT label, count(*) AS n FROM rec WHERE label IS NOT NULL GROUP BY 1)) l"""
+
+
+@query("health_report", rec_sql(_HEALTH, EXACT))
+def health_report(spark, d):
+    return findings.health(records(spark, d)).withColumn("label_imbalance", F.round("label_imbalance", 6))
+
+
+@query("health_counts", rec_sql("SELECT (SELECT count(*) FROM nm) AS n_near_images, (SELECT count(*) FROM lgn) AS n_leaks", EXACT, NEAR, LEAK, recursive=True))
+def health_counts(spark, d):
+    return Analysis.make(records(spark, d)).health.select("n_near_images", "n_leaks")
+
+
+_REASONS = "SELECT url, 0 AS k, " + _SUMMARIES + " AS reason FROM rec WHERE problem IS NOT NULL UNION ALL SELECT url, 1, 'Exact duplicate' FROM exm WHERE n_members > 1 UNION ALL SELECT url, 2, 'Near duplicate' FROM nm UNION ALL SELECT url, 3, 'Split leakage' FROM lm"
+
+
+@query("findings_per_file", rec_sql(f"SELECT url, string_agg(reason, '; ' ORDER BY k) AS findings FROM ({_REASONS}) GROUP BY url", EXACT, NEAR, LEAK, recursive=True))
+def findings_per_file(spark, d):
+    return Analysis.make(records(spark, d)).findings_per_file.select("url", F.array_join("findings", "; ").alias("findings"))
+
+
+_CSV = f"""SELECT finding, file, "group", detail FROM (
+SELECT 'Won''t open' AS finding, relative_path AS file, '' AS "group", {_SUMMARIES} AS detail FROM rec WHERE problem IS NOT NULL
+UNION ALL SELECT 'Exact duplicate', relative_path, 'exact-' || number, CASE WHEN member_rank = 1 THEN 'keeping' ELSE 'redundant copy' END FROM exm JOIN exn USING (content_hash)
+UNION ALL SELECT 'Near duplicate', relative_path, 'near-' || number, (CASE WHEN member_rank = 1 THEN 'keeping' ELSE 'similar copy' END) || ', differs by ' || nm.spread || ' of 64 bits' FROM nm JOIN ngn USING (component)
+UNION ALL SELECT 'Split leakage', relative_path, 'leak-' || number, splits || ', ' || CASE WHEN identical THEN 'identical copy' ELSE 'similar copy' END FROM lm JOIN lgn USING (component))"""
+
+
+@query("findings_csv_rows", rec_sql(_CSV, EXACT, NEAR, LEAK, recursive=True))
+def findings_csv_rows(spark, d):
+    return finding_rows(Analysis.make(records(spark, d))).select("finding", "file", "group", "detail")
+
+
+@query("csv_quoting", """SELECT doc_id, CASE WHEN regexp_matches(text, '[,"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""")
+def csv_quoting(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", csv_field(F.col("text")).alias("field"))
+
+
+@query("keeper_override", rec_sql("SELECT group_id, CAST(sum(CASE WHEN member_rank = n_members THEN 0 ELSE byte_size END) AS BIGINT) AS redundant_bytes FROM (SELECT exm.*, ex.group_id FROM exm JOIN ex USING (content_hash)) GROUP BY group_id", EXACT))
+def keeper_override(spark, d):
+    members = findings.exact_members(records(spark, d))
+    chosen = members.where("member_rank = n_members").select("group_id", F.col("url").alias("keeper"))
+    return findings.redundant_bytes(findings.chosen_keepers(members, chosen))
+
+
+@query("keepers_reconciled", rec_sql("SELECT group_id, url AS keeper FROM exm JOIN ex USING (content_hash) WHERE member_rank = 2 AND NOT is_copy", EXACT))
+def keepers_reconciled(spark, d):
+    members = findings.exact_members(records(spark, d))
+    second = members.where("member_rank = 2")
+    gone = second.where(layout.looks_like_copy(layout.file_name(F.col("relative_path"))))
+    kept = members.join(gone.select("url"), "url", "left_anti")
+    return findings.reconciled_keepers(second.select("group_id", F.col("url").alias("keeper")), kept)
+
+
+@query("remove_then_reanalyse", rec_sql("SELECT group_id, n_members FROM (SELECT 'exact-' || content_hash AS group_id, count(*) AS n_members FROM rec WHERE problem IS NULL AND doc_id % 3 <> 0 GROUP BY 1) WHERE n_members > 1"))
+def remove_then_reanalyse(spark, d):
+    r = records(spark, d)
+    return Analysis.make(r).removing(r.where("doc_id % 3 = 0").select("url")).exact_groups.select("group_id", "n_members")
+
+
+_COMPARED = f"""
+lib AS (SELECT * FROM rec WHERE doc_id % 5 <> 0 AND problem IS NULL), cand AS (SELECT * FROM rec WHERE doc_id % 5 = 0),
+fx AS (SELECT c.url AS candidate, l.url AS m, l.nat, l.relative_path FROM cand c JOIN lib l USING (content_hash) WHERE c.problem IS NULL),
+fn AS (SELECT a.url AS candidate, b.url AS m, b.nat, b.relative_path FROM cand a JOIN lib b ON {_APART} <= 8 AND {_COLORS} WHERE a.problem IS NULL AND a.url NOT IN (SELECT candidate FROM fx)),
+cmp AS (SELECT url AS candidate, CASE WHEN problem IS NOT NULL THEN 'unreadable' WHEN url IN (SELECT candidate FROM fx) THEN 'exact' WHEN url IN (SELECT candidate FROM fn) THEN 'near' ELSE 'new' END AS kind FROM cand)"""
+
+
+def _compared(spark, d):
+    r = records(spark, d)
+    return compare.compare(r.where("doc_id % 5 <> 0"), r.where("doc_id % 5 = 0"))
+
+
+@query("compare_classify", rec_sql("SELECT cmp.candidate, kind, coalesce((SELECT string_agg(m, ';' ORDER BY nat, relative_path) FROM (SELECT * FROM fx UNION ALL SELECT * FROM fn) f WHERE f.candidate = cmp.candidate), '') AS matches FROM cmp", _COMPARED))
+def compare_classify(spark, d):
+    return _compared(spark, d).select("candidate", "kind", F.array_join("matches", ";").alias("matches"))
+
+
+@query("compare_kind_counts", rec_sql("SELECT k.kind, count(cmp.candidate) AS n FROM (VALUES ('unreadable'), ('exact'), ('near'), ('new')) k(kind) LEFT JOIN cmp USING (kind) GROUP BY 1", _COMPARED))
+def compare_kind_counts(spark, d):
+    return compare.kind_counts(_compared(spark, d))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("path"), "embedding", F.concat(F.lit("class"), F.col("label").cast("string")).alias("label"))
+
+
+_VEC = "v AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS path, CAST(embedding AS DOUBLE[]) AS e, 'class' || label AS label FROM embeddings)"
+
+
+@query("vector_norms", f"WITH {_VEC} SELECT path, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS norm FROM v")
+def vector_norms(spark, d):
+    return _vectors(spark, d).select("path", F.round(norm(F.col("embedding")), 5).alias("norm"))
+
+
+@query("width_vote", "SELECT len(embedding) AS width, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n DESC, width DESC LIMIT 1")
+def width_vote(spark, d):
+    return vectors.majority_width(_vectors(spark, d)).groupBy(F.size("embedding").cast("long").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("nearest_top60", f"WITH {_VEC} SELECT path, round(list_dot_product(e, [CAST(CASE WHEN i = 3 THEN 0.6 WHEN i = 7 THEN 0.8 ELSE 0 END AS FLOAT)::DOUBLE FOR i IN range(64)]), 4) AS similarity FROM v ORDER BY list_dot_product(e, [CAST(CASE WHEN i = 3 THEN 0.6 WHEN i = 7 THEN 0.8 ELSE 0 END AS FLOAT)::DOUBLE FOR i IN range(64)]) DESC, path LIMIT 60")
+def nearest_top60(spark, d):
+    q = [0.0] * 64
+    q[3], q[7] = 0.6, 0.8
+    return vectors.nearest(_vectors(spark, d), q, 60).select("path", F.round("similarity", 4).alias("similarity"))
+
+
+@query("similar_to_vector", f"WITH {_VEC} SELECT b.path, round(list_dot_product(a.e, b.e), 4) AS similarity FROM v a, v b WHERE a.path = 'v00000000' AND b.path <> a.path ORDER BY list_dot_product(a.e, b.e) DESC, b.path LIMIT 60")
+def similar_to_vector(spark, d):
+    return vectors.similar_to(_vectors(spark, d), "v00000000").select("path", F.round("similarity", 4).alias("similarity"))
+
+
+_CENTRES = """u AS (SELECT label, i, sum(e[i]) AS x, count(*) AS n FROM (SELECT label, e, unnest(range(1, 65)) AS i FROM v) GROUP BY 1, 2),
+w AS (SELECT label, max(n) AS n, sqrt(sum(x * x)) AS size FROM u GROUP BY 1 HAVING max(n) >= 4),
+c AS (SELECT label, w.n, list(x / size ORDER BY i) AS centre FROM u JOIN w USING (label) GROUP BY 1, 2)"""
+
+
+@query("label_centres", f"WITH {_VEC}, {_CENTRES} SELECT label, n, round(centre[1], 4) AS c1, round(centre[64], 4) AS c64 FROM c")
+def label_centres(spark, d):
+    v = _vectors(spark, d)
+    return vectors.label_centres(v, v.select("path", "label")).select("label", "n", F.round(F.get("centre", 0), 4).alias("c1"), F.round(F.get("centre", 63), 4).alias("c64"))
+
+
+@query("label_check", f"WITH {_VEC}, {_CENTRES}, s AS (SELECT v.path, v.label AS current_label, c.label, list_dot_product(v.e, c.centre) AS s FROM v, c), o AS (SELECT path, s AS own FROM s WHERE label = current_label), b AS (SELECT path, current_label, label AS suggested_label, s, row_number() OVER (PARTITION BY path ORDER BY s DESC, label) AS k FROM s WHERE label <> current_label) SELECT path, current_label, suggested_label, round(s - own, 4) AS margin FROM b JOIN o USING (path) WHERE k = 1 AND s > own AND s - own >= 0.02")
+def label_check(spark, d):
+    v = _vectors(spark, d)
+    return vectors.label_suggestions(v.select("path", "embedding"), v.select("path", "label")).select("path", "current_label", "suggested_label", F.round("margin", 4).alias("margin"))
+
+
+@query("kmeans_clusters")
+def kmeans_clusters(spark, d):
+    return vectors.cluster(_vectors(spark, d).select("path", "embedding")).select("path", "cluster_id", "member_rank", F.round("score", 4).alias("score"))
+
+
+@query("cluster_cohesion")
+def cluster_cohesion(spark, d):
+    rows = vectors.cluster(_vectors(spark, d).select("path", "embedding")).where("member_rank = 1")
+    return rows.select("cluster_id", "n_members", F.round("cohesion", 4).alias("cohesion"), cohesion_description(F.col("cohesion")).alias("quality"))
+
+
+@query("pairwise_top1", f"WITH {_VEC}, p AS (SELECT a.path, b.path AS other, round(list_dot_product(a.e, b.e), 4) AS s FROM v a JOIN v b ON a.path <> b.path WHERE CAST(a.path[2:] AS BIGINT) % 20 = 0) SELECT path, max(s) AS similarity FROM p GROUP BY path")
+def pairwise_top1(spark, d):
+    """The best other vector of every twentieth, against all: a stated query set, sent in blocks."""
+    v = _vectors(spark, d).select("path", normalized(F.col("embedding")).alias("embedding"))
+    q = v.where(F.substring("path", 2, 8).cast("long") % 20 == 0)
+    pair = F.round(similarity(F.col("q.embedding"), F.col("v.embedding")), 4)
+    return v.alias("v").join(q.alias("q").hint("broadcast"), F.col("q.path") != F.col("v.path")).groupBy(F.col("q.path").alias("path")).agg(F.max(pair).alias("similarity"))
+
+
+def _cache_rows(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    return e.select(F.concat(F.lit("h"), (F.col("vec_id") % 200).cast("string")).alias("content_hash"), "embedding", F.col("vec_id").alias("seq"), F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("provider"))
+
+
+_CACHE = "k AS (SELECT 'h' || vec_id % 200 AS content_hash, vec_id AS seq, CASE WHEN vec_id % 3 = 0 THEN 'a' ELSE 'b' END AS provider FROM embeddings)"
+
+
+@query("cache_latest_wins", f"WITH {_CACHE} SELECT provider, content_hash, max(seq) AS seq FROM k GROUP BY 1, 2")
+def cache_latest_wins(spark, d):
+    return cache.latest(_cache_rows(spark, d)).select("provider", "content_hash", "seq")
+
+
+@query("cache_compacted", f"WITH {_CACHE}, m AS (SELECT provider, content_hash, max(seq) AS seq FROM k GROUP BY 1, 2) SELECT provider, content_hash, seq FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY seq DESC) AS n FROM m) WHERE n <= 50")
+def cache_compacted(spark, d):
+    return cache.compacted(_cache_rows(spark, d), 50).select("provider", "content_hash", "seq")
+
+
+@query("cache_state", f"WITH {_CACHE} SELECT provider, count(*) AS n_records, count(DISTINCT content_hash) AS n_entries, count(*) > 2 * count(DISTINCT content_hash) OR count(DISTINCT content_hash) > 100000 AS compact FROM k GROUP BY 1")
+def cache_state(spark, d):
+    return cache.needs_compaction(_cache_rows(spark, d))
+
+
+@query("cache_pending", rec_sql("SELECT url FROM rec WHERE doc_id % 4 = 0 AND content_hash NOT IN (SELECT content_hash FROM rec WHERE doc_id % 4 = 1)"))
+def cache_pending(spark, d):
+    r = records(spark, d)
+    rows = r.where("doc_id % 4 = 1").select("content_hash", F.array().cast("array<float>").alias("embedding"), F.col("doc_id").alias("seq"), F.lit("p").alias("provider"))
+    return cache.pending(r.where("doc_id % 4 = 0"), rows, "p").select("url")
+
+
+@query("snapshot_changes", "SELECT 'e' || event_id AS url, CASE WHEN event_id % 7 = 0 THEN 'removed' WHEN event_id % 11 = 0 THEN 'added' ELSE 'replaced' END AS change FROM events WHERE event_id % 7 = 0 AND event_id % 11 <> 0 OR event_id % 11 = 0 AND event_id % 7 <> 0 OR event_id % 13 = 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0")
+def snapshot_changes(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("url"), "event_id", F.col("user_id").alias("byte_size"), F.col("ts").alias("modified_at"))
+    before = e.where("event_id % 11 <> 0")
+    after = e.where("event_id % 7 <> 0").withColumn("byte_size", F.col("byte_size") + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0))
+    return changes(before, after)
