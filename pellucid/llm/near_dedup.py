@@ -176,8 +176,27 @@ def _forest(n: int, near) -> list[tuple[int, int]]:
 EDGE = "a long, b long"
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of some edges as stars: (least node, other node), one edge fewer than nodes."""
+    node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(node)))
+    return node[label[other]], node[other]
+
+
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    a, b = stars(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -207,8 +226,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((rep[f + e[:, 0]], rep[f + e[:, 1]]))
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
     if len(a):
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        yield _edges(pair[:, 0], pair[:, 1])
+        yield _edges(a, b)
 
 
 def _cells(shingle: int):
@@ -272,11 +290,14 @@ def _links(per_cent: int):
         once = np.concatenate([[True], (cell[1:] != cell[:-1]) | (rep[1:] != rep[:-1])])  # a repeated row counts once
         order, cell, rep = order[once], cell[once], rep[once]
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        out = []
         for f, e in zip(first, [*first[1:], len(cell)], strict=True):
             found = linked_forest([np.frombuffer(raw[int(k)].as_py(), flat.U64) for k in order[f:e]], per_cent)
             if found:
                 x = np.array(found)
-                yield _edges(rep[f + x[:, 0]], rep[f + x[:, 1]])
+                out.append((rep[f + x[:, 0]], rep[f + x[:, 1]]))
+        if out:
+            yield _edges(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return run
 
@@ -284,18 +305,17 @@ def _links(per_cent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, from edges (a, b); alternating large and small stars."""
     e = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
-    seen = None
     while True:
+        # done when every node hangs from one other, and that from none
+        twice = e.groupBy("x").count().where("count > 1")
+        if twice.isEmpty() and e.select("y").distinct().join(e.select(F.col("x").alias("y")), "y", "left_semi").isEmpty():
+            return e.select(F.col("x").alias("node"), F.col("y").alias("label"))
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.withColumnRenamed("m", "y"))
         e = cut(small.where("x <> y").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
-        if now == seen:
-            return e.select(F.col("x").alias("node"), F.col("y").alias("label"))
-        seen = now
 
 
 def groups(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) -> DataFrame:
