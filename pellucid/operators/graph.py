@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         if twice.isEmpty() and stars.select("y").distinct().join(stars.select(F.col("x").alias("y")), "y", "left_semi").isEmpty():
             break
         both = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m"))
+        # kept apart, so that the join shuffles both sides and the rows of a hub can be split among tasks
+        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m")))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.withColumnRenamed("m", "y"))
