@@ -98,9 +98,9 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role"):
                 words = {w.lower() for w in _NAMES.findall(value)}
-                if tag not in ("html", "body"):
+                if tag not in ("html", "body"):  # their names are about the page as a whole
                     n.boiler_name |= bool(words & _BOILER_NAMES)
-                n.content |= bool(words & _CONTENT_NAMES)
+                    n.content |= bool(words & _CONTENT_NAMES)
                 n.article |= name == "role" and bool(words & {"article", "main"})
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 n.hidden = True
