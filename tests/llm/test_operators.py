@@ -124,13 +124,13 @@ def brute_base(texts, held):
     return n, [(len(t), sum(c[x] > 0 for x in t), sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)) for t in tokens]
 
 
-@pytest.mark.parametrize("most", [10**7, 0])
+@pytest.mark.parametrize("most", [10**7, 60, 0])
 def test_lm_base_is_exact(docs, texts, most):
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     d = docs.select("doc_id", "text", lm_bloom.held_out(docs["doc_id"]).alias("held_out"))
     model, sums = lm_bloom.learn(d.where("not held_out"), max_vocabulary=most)
     total, want = brute_base(texts, held)
-    assert model.total == total and (model.vocabulary is None) == (most == 0)
+    assert model.total == total and (model.least == 1) == (most == 10**7) and len(model.vocabulary[0]) <= most
     got = {r["doc_id"]: r for r in lm_bloom.scored(d, model, sums).collect()}
     assert len(got) == len(texts)
     for i, (n, known, base) in enumerate(want):
