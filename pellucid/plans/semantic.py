@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cache, vectors
 from ..operators.findings import representatives, usable
+from ..runtime import ship
 
 
 class EmbeddingProvider(ABC):
@@ -75,6 +76,7 @@ def embedded(records: DataFrame, provider: EmbeddingProvider) -> DataFrame:
                 out = pd.DataFrame({"content_hash": part["content_hash"].tolist(), "embedding": got})
                 yield out[out["embedding"].notna()]
 
+    ship(records.sparkSession)
     return records.select("url", "content_hash").mapInPandas(run, "content_hash string, embedding array<float>")
 
 

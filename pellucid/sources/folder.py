@@ -22,6 +22,7 @@ from ..functions.completeness import HEAD, TAIL, box_walk, completeness, format_
 from ..functions.fingerprint import COLUMNS, ROWS, difference_hash
 from ..functions.layout import attributes, relative_to
 from ..functions.ordering import natural_key
+from ..runtime import ship
 from ..schema import EXTENSIONS, RECORD
 
 CHUNK = 1 << 20
@@ -179,6 +180,7 @@ def classified(facts: DataFrame, pixels: DataFrame, root: str) -> DataFrame:
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """The records of a folder in natural path order; NotADirectoryError if it's none."""
+    ship(spark)
     found = discover(spark, root)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)

@@ -92,10 +92,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     alone = {a for a, b in edges if a == b}
-    assert got == {x: find(x) for x in root if x in got} and set(root) - set(got) <= alone
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for one_task in (0, 1000):
+        got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+        assert got == {x: find(x) for x in root if x in got} and set(root) - set(got) <= alone
+        assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 def test_health_and_tallies(small):
