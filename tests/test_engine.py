@@ -193,6 +193,8 @@ def test_clusters(spark):
     x = np.repeat(np.eye(8)[:3], 6, 0) + rng.normal(0, 0.03, (18, 8))
     rows = [(f"p{k:02d}", v) for k, v in enumerate(x)]
     got = vectors.cluster(embeddings(spark, rows), 3).collect()
+    far = vectors.cluster(embeddings(spark, rows), 3, one_task=0).collect()
+    assert sorted((r["path"], r["cluster_id"], r["member_rank"]) for r in got) == sorted((r["path"], r["cluster_id"], r["member_rank"]) for r in far)
     assert sorted({(r["cluster_id"], r["n_members"]) for r in got}) == [(0, 6), (1, 6), (2, 6)]
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     want = plain_kmeans(x, 3)
