@@ -2,9 +2,11 @@
 
 Two plans give the same pairs.  While the smaller side is at most
 BROADCAST_ROWS, it is broadcast and every pair is tested in generated code.
-Beyond that, 64 bits are cut into threshold + 1 bands: two hashes within the
-threshold agree on at least one, so an equi-join on bands loses nothing, and a
-pair is kept only in the first band it shares, so none comes twice.
+Beyond that, 64 bits are cut into threshold // 2 + 1 bands: two hashes within the
+threshold differ by at most one bit in at least one of them, so an equi-join of one
+side's bands, each as it is and with every bit flipped, with the other's loses
+nothing; a pair is kept only in the first such band, so none comes twice.  Few wide
+bands leave far fewer candidates than many narrow ones that must agree.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ BROADCAST_ROWS = 5_000
 
 
 def bands(threshold: int) -> list[tuple[int, int]]:
-    """(shift, width) of threshold + 1 bands that cover 64 bits."""
-    n = threshold + 1
+    """(shift, width) of threshold // 2 + 1 bands that cover 64 bits."""
+    n = threshold // 2 + 1
     width = [64 // n + (k < 64 % n) for k in range(n)]
     return [(sum(width[:k]), w) for k, w in enumerate(width)]
 
@@ -59,16 +61,21 @@ def pairs(left: DataFrame, right: DataFrame, threshold: int = BITS, color: int =
         return left.alias("l").join(F.broadcast(right.alias("r")), alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart)
     cuts = bands(threshold)
 
-    def keyed(df: DataFrame) -> DataFrame:
-        every = F.array(*(F.struct(F.lit(k).alias("k"), band(F.col("bits"), *c).alias("v")) for k, c in enumerate(cuts)))
-        return df.select("id", "bits", "color", F.explode(every).alias("band")).select("id", "bits", "color", F.col("band.k").alias("k"), F.col("band.v").alias("v"))
+    def keyed(df: DataFrame, flips: bool) -> DataFrame:
+        every = []
+        for k, (shift, width) in enumerate(cuts):
+            v = band(F.col("bits"), shift, width)
+            every.append(F.struct(F.lit(k).alias("k"), v.alias("v")))
+            if flips:
+                every += [F.struct(F.lit(k).alias("k"), v.bitwiseXOR(F.lit(1 << j if j < 63 else -(1 << 63)).cast("long")).alias("v")) for j in range(width)]
+        return df.select("id", "bits", "color", F.inline(F.array(*every)))
 
     x = F.col("l.bits").bitwiseXOR(F.col("r.bits"))
     first = F.lit(len(cuts))
     for k in range(len(cuts) - 1, -1, -1):
-        first = F.when(band(x, *cuts[k]) == 0, F.lit(k)).otherwise(first)
+        first = F.when(F.bit_count(band(x, *cuts[k])) <= 1, F.lit(k)).otherwise(first)
     same = (F.col("l.k") == F.col("r.k")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.k") == first)
-    return keyed(left).alias("l").join(keyed(right).alias("r"), same & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart)
+    return keyed(left, True).alias("l").join(keyed(right, False).alias("r"), same & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart)
 
 
 def clusters(rows: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> DataFrame:
