@@ -14,6 +14,7 @@ from ..runtime import ship as ship
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

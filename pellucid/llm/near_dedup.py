@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import flat
 from .common import cut, parts, ship, table
 
@@ -302,22 +303,6 @@ def _links(per_cent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, from edges (a, b); alternating large and small stars."""
-    e = cut(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
-    while True:
-        # done when every node hangs from one other, and that from none
-        twice = e.groupBy("x").count().where("count > 1")
-        if twice.isEmpty() and e.select("y").distinct().join(e.select(F.col("x").alias("y")), "y", "left_semi").isEmpty():
-            return e.select(F.col("x").alias("node"), F.col("y").alias("label"))
-        both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("m", "x").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.withColumnRenamed("m", "y"))
-        e = cut(small.where("x <> y").distinct())
-
-
 def groups(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     spark = docs.sparkSession
@@ -332,8 +317,7 @@ def groups(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) ->
     shared = entries.repartitionById(n, F.col("part")).mapInArrow(_buckets(BUCKET_BLOCK), "cell long, rep long")
     members = shared.join(classes.select("rep", *GROUPS), "rep")
     near = members.repartition(n, "cell").mapInArrow(_candidates, EDGE)
-    label = components(near)
-    label = cut(label.unionByName(label.select(F.col("label").alias("node"), "label").distinct()))
+    label = cut(components(near, one_task=0))
 
     sized = label.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
     total = sized.groupBy("label").agg(F.sum("n_shingles").alias("words"))
@@ -342,7 +326,7 @@ def groups(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) ->
     chosen = label.join(total, "label").select(F.col("node").alias("doc_key"), "label", "blocks")
     cells = docs.join(chosen.hint("shuffle_hash"), "doc_key").mapInArrow(_cells(shingle), "cell long, rep long, shingles binary")
     links = cells.repartition(n, "cell").mapInArrow(_links(per_cent), EDGE)
-    final = components(links)
+    final = components(links, one_task=0)
 
     named = classes.select(*one, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*one, F.coalesce("label", "rep").alias("component_id"))
     linked = signed.where("n_shingles > 0").select("doc_key", *one).join(named, one)
