@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,8 +74,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about STEP_BYTES of the column's text, at least a row."""
+def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds at most so many bytes of the column's text, or one row."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
         size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -83,7 +83,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
         start = 0
         while start < len(size):
             before = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, before + STEP_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(total, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -37,7 +37,9 @@ PROFILE = 400
 #: A letter's code point takes so many bits of an n-gram.
 BITS = 21
 #: Counts that a task holds before it sends them on.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Bytes of text that are counted at once; three n-grams for each letter take more memory than words do.
+STEP_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -173,7 +175,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(s, s + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(known[g[part]], pa.string()), pa.array(x[part]), pa.array(c[part])], ["lang", "gram", "n"])
 
-    for batch in flat.steps(batches, "text"):
+    for batch in flat.steps(batches, "text", STEP_BYTES):
         lang = batch.column(batch.schema.get_field_index("lang")).to_pylist()
         group = np.array([-1 if x is None else names.setdefault(x, len(names)) for x in lang], np.int64)
         some = counted(batch.column(batch.schema.get_field_index("text")).to_pylist(), group)
@@ -210,7 +212,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in flat.steps(batches, "text"):
+        for batch in flat.steps(batches, "text", STEP_BYTES):
             lang, score = sent.value.judge(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
