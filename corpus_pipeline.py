@@ -17,6 +17,8 @@ from pellucid.llm.common import shared_dir, table
 
 #: Documents less like every language's profile than this are rejected.
 LEAST_SCORE = 0.05
+#: Texts whose shingles of five words are alike to so many per cent are near duplicates.
+NEAR_PER_CENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near duplicates."""
-    return near_dedup.kept_documents(docs).select(*docs.columns)
+    return near_dedup.kept_documents(docs, NEAR_PER_CENT).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ a chunk with at most ERRORS errors; every chunk is therefore indexed under all
 its patterns with ERRORS codes left out, and no pair under the threshold is
 missed.  At J = 0.85 a pair lies over the threshold of 15 of 32 with probability
 3e-6, and even then it is missed only if every chunk has two errors: 2e-8.
+A lower threshold widens the distance (reach), so that pairs at it are lost by
+the patterns alone: with probability 1.1e-6 at J = 0.8.
 
 1. Documents with equal shingle sets are one class; only classes go on.
 2. Classes that share a pattern form a bucket.  Large buckets are cut into
@@ -28,6 +30,7 @@ doc_id is a document's key; a null id counts as the smallest and stays null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ CHUNKS, CODES, BITS, ERRORS = 8, 4, 16, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Links need PER_CENT * union <= 100 * intersection.
 PER_CENT = 85
+#: The distance test may lose a pair at the threshold with this probability at most; the patterns lose more.
+LOSS = 1e-9
 #: Members in a block of a bucket.
 BUCKET_BLOCK = 256
 #: Shingles in a block of a group: at least the first, at most the last, else a GROUP_BLOCKS-th of the group.
@@ -56,6 +61,17 @@ _SEED = {k: 40 + k for k in range(1, SHINGLE + 1)}
 GROUPS = [f"g{c}" for c in range(CHUNKS)]
 
 
+def reach(per_cent: int) -> int:
+    """The least number of differing codes that a pair of that similarity exceeds with probability LOSS at most."""
+    n, differ = CHUNKS * CODES, 1 - per_cent / 100
+    tail = 0.0
+    for d in range(n, 0, -1):
+        tail += comb(n, d) * differ**d * (1 - differ) ** (n - d)
+        if tail > LOSS:
+            return d
+    return 0
+
+
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingles of each text, sorted, and the n+1 bounds."""
     data, at = flat.buffers(column)
@@ -205,29 +221,33 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every cell, a spanning forest of the pairs within DISTANCE."""
-    t = _gathered(batches)
-    if t is None:
-        return
-    cell, rep = t["cell"].to_numpy(), t["rep"].to_numpy()
-    codes = np.stack([t[g].to_numpy() for g in GROUPS], 1).view(np.uint16).reshape(len(rep), CHUNKS * CODES)
-    order = np.lexsort((rep, cell))
-    cell, rep, codes = cell[order], rep[order], codes[order]
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    size = np.diff(np.append(first, len(cell)))
-    two = first[size == 2]
-    ok = (codes[two] != codes[two + 1]).sum(1) <= DISTANCE
-    out = [(rep[two[ok]], rep[two[ok] + 1])]
-    for f, n in zip(first[size > 2], size[size > 2], strict=True):
-        mine = codes[f : f + n]
-        found = _forest(int(n), lambda i, others, mine=mine: (mine[others] != mine[i]).sum(1) <= DISTANCE)
-        if found:
-            e = np.array(found)
-            out.append((rep[f + e[:, 0]], rep[f + e[:, 1]]))
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    if len(a):
-        yield _edges(a, b)
+def _candidates(distance: int):
+    """For every cell, a spanning forest of the pairs within the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _gathered(batches)
+        if t is None:
+            return
+        cell, rep = t["cell"].to_numpy(), t["rep"].to_numpy()
+        codes = np.stack([t[g].to_numpy() for g in GROUPS], 1).view(np.uint16).reshape(len(rep), CHUNKS * CODES)
+        order = np.lexsort((rep, cell))
+        cell, rep, codes = cell[order], rep[order], codes[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(first, len(cell)))
+        two = first[size == 2]
+        ok = (codes[two] != codes[two + 1]).sum(1) <= distance
+        out = [(rep[two[ok]], rep[two[ok] + 1])]
+        for f, n in zip(first[size > 2], size[size > 2], strict=True):
+            mine = codes[f : f + n]
+            found = _forest(int(n), lambda i, others, mine=mine: (mine[others] != mine[i]).sum(1) <= distance)
+            if found:
+                e = np.array(found)
+                out.append((rep[f + e[:, 0]], rep[f + e[:, 1]]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(a):
+            yield _edges(a, b)
+
+    return run
 
 
 def _cells(shingle: int):
@@ -316,7 +336,7 @@ def groups(docs: DataFrame, per_cent: int = PER_CENT, shingle: int = SHINGLE) ->
     entries = classes.select("rep", *GROUPS).mapInArrow(_patterns(n), "part int, key binary, rep binary")
     shared = entries.repartitionById(n, F.col("part")).mapInArrow(_buckets(BUCKET_BLOCK), "cell long, rep long")
     members = shared.join(classes.select("rep", *GROUPS), "rep")
-    near = members.repartition(n, "cell").mapInArrow(_candidates, EDGE)
+    near = members.repartition(n, "cell").mapInArrow(_candidates(DISTANCE if per_cent >= PER_CENT else reach(per_cent)), EDGE)
     label = cut(components(near, one_task=0))
 
     sized = label.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")

@@ -1,5 +1,6 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -30,6 +31,33 @@ def test_pipeline(spark, data):
     assert after.count() == before.count() and {"size", "target", "taken"} <= set(after.columns)
 
 
+def test_near_duplicates_from_four_fifths(spark, data):
+    rng = random.Random(11)
+    texts = []
+    for k in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        near, far = list(w), list(w)
+        for i in range(4 + k % 2):  # each change takes five of 200 shingles: 180/220, or 175/225
+            near[20 + 40 * i] = f"n{k}x{i}"
+        for i in range(9):
+            far[10 + 20 * i] = f"f{k}x{i}"
+        texts += [" ".join(x) for x in (w, near, far)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    between = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            common, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 80 * every <= 100 * common < 85 * every
+            if 100 * common >= 80 * every:
+                root[b] = root[a]
+                break
+    assert between == 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
+    assert got == {i for i, r in enumerate(root) if i == r}
+
+
 def test_language_stage_rejects(spark, data):
     extra = spark.createDataFrame([(10**6, "12345 !!!", "en", "s", 9), (10**6 + 1, None, "en", "s", None), (10**6 + 2, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = spark.read.parquet(f"{data}/documents.parquet")
