@@ -5,9 +5,10 @@ partitions.  A count c is quantised to level 1 + floor(log c / log BASE), and an
 n-gram of level L enters the filter L times, as (n-gram, 1) .. (n-gram, L).  A
 probe asks for level 1, 2, ... until one is missing; errors only ever add, and a
 level too many is as rare as a false positive.  Every partition makes the part
-of the filter for its hashes, as small as its entries allow and never above
-MAX_FILTER_BYTES in all; partitions with more keep the more frequent bigrams.
-The filter is broadcast, so its size is bounded whatever the corpus holds.
+of the filter for its hashes, as large as its entries ask for, so that no count is
+dropped.  Up to MAX_FILTER_BYTES in all the filter is broadcast; a larger one stays
+in its parts, and the distinct n-grams of every CHUNK tokens are sent to them and
+their levels back.  Both ways give the same scores.
 
 P(word | before) = w * c(before, word) / c(before) + (1 - w) * P(word), with
 add-0.1 unigrams, all counts from the filter.  w depends on how frequent the word
@@ -25,12 +26,14 @@ document; null and empty texts are an end alone.  Repeated rows count each time.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,13 @@ from .common import cut, parts, ship, table
 BASE = 1.5
 HASHES = 4
 LEAST_BIGRAM = 2
+#: A filter of more bytes isn't broadcast.
 MAX_FILTER_BYTES = 48 << 20
 MAX_VOCABULARY = 16_000_000
 #: Tokens that a task counts before it sends the sums.
 FLUSH = 1_500_000
+#: Tokens whose n-grams are sent to the parts of the filter together.
+CHUNK = 1_500_000
 #: Frequencies are 2 ** -k for these tables, k under KINDS.
 KINDS = 64
 
@@ -132,7 +138,7 @@ def _count(parts_: int):
 SUMS = "kind int, part int, key binary, n binary, total long, size long"
 
 
-def _sum(parts_: int, max_bytes: int):
+def _sum():
     """The vocabulary, the table for the weights and the filter of each part."""
 
     def add_up(key: np.ndarray, n: np.ndarray):
@@ -157,7 +163,6 @@ def _sum(parts_: int, max_bytes: int):
                 items.append(key)
                 levels.append(level_of(n))
                 out.append((UNIGRAM, p, key.tobytes(), n.tobytes(), int(n.sum()), len(key)))
-            room = max_bytes * 8 // parts_ - (int(levels[0].sum()) if levels else 0) * HASHES / math.log(2)
             if (x := held.pop((p, BIGRAM), None)) is not None:
                 each = np.frombuffer(b"".join(x[1]), np.int32)
                 key, n, order, group = add_up(np.frombuffer(b"".join(x[0]), flat.U64), each)
@@ -168,13 +173,10 @@ def _sum(parts_: int, max_bytes: int):
                 some = np.flatnonzero(cell)
                 out.append((CELLS, p, some.astype(np.int64).tobytes(), cell[some].astype(np.int64).tobytes(), 0, len(some)))
                 level = level_of(n)
-                least = LEAST_BIGRAM
-                while least < 2**40 and level[n >= least].sum() * HASHES / math.log(2) > max(room, 0):
-                    least = least + 1 if least < 8 else least * 5 // 4
-                items.append(key[n >= least])
-                levels.append(level[n >= least])
+                items.append(key[n >= LEAST_BIGRAM])
+                levels.append(level[n >= LEAST_BIGRAM])
             key, level = np.concatenate(items), np.concatenate(levels)
-            size = int(min(max(64, level.sum() * HASHES / math.log(2)), max(64, max_bytes * 8 // parts_)))
+            size = int(max(64, level.sum() * HASHES / math.log(2)))
             size = -(-size // 64) * 64
             bit = np.zeros(size, bool)
             for q in range(1, int(level.max()) + 1 if len(level) else 1):
@@ -257,9 +259,33 @@ def fitted_weights(cells: dict[int, int], total: int) -> np.ndarray:
     return np.clip(weight, 0.0, 0.95)
 
 
+class Ngrams:
+    """The distinct n-grams of some texts, by place, and the keys that the filter is asked for."""
+
+    def __init__(self, x: np.ndarray, bounds: np.ndarray):
+        seen, place = np.unique(x, return_inverse=True)
+        self.fill(seen, place, bounds)
+
+    def fill(self, seen: np.ndarray, place: np.ndarray, bounds: np.ndarray) -> Ngrams:
+        self.seen, self.place, self.bounds = seen, place, bounds
+        inner = np.flatnonzero(seen[place] != _START)
+        self.owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[inner]
+        before, self.word = place[inner - 1], place[inner]
+        pairs, self.back = np.unique(before.astype(np.int64) * len(seen) + self.word, return_inverse=True)
+        self.a, self.b = np.divmod(pairs, max(len(seen), 1))
+        return self
+
+    @classmethod
+    def of(cls, seen: np.ndarray, place: np.ndarray, bounds: np.ndarray) -> Ngrams:
+        return cls.__new__(cls).fill(seen, place, bounds)
+
+    def keys(self) -> np.ndarray:
+        return np.concatenate([np.where(self.seen == _START, _END, self.seen), pair_hash(self.seen[self.a], self.seen[self.b])])
+
+
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  # None: too large to be broadcast
     weights: np.ndarray
     total: int
     distinct: int
@@ -274,49 +300,109 @@ class Model:
         k = np.minimum(np.searchsorted(key, word), len(key) - 1)
         return np.where(key[k] == word, count[k], 0).astype(np.int64)
 
-    def score(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: known tokens and the sum of logs behind base_score, both of the vocabulary's words, and the score."""
-        n = len(bounds) - 1
-        seen, place = np.unique(x, return_inverse=True)
-        level = self.filter.level(np.where(seen == _START, _END, seen))
-        unigram = VALUES[level]
+    def base(self, g: Ngrams) -> tuple[np.ndarray, np.ndarray]:
+        """For each text: known tokens and the sum of logs behind base_score, both of the vocabulary's words."""
+        n = len(g.bounds) - 1
+        below = self.total + 0.1 * (self.distinct + 1)
+        exact = self.exact(g.seen)
+        term = np.where((exact > 0) | (self.least == 1), np.log10((exact + 0.1) / below), 0.0)
+        return np.bincount(g.owner, (exact > 0)[g.word], minlength=n).astype(np.int64), np.bincount(g.owner, term[g.word], minlength=n)
+
+    def score(self, g: Ngrams, level: np.ndarray) -> np.ndarray:
+        """The score of each text, from the levels of its n-grams' keys."""
+        unigram, c = VALUES[level[: len(g.seen)]], VALUES[level[len(g.seen) :]]
         below = self.total + 0.1 * (self.distinct + 1)
-        inner = np.flatnonzero(x != _START)
-        owner = np.repeat(np.arange(n), np.diff(bounds))[inner]
-        before, word = place[inner - 1], place[inner]
-        code = before.astype(np.int64) * len(seen) + word
-        pairs, back = np.unique(code, return_inverse=True)
-        a, b = np.divmod(pairs, len(seen))
-        context = np.maximum(unigram[a], 1e-9)
+        context = np.maximum(unigram[g.a], 1e-9)
         kind = np.clip(np.floor(np.log2(max(self.total, 1) / context)), 0, KINDS - 1).astype(np.int64)
-        w = np.where(unigram[a] > 0, self.weights[kind], 0.0)
-        c = VALUES[self.filter.level(pair_hash(seen[a], seen[b]))]
+        w = np.where(unigram[g.a] > 0, self.weights[kind], 0.0)
         c = np.where(c >= LEAST_BIGRAM, c, 0.0)
-        p = w * np.minimum(c / context, 1.0) + (1 - w) * (unigram[b] + 0.1) / below
-        score = np.bincount(owner, np.log10(p)[back], minlength=n)
-        exact = self.exact(seen)
-        term = np.where((exact > 0) | (self.least == 1), np.log10((exact + 0.1) / below), 0.0)
-        known = np.bincount(owner, (exact > 0)[word], minlength=n).astype(np.int64)
-        base = np.bincount(owner, term[word], minlength=n)
-        return known, base, score
+        p = w * np.minimum(c / context, 1.0) + (1 - w) * (unigram[g.b] + 0.1) / below
+        return np.bincount(g.owner, np.log10(p)[g.back], minlength=len(g.bounds) - 1)
 
 
-def learn(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_vocabulary: int = MAX_VOCABULARY) -> tuple[Model, DataFrame]:
-    """The model of the texts of training, and the sums it came from (vocabulary blobs are of kind UNIGRAM)."""
-    spark = training.sparkSession
-    ship(spark)
-    n = parts(spark)
-    sums = cut(training.select("text").mapInArrow(_count(n), PART).repartitionById(n, F.col("part")).mapInArrow(_sum(n, max_filter_bytes), SUMS))
-    heads = sums.where(F.col("kind") == UNIGRAM).agg(F.sum("total"), F.sum("size")).first()
-    total, distinct = int(heads[0] or 0), int(heads[1] or 0)
+def _broadcast_filter(sums: DataFrame, n: int, size: int) -> Filter:
+    """All parts of the filter in one."""
     at, bits = np.zeros(n, np.int64), np.full(n, 64, flat.U64)
     # one partition at a time, so that the driver never holds the rows and the model at once
-    data = np.zeros(sum(r[0] for r in sums.where(F.col("kind") == FILTER).select(F.length("key")).collect()) + 8, np.uint8)
+    data = np.zeros(size + 8, np.uint8)
     end = 8  # parts without entries share an empty stretch
     for r in sums.where(F.col("kind") == FILTER).select("part", "key", "size").toLocalIterator():
         at[r["part"]], bits[r["part"]] = end, r["size"]
         data[end : end + len(r["key"])] = np.frombuffer(r["key"], np.uint8)
         end += len(r["key"])
+    return Filter(n, at, bits, data)
+
+
+PROBE, LEVELS, HOME = 4, 5, 6
+PROBES = "kind int, part int, home int, chunk string, from_part int, size long, key binary, place binary, bounds binary, rows binary"
+
+
+def _message(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"kind": pa.int32(), "part": pa.int32(), "home": pa.int32(), "chunk": pa.string(), "from_part": pa.int32(), "size": pa.int64()}
+    kinds |= dict.fromkeys(("key", "place", "bounds", "rows"), pa.binary())
+    return pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
+
+
+def _sent_out(parts_: int, kept: Callable[[pa.RecordBatch, Ngrams], pa.RecordBatch]):
+    """For every chunk of texts its keys, each to the part of the filter that knows it, and the rest to its home."""
+
+    def flush(held, number):
+        x = np.concatenate([x for _, x, _ in held])
+        # named alike when a task is run again on the same rows
+        chunk = f"{hashlib.md5(x.tobytes()).hexdigest()}-{TaskContext.get().partitionId()}-{number}"
+        home = int(chunk[:8], 16) % parts_
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, _, b in held]))])
+        g = Ngrams(x, bounds)
+        rows = kept(pa.Table.from_batches([b for b, _, _ in held]).combine_chunks().to_batches()[0], g)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        yield _message([{"kind": HOME, "part": home, "home": home, "chunk": chunk, "key": g.seen.tobytes(), "place": g.place.astype(np.uint32).tobytes(), "bounds": bounds.astype(np.int64).tobytes(), "rows": sink.getvalue().to_pybytes()}])
+        key = g.keys()
+        yield _message([{"kind": PROBE, "home": home, "chunk": chunk, "from_part": r["part"], **r} for r in flat.spread((key % flat.U64(parts_)).astype(np.int64), parts_, {"key": key})])
+
+    def run(batches):
+        held, size, number = [], 0, 0
+        for batch in flat.steps(batches, "text"):
+            x, bounds = tokens(batch.column(batch.schema.get_field_index("text")))
+            held.append((batch, x, bounds))
+            size += len(x)
+            if size > CHUNK:
+                yield from flush(held, number)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield from flush(held, number)
+
+    return run
+
+
+def _asked(batches):
+    """Levels for the keys that came to a part of the filter; homes pass through."""
+    filters, held = {}, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["kind"] == FILTER:
+                filters[r["part"]] = Filter(1, np.zeros(1, np.int64), np.full(1, r["size"], flat.U64), np.frombuffer(r["key"], np.uint8))
+            elif r["kind"] == HOME:
+                yield _message([r])
+            else:
+                held.append(r)
+    for r in held:
+        key = np.frombuffer(r["key"], flat.U64)
+        level = filters[r["part"]].level(key) if r["part"] in filters else np.zeros(len(key), np.int64)
+        yield _message([r | {"kind": LEVELS, "part": r["home"], "key": level.astype(np.uint8).tobytes()}])
+
+
+def learn(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_vocabulary: int = MAX_VOCABULARY) -> tuple[Model, DataFrame]:
+    """The model of the texts of training, and the sums it came from (vocabulary blobs are of kind UNIGRAM)."""
+    spark = training.sparkSession
+    ship(spark)
+    n = parts(spark)
+    sums = cut(training.select("text").mapInArrow(_count(n), PART).repartitionById(n, F.col("part")).mapInArrow(_sum(), SUMS))
+    heads = sums.where(F.col("kind") == UNIGRAM).agg(F.sum("total"), F.sum("size")).first()
+    total, distinct = int(heads[0] or 0), int(heads[1] or 0)
+    size = sum(r[0] for r in sums.where(F.col("kind") == FILTER).select(F.length("key")).collect())
+    filter_ = _broadcast_filter(sums, n, size) if size <= max_filter_bytes else None
     cells: dict[int, int] = {}
     for r in sums.where(F.col("kind") == CELLS).select("key", "n").toLocalIterator():
         for k, m in zip(np.frombuffer(r["key"], np.int64).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True):
@@ -339,7 +425,7 @@ def learn(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_voc
     vocabulary = key[order], count[order]
     del key, count, order
     weights = fitted_weights(cells, total)
-    return Model(Filter(n, at, bits, data), weights, total, distinct, vocabulary, least), sums
+    return Model(filter_, weights, total, distinct, vocabulary, least), sums
 
 
 def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
@@ -356,15 +442,48 @@ def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
         rest = [*rest, "row_key"]
         kept = cut(kept)
 
+    def named(batch: pa.RecordBatch, g: Ngrams) -> pa.RecordBatch:
+        known, base = sent.value.base(g)
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(g.bounds) - 1), pa.array(known), pa.array(base)], [*rest, *names[:3]])
+
+    def scores(rows: pa.RecordBatch, g: Ngrams, level: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(sent.value.score(g, level))], [*rest, *names])
+
     def run(batches):
         for batch in flat.steps(batches, "text"):
-            x, bounds = tokens(batch.column(batch.schema.get_field_index("text")))
-            known, base, score = sent.value.score(x, bounds)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds) - 1), pa.array(known), pa.array(base), pa.array(score)], [*rest, *names])
+            g = Ngrams(*tokens(batch.column(batch.schema.get_field_index("text"))))
+            yield scores(named(batch, g), g, sent.value.filter.level(g.keys()))
+
+    n = parts(spark)
+
+    def answered(batches):
+        homes, levels = {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == HOME:
+                    homes[r["chunk"]] = r
+                else:
+                    levels.setdefault(r["chunk"], {})[r["from_part"]] = r["key"]
+        for chunk in list(homes):
+            r, mine = homes.pop(chunk), levels.pop(chunk, {})
+            g = Ngrams.of(np.frombuffer(r["key"], flat.U64), np.frombuffer(r["place"], np.uint32).astype(np.int64), np.frombuffer(r["bounds"], np.int64))
+            key = g.keys()
+            level = np.empty(len(key), np.int64)
+            # as flat.spread dealt them
+            level[np.argsort((key % flat.U64(n)).astype(np.int64), kind="stable")] = np.frombuffer(b"".join(mine[p] for p in sorted(mine)), np.uint8)
+            with pa.ipc.open_stream(r["rows"]) as source:
+                for rows in source:
+                    yield scores(rows, g, level)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text"), "n_tokens long, n_known long, base_score double, score double"])
-    out = kept.mapInArrow(run, schema)
+    if model.filter is not None:
+        out = kept.mapInArrow(run, schema)
+    else:
+        probes = kept.mapInArrow(_sent_out(n, named), PROBES)
+        filters = sums.where(F.col("kind") == FILTER).select("kind", "part", "size", "key")
+        asked = probes.unionByName(filters, allowMissingColumns=True).repartitionById(n, F.col("part")).mapInArrow(_asked, PROBES)
+        out = asked.repartitionById(n, F.col("part")).mapInArrow(answered, schema)
     if exact:
         return out
 

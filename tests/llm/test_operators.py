@@ -162,6 +162,18 @@ def test_lm_scores_seen_passages_higher(docs, spark):
     assert got[1] > got[2]
 
 
+@pytest.mark.parametrize("most", [10**7, 60])
+def test_lm_of_a_large_filter_drops_nothing(docs, monkeypatch, most):
+    d = docs.select("doc_id", "text", lm_bloom.held_out(docs["doc_id"]).alias("held_out"))
+    want = {r["doc_id"]: r for r in lm_bloom.scored(d, *lm_bloom.learn(d.where("not held_out"))).collect()}
+    monkeypatch.setattr(lm_bloom, "CHUNK", 500, raising=False)
+    got = {r["doc_id"]: r for r in lm_bloom.scored(d, *lm_bloom.learn(d.where("not held_out"), max_filter_bytes=0, max_vocabulary=most)).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert (r["held_out"], r["n_tokens"], r["n_known"]) == (want[i]["held_out"], want[i]["n_tokens"], want[i]["n_known"])
+        assert (r["base_score"], r["score"]) == (pytest.approx(want[i]["base_score"], rel=1e-9), pytest.approx(want[i]["score"], rel=1e-12))
+
+
 def test_lm_of_nothing(nothing, docs):
     model, sums = lm_bloom.learn(nothing)
     assert model.total == 0
