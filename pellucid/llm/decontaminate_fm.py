@@ -8,9 +8,10 @@ and all windows are searched backward at once through its ranks.  Occurrences
 are located by walking to sampled suffix positions, and their words merge into
 removal spans.
 
-Nothing is shuffled: every document is judged where it is read.  The phrases
-are broadcast in blocks of at most BLOCK_BYTES of benchmark text; a larger
-benchmark takes several passes, whose spans are merged for each document.
+Up to BLOCK_BYTES of benchmark text nothing is shuffled: every document is judged
+where it is read.  A larger benchmark is broadcast in blocks of about as many
+bytes; each takes a pass over the unchanged texts, and the spans of all passes are
+merged for each row before any is cut.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.
 Null and empty texts have no words and no hits.  Items without words, and items
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import ship, table
+from .common import cut, ship, table
 
 #: Words of a window.
 WINDOW = 10
@@ -242,6 +243,10 @@ def _spans(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 SCAN = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
+#: Columns for rows on their way through several passes.
+ROW, SPANS = "_hit_row", "_hit_spans"
+
+
 def _scan(p: Phrases):
     def run(batches):
         for batch, _, _, _, _, first, hit, pairs in _shards(p, batches):
@@ -264,31 +269,45 @@ def _scan(p: Phrases):
     return run
 
 
+def _without(batch: pa.RecordBatch, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The batch with the words a..b-1 of the shard cut from the texts doc, and n_chars counted anew."""
+    if not len(doc):
+        return batch
+    k, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+    text = batch.column(k).to_pylist()
+    for d in np.unique(doc):
+        raw, left, out = text[d].encode(), 0, []
+        base = int(at[d])
+        for s in np.flatnonzero(doc == d):
+            out.append(raw[left : int(starts[a[s]]) - base])
+            left = int(ends[b[s] - 1]) - base
+        text[d] = b"".join([*out, raw[left:]]).decode()
+    columns = list(batch.columns)
+    columns[k] = pa.array(text, batch.schema.field(k).type)
+    if size >= 0:
+        columns[size] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(batch.schema.field(size).type)
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 def _clean(p: Phrases):
     def run(batches):
         for batch, _, at, starts, ends, first, hit, _ in _shards(p, batches):
-            doc, a, b = _spans(hit, first)
-            k, size = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            if len(doc):
-                text = batch.column(k).to_pylist()
-                for d in np.unique(doc):
-                    raw, left, out = text[d].encode(), 0, []
-                    base = int(at[d])
-                    for s in np.flatnonzero(doc == d):
-                        out.append(raw[left : int(starts[a[s]]) - base])
-                        left = int(ends[b[s] - 1]) - base
-                    text[d] = b"".join([*out, raw[left:]]).decode()
-                columns = list(batch.columns)
-                columns[k] = pa.array(text, batch.schema.field(k).type)
-                if size >= 0:
-                    columns[size] = pa.array([None if t is None else len(t) for t in text], pa.int64()).cast(batch.schema.field(size).type)
-                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
-            yield batch
+            yield _without(batch, at, starts, ends, *_spans(hit, first))
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
+def _cut_spans(batches):
+    """The rows without the spans found before, and without the columns that name them."""
+    for batch in flat.steps(batches, "text"):
+        data, at = flat.buffers(batch.column(batch.schema.get_field_index("text")))
+        starts, ends, first = flat.words(flat.LOWER[data], at, flat.ITEM_BYTES)
+        found = [(d, first[d] + s["start"], first[d] + s["stop"]) for d, own in enumerate(batch.column(batch.schema.get_field_index(SPANS)).to_pylist()) for s in own or ()]
+        doc, a, b = np.array(found, np.int64).reshape(-1, 3).T
+        yield _without(batch.drop_columns([ROW, SPANS]), at, starts, ends, doc, a, b)
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases] | Iterator[Phrases]:
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
@@ -298,17 +317,12 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases
     return (phrases_of([tuple(r) for r in items.where(block == k).collect()], window) for k in range(n))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans of hit words, items found) for every document."""
-    ship(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
-    found = [slim.mapInArrow(_scan(p), SCAN) for p in _blocks(benchmark, window, block_bytes)]
-    if len(found) == 1:
-        return found[0]
+def _merged(found: list[DataFrame], *key: str) -> DataFrame:
+    """The findings of several passes by key: (key, n_words, spans, items)."""
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    merged = F.aggregate(
+    spans = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
         F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"),
         lambda done, s: F.when(
@@ -316,15 +330,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop")))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return every.groupBy(*key).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, spans of hit words, items found) for every document."""
+    ship(docs.sparkSession)
+    slim = docs.select("doc_id", "text")
+    found = [slim.mapInArrow(_scan(p), SCAN) for p in _blocks(benchmark, window, block_bytes)]
+    return found[0] if len(found) == 1 else _merged(found, "doc_id")
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit words cut from text (and n_chars, if there, counted anew)."""
     ship(docs.sparkSession)
-    for p in _blocks(benchmark, window, block_bytes):
-        docs = docs.mapInArrow(_clean(p), docs.schema)
-    return docs
+    blocks = _blocks(benchmark, window, block_bytes)
+    if isinstance(blocks, list):
+        return docs.mapInArrow(_clean(blocks[0]), docs.schema)
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))  # numbered once
+    slim = rows.select(F.col(ROW).alias("doc_id"), "text")
+    found = _merged([slim.mapInArrow(_scan(p), SCAN).where(F.size("spans") > 0) for p in blocks], "doc_id")
+    spans = found.select(F.col("doc_id").alias(ROW), F.col("spans").alias(SPANS))
+    return rows.join(spans, ROW, "left").mapInArrow(_cut_spans, docs.schema)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

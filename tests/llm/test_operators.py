@@ -492,6 +492,26 @@ def test_hits_are_removed(spark, exam):
     assert decontaminate_fm.hits(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300, 40])
+def test_hits_are_removed_whatever_the_blocks(spark, exam, block):
+    rows, items = exam
+    rng = random.Random(21)
+    words = sentence(rng, 30).split()
+    items = items + [(100 + k, " ".join(words[k : k + 10])) for k in range(0, 20, 5)]  # overlapping windows of several items
+    rows = rows + [(1000, "before " + " ".join(words) + " after"), (1000, "same id " + items[0][1]), (None, "no id " + items[1][1]), (None, items[0][1])]
+    df = spark.createDataFrame([(i, t, 1, f"x{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long, extra string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_hits([(f"x{k}", t) for k, (_, t) in enumerate(rows)], items)
+    got = decontaminate_fm.remove_hits(df, bench, block_bytes=block)
+    assert got.columns == df.columns
+    got = got.collect()
+    assert sorted(r["extra"] for r in got) == sorted(want)
+    for r in got:
+        n, hit, _ = want[r["extra"]]
+        assert len(ITEM.findall((r["text"] or "").translate(UPPER))) == n - hit
+        assert hit == 0 or r["n_chars"] == len(r["text"])
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
     for _ in range(20):
