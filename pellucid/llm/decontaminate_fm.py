@@ -337,8 +337,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """(doc_id, n_words, spans of hit words, items found) for every document."""
     ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
-    found = [slim.mapInArrow(_scan(p), SCAN) for p in _blocks(benchmark, window, block_bytes)]
-    return found[0] if len(found) == 1 else _merged(found, "doc_id")
+    blocks = _blocks(benchmark, window, block_bytes)
+    if isinstance(blocks, list):
+        return slim.mapInArrow(_scan(blocks[0]), SCAN)
+    rows = cut(slim.withColumn(ROW, F.monotonically_increasing_id()))  # numbered once
+    texts = rows.select(F.col(ROW).alias("doc_id"), "text")
+    found = _merged([texts.mapInArrow(_scan(p), SCAN) for p in blocks], "doc_id").withColumnRenamed("doc_id", ROW)
+    return rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).join(found, ROW).select("doc_id", "n_words", "spans", "items")
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -512,6 +512,17 @@ def test_hits_are_removed_whatever_the_blocks(spark, exam, block):
         assert hit == 0 or r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_hits_of_rows_with_the_same_id(spark, exam, block):
+    _, items = exam
+    rows = [(1, items[0][1]), (1, "a b c"), (None, "x y"), (None, items[1][1] + " tail"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate_fm.hits(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=block).collect()
+    want = brute_hits([(k, t) for k, (_, t) in enumerate(rows)], items)
+    found = [(str(r["doc_id"]), r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in got]
+    assert sorted(found) == sorted((str(rows[k][0]), *w) for k, w in want.items())
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
     for _ in range(20):
