@@ -318,7 +318,7 @@ def test_groups_in_chains_and_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     check_groups(df, rows)
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "BLOCK_LEAST", 500)
+    monkeypatch.setattr(near_dedup, "GROUP_BLOCK", 500)
     check_groups(df, rows)
 
 
@@ -331,6 +331,25 @@ def test_groups_of_awkward_rows(spark, nothing, docs):
     assert kept.columns == docs.columns
 
 
+def test_groups_of_rows_that_share_an_id(spark):
+    """Rows without an id, or with the id of another text, link by their own texts; a group keeps one row."""
+    rng = random.Random(8)
+    one, two, three = (sentence(rng, 80, 5000).split() for _ in range(3))
+    near = lambda w, k: " ".join([*w[:40], f"n{k}", *w[41:]])
+    rows = [(None, " ".join(one)), (5, near(one, 1)), (None, " ".join(two)), (9, near(two, 2)), (7, " ".join(three)), (7, near(one, 3)), (7, " ".join(three)), (8, near(three, 4)), (7, near(three, 5))]
+    rows += [(None, ""), (None, None), (11, " "), (11, " ")]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, rep long, doc_key string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in near_dedup.groups(df).where("n_shingles > 0").collect())
+    # texts one and two have a row without an id each, so that both groups are named by it; three has not
+    assert got == sorted([(-1, -1), (5, -1), (-1, -1), (9, -1), (7, 7), (7, -1), (7, 7), (8, 7), (7, 7)])
+    kept = near_dedup.kept_documents(df)
+    assert kept.columns == df.columns
+    kept = sorted(r["rep"] for r in kept.collect())
+    assert [k for k in kept if k > 8] == [9, 10, 11, 12]
+    kept = [k for k in kept if k < 9]
+    assert len(kept) == 3 and {0, 2} < set(kept) and kept[-1] in (4, 6, 8)
+
+
 def test_forest_finds_every_link():
     rng = np.random.default_rng(3)
     for _ in range(20):
