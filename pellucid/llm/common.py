@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,11 @@ def n_words_of(text):
     """The number of words of a text column, counted without making them."""
     t = F.coalesce(text, F.lit(""))
     return F.regexp_count(t, F.lit(WORD)).cast("long")
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, with as many _ before it as make it no column's name, whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

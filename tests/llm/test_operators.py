@@ -424,11 +424,100 @@ def test_patterns_discover_unseen(spark):
     assert again == got
 
 
+def brute_patterns(text, start, stop):
+    """The contexts of a slot, read from the whitespace words beside it."""
+    before = re.sub(r"[(\[{<\"']+$", "", text[:start].lower())
+    words = before.split() if before[-1:].isspace() else []
+    after = re.match(r"\S*\s+(\S+)(?=\s)", text[stop:].lower())
+    out = [" ".join([*words[-n:], "_"]) for n in (1, 2, 3) if len(words) >= n]
+    return out + ([f"{words[-1]} _ {after[1]}"] if words and after and " " not in text[start:stop] else [])
+
+
+def test_pattern_scores_against_brute_force(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(30)) + "a7"
+    rows = [f"{sentence(rng, 5)} api key {key()} {sentence(rng, 5)}" for _ in range(6)]
+    rows += [f"{sentence(rng, 5)} api key Zz-{k}xyzabcdefgh_{k} {sentence(rng, 5)}" for k in range(3)]  # found by the pattern alone
+    rows += [f"{sentence(rng, 5)} of {key()} {sentence(rng, 3)}" for _ in range(3)]  # shaped like keys, but "of" is no pattern
+    rows += [f"{sentence(rng, 2)} of {sentence(rng, 8)} key {sentence(rng, 2)}" for _ in range(8)]
+    rows += ["mail to a@b.de now", "mail to c@d.de now", "mail to e@f.de soon", "mail to x1@home now"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: {(rows[r["doc_id"]][x["start"] : x["stop"]], x["kind"]) for x in r["spans"]} for r in pii_bootstrap.spans(df).collect()}
+    # brute force: all slots with what they hold, and all contexts of all words
+    slots, times = [], Counter()
+    for i, t in enumerate(rows):
+        base = brute_spans(t)
+        for a, k, b in base:
+            slots.append((t[a:b], k, brute_patterns(t, a, b)))
+        for m in re.finditer(r"\S*[0-9@]\S*", t):
+            if not any(a < m.end() and m.start() < b for a, _, b in base):
+                left = t[: m.start()]
+                last = [x.end() for x in re.finditer(r"\S*[0-9@]\S*", left)]
+                slots.append((m[0], None, brute_patterns(t[last[-1] if last else 0 :], m.start() - (last[-1] if last else 0), m.end() - (last[-1] if last else 0))))
+        w = t.lower().split()
+        for k in range(len(w)):
+            times.update(" ".join([*w[k - n + 1 : k + 1], "_"]) for n in (1, 2, 3) if k >= n - 1)
+            if k + 2 < len(w):
+                times[f"{w[k]} _ {w[k + 2]}"] += 1
+    hexes = re.compile(r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,128}$")
+    fits = lambda v, k: {0: "@" in v, 1: bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", v)), 2: False, 3: bool(re.fullmatch(r"[0-9().+-]+", v)) and 7 <= len(re.sub("[^0-9]", "", v)) <= 15, 4: len(v) >= 16 and bool(re.fullmatch(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=.-]+", v))}[k]
+    known = {v: k if k is not None else 4 for v, k, _ in slots if k is not None or hexes.match(v)}
+    sure, edges = set(known), Counter((p, v) for v, _, ps in slots for p in ps)
+    score, good = dict.fromkeys(known, 1.0), {}
+    while True:
+        size, good = len(known), {}
+        for p in {p for p, _ in edges}:
+            for k in range(5):
+                own = [(v, n) for (q, v), n in edges.items() if q == p]
+                right = [v for v, _ in own if known.get(v) == k]
+                free = [v for v, _ in own if v not in known and fits(v, k)]
+                bad = len(own) - len(right) - len(free)
+                followed = sum(n for v, n in own if v in right or v in free)
+                conf = sum(score[v] for v in right) / (len(right) + bad) if len(right) + bad else 0
+                if len(right) >= 3 and conf >= 0.7 and followed >= 0.5 * times[p]:
+                    good[p, k] = conf
+        fresh = {}
+        for (p, k), c in good.items():
+            for q, v in edges:
+                if q == p and v not in known and fits(v, k):
+                    fresh[v] = max(fresh.get(v, (0, 0)), (c, -k))
+        for v, (c, k) in fresh.items():
+            known[v], score[v] = -k, c
+        if len(known) == size:
+            break
+    add = {v: k for v, k in known.items() if v not in sure} | {v: 4 for p, v in edges if (p, 4) in good and known.get(v) == 4}
+    want = {i: {(t[a:b], k) for a, k, b in brute_spans(t)} | {(v, k) for v, k in add.items() if v in t.split()} for i, t in enumerate(rows)}
+    assert got == want
+    assert all(got[i] for i in range(9)) and not any(got[i] for i in range(9, 20)) and got[23] == {("x1@home", 0)}
+
+
+def test_rows_of_one_id_share_no_spans(spark):
+    """Rows without an id, or with the same one, and rows that are there twice."""
+    rows = [*bootstrap_rows(), "a quite harmless sentence without anything"]
+    ids = [None if k % 2 else 3 for k in range(len(rows))]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(zip(ids, rows))], "doc_id long, text string, more long, k1 string")
+    df = df.unionByName(df.where("more = 9")).repartition(3)
+    alone = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    want = {r["doc_id"]: r["text"] for r in pii_bootstrap.redacted(alone).collect()}
+    got = pii_bootstrap.redacted(df).collect()
+    assert len(got) == len(rows) + 1 and all(r["text"] == want[r["more"]] and r["k1"] == "x" for r in got)
+    assert want[len(rows) - 1] == rows[-1] and "<PHONE>" in want[9]
+
+
+def test_keys_of_the_table_are_found(spark, data):
+    """Recall and precision of added spans on the driver's rows: keys behind `token =`."""
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/../sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    want = {(i, m.start(1)) for i, t in rows.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t) if not any(a < m.end(1) and m.start(1) < b for a, _, b in brute_spans(t))}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], x["start"]) for r in pii_bootstrap.spans(df).collect() for x in r["spans"] if x["kind"] == 4}
+    assert got == want and len(want) >= 8
+
+
 def test_redaction(spark, nothing):
     rows = [*PRIVATE, *bootstrap_rows()]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(rows)], "doc_id long, text string, n_chars long")
     spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii_bootstrap.spans(df.select("doc_id", "text")).collect()}
-    names = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>"]
+    names = ["<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<SECRET>"]
     for r in pii_bootstrap.redacted(df).collect():
         t, at, out = rows[r["doc_id"]], 0, ""
         for start, kind, stop in spans[r["doc_id"]]:
