@@ -752,10 +752,10 @@ def test_mix(docs, texts, monkeypatch, rows_in_range):
 
 
 def test_mix_is_cut_in_key_order(docs):
-    got = [r.asDict() for r in mixing.mix(docs, keep=["doc_id", "source"]).collect()]
+    got = [r.asDict() for r in mixing.mix(docs, keep=["doc_id", "source", "text"]).collect()]
     by_source = defaultdict(list)
     for r in got:
-        key = hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()
+        key = hashlib.md5(f"mix:{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()
         by_source[r["source"]].append((key, r["size"], r["taken"], r["target"], r["source_size"]))
     for rows in by_source.values():
         epochs, rest = divmod(math.floor(rows[0][3]), max(1, rows[0][4]))
@@ -769,3 +769,35 @@ def test_mix_edges(nothing, spark):
     rows = spark.createDataFrame([(1, None, None), (None, "a b", None), (2, "a b c", "s"), (2, "a b c", "s")], "doc_id long, text string, source string")
     got = mixing.mix(rows).collect()
     assert sorted((r["size"], r["taken"] <= 2 * r["size"]) for r in got) == [(0, True), (2, True), (3, True), (3, True)]
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Reruns agree on shuffled rows, whatever their ids; equal rows share what the cut leaves them; columns of the same names stay out of the way."""
+    rng = random.Random(2)
+    rows = [(None if k % 3 == 0 else 7, sentence(rng, 5 + k), "s" if k % 2 else "t") for k in range(14)] + [(7, "a b c d e", "s")] * 9
+    runs = set()
+    for seed in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, size int, own string").repartition(1 + seed)
+        got = mixing.mix(df, keep=df.columns)
+        assert got.columns == ["doc_id", "text", "source", "own", "size", "source_size", "target", "taken"]
+        got = got.collect()
+        runs.add(tuple(sorted((r["doc_id"] or 0, r["text"], r["taken"]) for r in got)))
+    assert len(runs) == 1
+    for s in "st":
+        own = [r for r in got if r["source"] == s]
+        assert -9 < sum(r["taken"] for r in own) - math.floor(own[0]["target"]) <= 0
+        assert len({r["taken"] for r in own if r["text"] == "a b c d e"}) <= 1
+
+
+def test_mixed_texts(docs):
+    """The texts of a mix have the words that mix counts, and whole epochs come before parts."""
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(docs).collect()}
+    got = defaultdict(dict)
+    for r in mixing.mixed(docs).collect():
+        got[r["doc_id"]][r["epoch"]] = r["text"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, (n, size) in taken.items():
+        assert sum(len(WORD.findall(t)) for t in got[i].values()) == n
+        assert sorted(got[i]) == list(range(1, len(got[i]) + 1)) and all(t == texts[i] for e, t in got[i].items() if e * size <= n)
+    assert any(n % size for n, size in taken.values() if size)
