@@ -9,9 +9,10 @@ are located by walking to sampled suffix positions, and their words merge into
 removal spans.
 
 Up to BLOCK_BYTES of benchmark text nothing is shuffled: every document is judged
-where it is read.  A larger benchmark is broadcast in blocks of about as many
-bytes; each takes a pass over the unchanged texts, and the spans of all passes are
-merged for each row before any is cut.
+where it is read.  A larger benchmark is read in blocks of no more bytes, larger
+items in stretches that share all but one word of a window; each block takes a pass
+over the unchanged texts, and the spans of all passes are merged for each row before
+any is cut.  The driver holds one block at a time.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.
 Null and empty texts have no words and no hits.  Items without words, and items
@@ -20,7 +21,7 @@ without an id, match nothing.  Rows with the same doc_id are judged one by one.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, ship, table
+from .common import cut, ship, table, unused
 
 #: Words of a window.
 WINDOW = 10
 #: Benchmark text that is searched in one pass.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Every so many positions of a shard's text keep their place in the suffix array.
 SAMPLE = 8
+_ITEM_WORD = re.compile("[0-9A-Za-z\\x80-\\U0010FFFF]+")
 
 
 @dataclass
@@ -58,26 +60,29 @@ class Phrases:
 
 def phrases_of(rows: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
     """The distinct windows of (item_id, text) rows."""
-    rows = [(str(i), t) for i, t in rows if i is not None and t]
+    rows = sorted({(str(i), t) for i, t in rows if i is not None and t})
     data, at = flat.buffers(pa.array([t for _, t in rows], pa.string()))
     data = flat.LOWER[data]
     starts, ends, first = flat.words(data, at, flat.ITEM_BYTES)
     h = flat.word_hashes(data, starts, ends)
     vocabulary, symbol = np.unique(h, return_inverse=True)
-    symbol = symbol.astype(np.int64) + 1
     items = sorted({i for i, _ in rows})
     number = {x: k for k, x in enumerate(items)}
-    found: dict[tuple[int, ...], set[int]] = {}
-    for r, (item, _) in enumerate(rows):
-        s = symbol[first[r] : first[r + 1]].tolist()
-        for k in range(max(1, len(s) - window + 1) if s else 0):
-            found.setdefault(tuple(s[k : k + window]), set()).add(number[item])
-    keys = sorted(found)
-    symbols = np.zeros((len(keys), window), np.int64)
-    for k, p in enumerate(keys):
-        symbols[k, : len(p)] = p
-    own = [sorted(found[p]) for p in keys]
-    return Phrases(vocabulary, symbols, np.array([len(p) for p in keys], np.int64), items, np.cumsum([0, *map(len, own)]), np.array([x for o in own for x in o], np.int64))
+    item = np.array([number[i] for i, _ in rows], np.int32)
+    size = np.diff(first)
+    many = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+    row = np.repeat(np.arange(len(rows)), many)
+    begin = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    padded = np.concatenate([symbol.astype(np.int32) + 1, np.zeros(window, np.int32)])
+    each = padded[begin[:, None] + np.arange(window)] * (np.arange(window) < np.minimum(size[row], window)[:, None]) if len(row) else np.zeros((0, window), np.int32)
+    # rows as big-endian bytes are ordered like their symbols
+    keys = np.ascontiguousarray(each.astype(">i4")).view(f"V{4 * window}").ravel()
+    order = np.argsort(keys, kind="stable") if len(keys) else np.zeros(0, np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    symbols = each[order[new]]
+    owners = np.unique(np.stack([np.cumsum(new) - 1, item[row[order]].astype(np.int64)], 1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+    return Phrases(vocabulary, symbols, (symbols > 0).sum(1), items, np.searchsorted(owners[:, 0], np.arange(len(symbols) + 1)), owners[:, 1].astype(np.int32))
 
 
 class WaveletMatrix:
@@ -243,10 +248,6 @@ def _spans(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 SCAN = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
-#: Columns for rows on their way through several passes.
-ROW, SPANS = "_hit_row", "_hit_spans"
-
-
 def _scan(p: Phrases):
     def run(batches):
         for batch, _, _, _, _, first, hit, pairs in _shards(p, batches):
@@ -297,24 +298,59 @@ def _clean(p: Phrases):
     return run
 
 
-def _cut_spans(batches):
+def _cut_spans(row: str, spans: str):
     """The rows without the spans found before, and without the columns that name them."""
-    for batch in flat.steps(batches, "text"):
-        data, at = flat.buffers(batch.column(batch.schema.get_field_index("text")))
-        starts, ends, first = flat.words(flat.LOWER[data], at, flat.ITEM_BYTES)
-        found = [(d, first[d] + s["start"], first[d] + s["stop"]) for d, own in enumerate(batch.column(batch.schema.get_field_index(SPANS)).to_pylist()) for s in own or ()]
-        doc, a, b = np.array(found, np.int64).reshape(-1, 3).T
-        yield _without(batch.drop_columns([ROW, SPANS]), at, starts, ends, doc, a, b)
+
+    def run(batches):
+        for batch in flat.steps(batches, "text"):
+            data, at = flat.buffers(batch.column(batch.schema.get_field_index("text")))
+            starts, ends, first = flat.words(flat.LOWER[data], at, flat.ITEM_BYTES)
+            found = [(d, first[d] + s["start"], first[d] + s["stop"]) for d, own in enumerate(batch.column(batch.schema.get_field_index(spans)).to_pylist()) for s in own or ()]
+            doc, a, b = np.array(found, np.int64).reshape(-1, 3).T
+            yield _without(batch.drop_columns([row, spans]), at, starts, ends, doc, a, b)
+
+    return run
+
+
+def _pieces(text: str, most: int, window: int) -> Iterator[str]:
+    """The text, or, if it has more bytes than most, stretches of its words that share window - 1 words, so that every window is in one."""
+    if len(text) <= most and len(text.encode()) <= most:
+        yield text
+        return
+    held: list[str] = []
+    size = fresh = 0
+    for m in _ITEM_WORD.finditer(text):
+        held.append(m[0])
+        size += len(m[0].encode()) + 1
+        fresh += 1
+        if size >= most and len(held) >= window:
+            yield " ".join(held)
+            held = held[len(held) - window + 1 :]
+            size, fresh = sum(len(w.encode()) + 1 for w in held), 0
+    if fresh:
+        yield " ".join(held)
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases] | Iterator[Phrases]:
+    """The phrases of the benchmark: a list of one block, or blocks of about block_bytes of text, one at a time."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    if n == 1:
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes:
         return [phrases_of([tuple(r) for r in items.collect()], window)]
-    block = F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n))
-    return (phrases_of([tuple(r) for r in items.where(block == k).collect()], window) for k in range(n))
+
+    def each() -> Iterator[Phrases]:
+        held, size = [], 0
+        for r in items.toLocalIterator():
+            for piece in _pieces(r["text"], block_bytes, window):
+                n = len(piece.encode())
+                if held and size + n > block_bytes:
+                    yield phrases_of(held, window)
+                    held, size = [], 0
+                held.append((r["item_id"], piece))
+                size += n
+        if held:
+            yield phrases_of(held, window)
+
+    return each()
 
 
 def _merged(found: list[DataFrame], *key: str) -> DataFrame:
@@ -333,17 +369,26 @@ def _merged(found: list[DataFrame], *key: str) -> DataFrame:
     return every.groupBy(*key).agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
+def _passes(rows: DataFrame, row: str, blocks: Iterator[Phrases]) -> DataFrame:
+    """(doc_id, n_words, spans, items) by row, of all rows: every block in a pass of its own over the unchanged texts, only hits kept of all but the first."""
+    slim = rows.select(F.col(row).alias("doc_id"), "text")
+    found = []
+    for p in blocks:
+        one = slim.mapInArrow(_scan(p), SCAN)
+        found.append(cut(one.where(F.size("spans") > 0) if found else one))
+    return _merged(found, "doc_id")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans of hit words, items found) for every document."""
+    """(doc_id, n_words, spans of hit words, items found) for every row."""
     ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     blocks = _blocks(benchmark, window, block_bytes)
     if isinstance(blocks, list):
         return slim.mapInArrow(_scan(blocks[0]), SCAN)
-    rows = cut(slim.withColumn(ROW, F.monotonically_increasing_id()))  # numbered once
-    texts = rows.select(F.col(ROW).alias("doc_id"), "text")
-    found = _merged([texts.mapInArrow(_scan(p), SCAN) for p in blocks], "doc_id").withColumnRenamed("doc_id", ROW)
-    return rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).join(found, ROW).select("doc_id", "n_words", "spans", "items")
+    rows = cut(slim.withColumn("row", F.monotonically_increasing_id()))  # numbered once
+    found = _passes(rows, "row", blocks).withColumnRenamed("doc_id", "row")
+    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).join(found, "row").select("doc_id", "n_words", "spans", "items")
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -352,11 +397,10 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     blocks = _blocks(benchmark, window, block_bytes)
     if isinstance(blocks, list):
         return docs.mapInArrow(_clean(blocks[0]), docs.schema)
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))  # numbered once
-    slim = rows.select(F.col(ROW).alias("doc_id"), "text")
-    found = _merged([slim.mapInArrow(_scan(p), SCAN).where(F.size("spans") > 0) for p in blocks], "doc_id")
-    spans = found.select(F.col("doc_id").alias(ROW), F.col("spans").alias(SPANS))
-    return rows.join(spans, ROW, "left").mapInArrow(_cut_spans, docs.schema)
+    row, spans = unused(docs.columns, "hit_row"), unused(docs.columns, "hit_spans")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # numbered once
+    found = _passes(rows, row, blocks).where(F.size("spans") > 0).select(F.col("doc_id").alias(row), F.col("spans").alias(spans))
+    return rows.join(found, row, "left").mapInArrow(_cut_spans(row, spans), docs.schema)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
