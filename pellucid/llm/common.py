@@ -22,14 +22,22 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a private one only where none is set, as in tests."""
+    """The checkpoint folder of the cluster; a private one only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder; a lost executor loses none of it."""
     shared_dir(df.sparkSession)

@@ -17,8 +17,10 @@ documents, so that a block, anchor or window has at most one entry for each
 flush of a task.  A passage in a third of all documents is therefore no hot key.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  Null and empty texts have no words.
-doc_id is the key of a document: repeated rows get the same result, and a null
-id comes before all others.  A text of fewer than WINDOW words loses nothing.
+A document is a doc_id and a text: rows equal in both get the same result, rows
+that share an id (or have none) but not the text are documents of their own, in
+the order of a hash of their texts.  A null id comes before all others.  A text of
+fewer than WINDOW words loses nothing.
 """
 
 from __future__ import annotations
@@ -38,11 +40,13 @@ ANCHOR = 8
 #: Blocks that a task holds before it resolves and sends them.
 FLUSH = 1_000_000
 NO_ID = -(2**63)
+#: What tells a document from another: its id and its text.
+KEY = ["doc_key", "text_key"]
 
 I32, I64 = np.int32, np.int64
-ROW = "kind int, part int, a binary, b binary, doc binary, lo binary, n binary, ref binary, at binary"
-COLUMNS = ("a", "b", "doc", "lo", "n", "ref", "at")
-TYPES = {"a": flat.U64, "b": flat.U64, "doc": I64, "lo": I32, "n": I32, "ref": I64, "at": I32}
+ROW = "kind int, part int, a binary, b binary, doc binary, row binary, lo binary, n binary, ref binary, at binary"
+COLUMNS = ("a", "b", "doc", "row", "lo", "n", "ref", "at")
+TYPES = {"a": flat.U64, "b": flat.U64, "doc": I64, "row": I64, "lo": I32, "n": I32, "ref": I64, "at": I32}
 #: Kinds of rows: entries of an index, ranges of windows still to be checked, factors.
 ENTRY, OPEN, FACTOR = 0, 1, 2
 #: In n of an entry: its anchor has unlike blocks.
@@ -74,46 +78,51 @@ def _read(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[str, np.ndarray]]
     return {k: {c: np.frombuffer(b"".join(x), TYPES[c]) for c, x in m.items()} for k, m in held.items()}
 
 
-def _runs(doc, lo, n, ref=None, at=None):
+def _part_of_doc(doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    return _part_of(doc.astype(flat.U64) ^ flat.mix(row.astype(flat.U64)), n)
+
+
+def _runs(doc, row, lo, n, ref=None, at=None):
     """Ranges of windows sorted and joined where one goes on from the other, in the reference too."""
-    order = np.lexsort((lo, doc))
-    doc, lo, n = doc[order], lo[order], n[order]
+    order = np.lexsort((lo, row, doc))
+    doc, row, lo, n = doc[order], row[order], lo[order], n[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + n[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (lo[1:] != lo[:-1] + n[:-1])
     if ref is not None:
         ref, at = ref[order], at[order]
         new[1:] |= (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + n[:-1])
     first = np.flatnonzero(new)
     n = np.add.reduceat(n, first) if len(first) else n
-    return (doc[first], lo[first], n) + ((ref[first], at[first]) if ref is not None else ())
+    return (doc[first], row[first], lo[first], n) + ((ref[first], at[first]) if ref is not None else ())
 
 
-def _out(doc, lo, n, ref, at, open_, copied, parts_: int) -> list[dict]:
+def _out(doc, row, lo, n, ref, at, open_, copied, parts_: int) -> list[dict]:
     """Rows for the documents' parts: open ranges and factors."""
     rows = []
     if open_.any():
-        d, s, m = _runs(doc[open_], lo[open_], n[open_])
-        rows += _rows(OPEN, _part_of(d, parts_), parts_, {"doc": d, "lo": s, "n": m})
+        d, k, s, m = _runs(doc[open_], row[open_], lo[open_], n[open_])
+        rows += _rows(OPEN, _part_of_doc(d, k, parts_), parts_, {"doc": d, "row": k, "lo": s, "n": m})
     if copied.any():
-        d, s, m, r, t = _runs(doc[copied], lo[copied], n[copied], ref, at)
-        rows += _rows(FACTOR, _part_of(d, parts_), parts_, {"doc": d, "lo": s, "n": m, "ref": r, "at": t})
+        d, k, s, m, r, t = _runs(doc[copied], row[copied], lo[copied], n[copied], ref, at)
+        rows += _rows(FACTOR, _part_of_doc(d, k, parts_), parts_, {"doc": d, "row": k, "lo": s, "n": m, "ref": r, "at": t})
     return rows
 
 
-def _resolve(a, b, doc, lo):
-    """Order by key and place; first: is it the earliest of (a, b); rep: index of that one; new_a: does a new a begin."""
-    order = np.lexsort((lo, doc, b, a))
-    a, b, doc, lo = a[order], b[order], doc[order], lo[order]
+def _resolve(a, b, doc, row, lo):
+    """Order by key and place; first: is it the earliest of (a, b); rep: index of that one; new_a: does a new a begin; copied: is it a later one elsewhere."""
+    order = np.lexsort((lo, row, doc, b, a))
+    a, b, doc, row, lo = a[order], b[order], doc[order], row[order], lo[order]
     new_a = np.ones(len(a), bool)
     new_a[1:] = a[1:] != a[:-1]
     first = new_a.copy()
     first[1:] |= b[1:] != b[:-1]
     rep = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return order, first, rep, new_a
+    copied = ~first & ((doc != doc[rep]) | (row != row[rep]) | (lo != lo[rep]))
+    return order, first, rep, new_a, copied
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index("doc_key")).to_numpy(zero_copy_only=False).astype(I64)
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(I64) for c in KEY)
 
 
 def blocks(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
@@ -142,16 +151,15 @@ def blocks(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
 
 def _index(window: int, anchor: int, parts_: int):
     def flush(held):
-        a, b, doc, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first, rep, new_a = _resolve(a, b, doc, lo)
-        a, b, doc, lo, n = a[order], b[order], doc[order], lo[order], n[order]
+        a, b, doc, row, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first, rep, new_a, copied = _resolve(a, b, doc, row, lo)
+        a, b, doc, row, lo, n = a[order], b[order], doc[order], row[order], lo[order], n[order]
         group = np.cumsum(new_a) - 1
         many = np.bincount(group, first)[group] > 1
-        copied = ~first & ((doc != doc[rep]) | (lo != lo[rep]))
-        rows = _out(doc, lo, n, doc[rep][copied], lo[rep][copied], first & many, copied, parts_)
+        rows = _out(doc, row, lo, n, doc[rep][copied], lo[rep][copied], first & many, copied, parts_)
         sent = (first & ~many) | (new_a & many)
         n = np.where(many, MANY, n)
-        rows += _rows(ENTRY, _part_of(a[sent], parts_), parts_, {"a": a[sent], "b": b[sent], "doc": doc[sent], "lo": lo[sent], "n": n[sent]})
+        rows += _rows(ENTRY, _part_of(a[sent], parts_), parts_, {"a": a[sent], "b": b[sent], "doc": doc[sent], "row": row[sent], "lo": lo[sent], "n": n[sent]})
         return _batch(rows)
 
     def run(batches):
@@ -163,7 +171,7 @@ def _index(window: int, anchor: int, parts_: int):
                 continue
             a, b, doc, lo, n = blocks(flat.word_hashes(data, starts, ends), first, window, anchor)
             if len(a):
-                held.append((a, b, _ids(batch)[doc], lo, n))
+                held.append((a, b, *(x[doc] for x in _ids(batch)), lo, n))
                 size += len(a)
             if size > FLUSH:
                 yield flush(held)
@@ -192,13 +200,13 @@ def _match_blocks(parts_: int):
         yield from kept
         if held is None:
             return
-        order, first, rep, new_a = _resolve(held["a"], np.where(held["n"] == MANY, flat.U64(0), held["b"]), held["doc"], held["lo"])
-        doc, lo, n = held["doc"][order], held["lo"][order], held["n"][order]
+        order, first, rep, new_a, copied = _resolve(held["a"], np.where(held["n"] == MANY, flat.U64(0), held["b"]), held["doc"], held["row"], held["lo"])
+        doc, row, lo, n = (held[c][order] for c in ("doc", "row", "lo", "n"))
         group = np.cumsum(new_a) - 1
         flag = n == MANY
         many = (np.bincount(group, first & ~flag)[group] > 1) | (np.bincount(group, flag)[group] > 0)
-        copied = ~first & ~flag & ((doc != doc[rep]) | (lo != lo[rep]))
-        rows = _out(doc, lo, n, doc[rep][copied], lo[rep][copied], first & many & ~flag, copied, parts_)
+        copied &= ~flag
+        rows = _out(doc, row, lo, n, doc[rep][copied], lo[rep][copied], first & many & ~flag, copied, parts_)
         if rows:
             yield _batch(rows)
 
@@ -210,38 +218,38 @@ def _match_windows(parts_: int):
         held = _read(batches)
         rows = []
         if (f := held.get(FACTOR)) is not None:
-            rows += _rows(FACTOR, _part_of(f["doc"], parts_), parts_, {c: f[c] for c in ("doc", "lo", "n", "ref", "at")})
+            rows += _rows(FACTOR, _part_of_doc(f["doc"], f["row"], parts_), parts_, {c: f[c] for c in ("doc", "row", "lo", "n", "ref", "at")})
         if (e := held.get(ENTRY)) is not None:
-            order, first, rep, _ = _resolve(e["a"], e["b"], e["doc"], e["lo"])
-            doc, lo, n = e["doc"][order], e["lo"][order], e["n"][order]
-            copied = ~first & ((doc != doc[rep]) | (lo != lo[rep]))
-            rows += _out(doc, lo, n, doc[rep][copied], lo[rep][copied], np.zeros(len(doc), bool), copied, parts_)
+            order, _, rep, _, copied = _resolve(e["a"], e["b"], e["doc"], e["row"], e["lo"])
+            doc, row, lo, n = (e[c][order] for c in ("doc", "row", "lo", "n"))
+            rows += _out(doc, row, lo, n, doc[rep][copied], lo[rep][copied], np.zeros(len(doc), bool), copied, parts_)
         if rows:
             yield _batch(rows)
 
     return run
 
 
-BY_DOC = "doc_key long, open binary, factors binary"
+BY_DOC = "doc_key long, text_key long, open binary, factors binary"
 
 
 def _by_doc(batches):
     """One row for each document of a partition: its open ranges (lo, n) and factors (lo, n, ref, at), as 64-bit integers."""
     held = _read(batches)
-    out: dict[int, list[bytes | None]] = {}
+    out: dict[tuple[int, int], list[bytes | None]] = {}
     for k, kind, columns in ((0, OPEN, ("lo", "n")), (1, FACTOR, ("lo", "n", "ref", "at"))):
         if (x := held.get(kind)) is None:
             continue
-        order = np.lexsort((x["lo"], x["doc"]))
-        doc = x["doc"][order]
+        order = np.lexsort((x["lo"], x["row"], x["doc"]))
+        doc, row = x["doc"][order], x["row"][order]
         table_ = np.stack([x[c][order].astype(I64) for c in columns], 1)
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        for d, s, e in zip(doc[at].tolist(), at, [*at[1:], len(doc)], strict=True):
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
+        for d, s, e in zip(zip(doc[at].tolist(), row[at].tolist(), strict=True), at, [*at[1:], len(doc)], strict=True):
             out.setdefault(d, [None, None])[k] = table_[s:e].tobytes()
     keys = list(out)
     for s in range(0, len(keys), 10_000):
         some = keys[s : s + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([out[d][0] for d in some], pa.binary()), pa.array([out[d][1] for d in some], pa.binary())], ["doc_key", "open", "factors"])
+        keys_ = [pa.array([d[k] for d in some], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*keys_, pa.array([out[d][0] for d in some], pa.binary()), pa.array([out[d][1] for d in some], pa.binary())], [*KEY, "open", "factors"])
 
 
 def _windows(window: int, parts_: int):
@@ -249,13 +257,12 @@ def _windows(window: int, parts_: int):
     p1, p2 = (flat.powers(flat._GRAM + s | 1, window) for s in (8, 16))
 
     def flush(held):
-        a, b, doc, lo = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first, rep, _ = _resolve(a, b, doc, lo)
-        a, b, doc, lo = a[order], b[order], doc[order], lo[order]
+        a, b, doc, row, lo = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first, rep, _, copied = _resolve(a, b, doc, row, lo)
+        a, b, doc, row, lo = a[order], b[order], doc[order], row[order], lo[order]
         one = np.ones(len(a), I64)
-        copied = ~first & ((doc != doc[rep]) | (lo != lo[rep]))
-        rows = _out(doc, lo, one, doc[rep][copied], lo[rep][copied], np.zeros(len(a), bool), copied, parts_)
-        rows += _rows(ENTRY, _part_of(a[first], parts_), parts_, {"a": a[first], "b": b[first], "doc": doc[first], "lo": lo[first], "n": one[first]})
+        rows = _out(doc, row, lo, one, doc[rep][copied], lo[rep][copied], np.zeros(len(a), bool), copied, parts_)
+        rows += _rows(ENTRY, _part_of(a[first], parts_), parts_, {"a": a[first], "b": b[first], "doc": doc[first], "row": row[first], "lo": lo[first], "n": one[first]})
         return _batch(rows)
 
     def run(batches):
@@ -275,7 +282,7 @@ def _windows(window: int, parts_: int):
             for s in range(0, len(place), 200_000):
                 some, own = place[s : s + 200_000], doc[s : s + 200_000]
                 seen = h[some[:, None] + np.arange(window)]
-                held.append((flat.mix((seen * p1).sum(1, dtype=flat.U64)), flat.mix((seen * p2).sum(1, dtype=flat.U64)), ids[own], some - first[own]))
+                held.append((flat.mix((seen * p1).sum(1, dtype=flat.U64)), flat.mix((seen * p2).sum(1, dtype=flat.U64)), *(x[own] for x in ids), some - first[own]))
                 size += len(some)
             if size > FLUSH:
                 yield flush(held)
@@ -303,7 +310,7 @@ def _cut_out(window: int):
                 if len(ranges):
                     lo, m, ref, at = (c for c in ranges.T)
                     zero = np.zeros(len(lo), I64)
-                    _, lo, m, ref, at = _runs(zero, lo, m, ref, at)
+                    _, _, lo, m, ref, at = _runs(zero, zero, lo, m, ref, at)
                     edge = np.zeros(n + 1, I64)
                     np.add.at(edge, np.minimum(lo, n), 1)
                     np.add.at(edge, np.minimum(lo + m + window - 1, n), -1)
@@ -329,18 +336,18 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     spark = docs.sparkSession
     ship(spark)
     n = parts(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartitionById(n, F.col("part"))
 
-    indexed = dealt(docs.select("doc_key", "text").mapInArrow(_index(window, anchor, n), ROW))
+    indexed = dealt(docs.select(*KEY, "text").mapInArrow(_index(window, anchor, n), ROW))
     first = cut(dealt(indexed.mapInArrow(_match_blocks(n), ROW)).mapInArrow(_by_doc, BY_DOC))
-    some = docs.select("doc_key", "text").join(first.where("open is not null").select("doc_key", "open").hint("shuffle_hash"), "doc_key")
+    some = docs.select(*KEY, "text").join(first.where("open is not null").select(*KEY, "open").hint("shuffle_hash"), KEY)
     checked = dealt(some.mapInArrow(_windows(window, n), ROW))
     second = cut(dealt(checked.mapInArrow(_match_windows(n), ROW)).mapInArrow(_by_doc, BY_DOC))
-    factors = first.unionByName(second).where("factors is not null").groupBy("doc_key").agg(F.collect_list("factors").alias("factors"))
-    every = docs.join(factors.hint("shuffle_hash"), "doc_key", "left").select("doc_id", "text", "factors")
+    factors = first.unionByName(second).where("factors is not null").groupBy(*KEY).agg(F.collect_list("factors").alias("factors"))
+    every = docs.join(factors.hint("shuffle_hash"), KEY, "left").select("doc_id", "text", "factors")
     return every.mapInArrow(_cut_out(window), KEPT)
 
 

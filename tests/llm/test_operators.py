@@ -272,6 +272,17 @@ def test_repeats_factors_and_edges(spark, nothing):
 # 5
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Rows with one id, or none, but other texts are documents of their own; equal rows get one result."""
+    rng = random.Random(14)
+    own = [sentence(rng, 60, 10**6) for _ in range(6)]
+    shared = sentence(rng, 30, 10**6)
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (3, own[2]), (3, own[3]), (3, own[2]), (1, f"{own[4]} {shared}"), (2, f"{shared} {own[5]}"), (3, f"x {shared}")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, doc_key long").repartition(4)
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_rlz.repeats_removed(df).collect()))
+    assert got == sorted([(0, 60, 0)] * 3 + [(3, 60, 0)] * 3 + [(1, 90, 0), (2, 90, 30), (3, 31, 30)])
+
+
 def brute_groups(rows):
     sets = {}
     for i, t in rows:
