@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  run() writes each stage's rows as Parquet into
-the cluster's shared folder and hands them, read again, to the next.
+the cluster's shared folder and hands them, read again, to the next; rows that two
+stages lie behind are deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pellucid.llm import decontaminate_fm, lang_rank, mixing, near_dedup, pii_bootstrap
-from pellucid.llm.common import shared_dir, table
+from pellucid.llm.common import remove, shared_dir, table
 
 #: Documents less like every language's profile than this are rejected.
 LEAST_SCORE = 0.05
@@ -44,8 +45,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it; 0 leaves it out."""
-    return mixing.mix(docs, keep=docs.columns)
+    """The documents that the mix takes, with size and target of their source and the words taken of each (repeats counted); the others go."""
+    return mixing.mix(docs, keep=docs.columns).where("taken > 0")
 
 
 STAGES = [
@@ -56,16 +57,19 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: Learned profiles and patterns can't be expressed in SQL; tests hold the stages against brute force.
+#: Learned profiles and patterns can't be expressed in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, folder, old = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+            path = f"{folder}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if old:
+                remove(spark, old)
+            old = path
     return docs
