@@ -39,7 +39,7 @@ CONFIDENCE = 0.7
 FREQUENCY = 0.5
 #: Up to so many words that end promising contexts are looked up as a literal set; more are joined.
 LITERAL_WORDS = 5_000
-#: Up to so many added spans (counted; a few dozen bytes each) are broadcast to their rows.
+#: Up to so many added spans or patterns (counted; a pattern has at most four words of WORD_CHARS) are broadcast to rows.
 FEW = 100_000
 #: Matches that one step of the running position handles; keeps long lists from quadratic cost.
 STEP = 256
@@ -222,18 +222,30 @@ def pattern_counts(docs: DataFrame, promising: DataFrame) -> DataFrame:
     else:
         each = _bound(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.struct(F.get(w, k - 1).alias("word"), at(w, k).alias("patterns"))))
         every = docs.select(F.inline(each)).join(ends, "word", "left_semi").select(F.explode("patterns").alias("pattern"))
-    return every.groupBy("pattern").agg(F.count(F.lit(1)).alias("times")).join(promising, "pattern", "left_semi")
+    few = promising.limit(FEW + 1).count() <= FEW
+    return every.join(F.broadcast(promising) if few else promising, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("times"))
 
 
-def scored(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """(pattern, as_kind, confidence) of the good patterns, from edges (pattern, value, n, times) and known (value, kind, score)."""
-    each = edges.join(known, "value", "left").select("*", F.explode(F.array(*(F.lit(k) for k in range(len(KINDS))))).alias("as_kind"))
+def _by_kind(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """edges with what is known of their values, once for each kind that a pattern may stand for."""
+    return edges.join(known, "value", "left").select("*", F.explode(F.array(*(F.lit(k) for k in range(len(KINDS))))).alias("as_kind"))
+
+
+def _tested() -> tuple[Column, Column, Column]:
+    """Is a value of the kind, may it be, or can't it?"""
     right = F.coalesce(F.col("kind") == F.col("as_kind"), F.lit(False))
     open_ = F.col("kind").isNull() & shape_fits(F.col("value"), F.col("as_kind"))
+    return right, open_, ~right & ~open_
+
+
+def scored(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(pattern, as_kind, confidence) of the good patterns, from edges (pattern, value, n, times) and known (value, kind, score)."""
+    each = _by_kind(edges, known)
+    right, open_, bad = _tested()
     scores = each.groupBy("pattern", "as_kind", "times").agg(
         F.sum(F.when(right, F.col("score")).otherwise(0.0)).alias("good"),
         F.count_if(right).alias("instances"),
-        F.count_if(~right & ~open_).alias("bad"),
+        F.count_if(bad).alias("bad"),
         F.sum(F.when(right | open_, F.col("n")).otherwise(0)).alias("followed"),
     )
     confidence = F.col("good") / (F.col("instances") + F.col("bad"))
@@ -250,10 +262,16 @@ def discovered(docs: DataFrame, based: DataFrame) -> DataFrame | None:
     # a value found as two kinds counts as the first
     seeds = seeds.groupBy("value").agg(F.min("kind").alias("kind"))
     by_kind = behind.select("pattern", of_kind.alias("kind"), "value").where("kind is not null").distinct().groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    promising = cut(by_kind.where(F.col("seeds") >= SEEDS).select("pattern").distinct())
+    seeded = by_kind.where(F.col("seeds") >= SEEDS).select("pattern").distinct()
+    edges = cut(behind.join(seeded, "pattern", "left_semi").groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")))
+    # what is wrong for a kind stays wrong: patterns that can't get right in any round needn't be counted
+    right, open_, bad = _tested()
+    hopeful = _by_kind(edges, seeds).groupBy("pattern", "as_kind").agg(F.count_if(right).alias("right"), F.count_if(open_).alias("open"), F.count_if(bad).alias("bad"))
+    hopeful = hopeful.where((F.col("right") >= SEEDS) & (F.col("right") + F.col("open") >= CONFIDENCE * (F.col("right") + F.col("open") + F.col("bad"))))
+    promising = cut(hopeful.select("pattern").distinct())
     if promising.isEmpty():
         return None
-    edges = behind.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")).join(pattern_counts(docs, promising), "pattern")
+    edges = edges.join(pattern_counts(docs, promising), "pattern")
     edges = cut(edges)
     known = cut(seeds.withColumn("score", F.lit(1.0)))
     size = known.count()
