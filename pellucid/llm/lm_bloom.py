@@ -1,20 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Unigram and bigram counts of all training documents are added up in hash
-partitions.  A count c is quantised to level 1 + floor(log c / log BASE), and an
-n-gram of level L enters the filter L times, as (n-gram, 1) .. (n-gram, L).  A
-probe asks for level 1, 2, ... until one is missing; errors only ever add, and a
-level too many is as rare as a false positive.  Every partition makes the part
-of the filter for its hashes, as large as its entries ask for, so that no count is
-dropped.  Up to MAX_FILTER_BYTES in all the filter is broadcast; a larger one stays
-in its parts, and the distinct n-grams of every CHUNK tokens are sent to them and
-their levels back.  Both ways give the same scores.
-
-P(word | before) = w * c(before, word) / c(before) + (1 - w) * P(word), with
-add-0.1 unigrams, all counts from the filter.  w depends on how frequent the word
-before is; the weights maximise the deleted (leave-one-out) likelihood of all
-training tokens, from a table of quantised counts that the partitions fill.
-Bigrams seen once are left out, as is usual.
+segments, whose number follows from the number of documents alone.  A count c is
+quantised to level 1 + floor(log c / log BASE), and an n-gram of level L enters the
+filter of its segment L times, as (n-gram, 1) .. (n-gram, L).  A probe asks for level
+1, 2, ... until one is missing; errors only ever add, and a level too many is as
+rare as a false positive, ERROR = 2 ** -HASHES.  A segment's filter is as large as its
+entries ask for, so that no count is dropped.  Up to MAX_FILTER_BYTES in all the
+filter is broadcast; a larger one stays in its segments, and the distinct n-grams of
+every CHUNK tokens are sent to them and their levels back.  Both ways, and any number
+of partitions, give the same scores.
+
+P(word | before) = (c(before, word) + PRIOR * P(word)) / (c(before) + PRIOR), with
+add-0.1 unigrams, all counts from the filter (Dirichlet smoothing).  Bigrams seen
+once are left out, as is usual.
 
 The exact unigram counts behind base_score are broadcast as hashes with counts
 for the most frequent words, at most MAX_VOCABULARY; those of rarer words, if
@@ -38,11 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, parts, ship, table
+from .common import cut, parts, ship, table, unused
 
 BASE = 1.5
 HASHES = 4
+ERROR = 2.0**-HASHES
 LEAST_BIGRAM = 2
+#: Words that the unigram estimate counts for behind every word; of 0.5 to 10,000, 1,000 fits held-out texts of the test tables best.
+PRIOR = 1000.0
+#: Documents for each segment of the counts, and the least number of segments.
+SEGMENT_ROWS, LEAST_SEGMENTS = 1 << 17, 64
 #: A filter of more bytes isn't broadcast.
 MAX_FILTER_BYTES = 48 << 20
 MAX_VOCABULARY = 16_000_000
@@ -50,12 +54,10 @@ MAX_VOCABULARY = 16_000_000
 FLUSH = 1_500_000
 #: Tokens whose n-grams are sent to the parts of the filter together.
 CHUNK = 1_500_000
-#: Frequencies are 2 ** -k for these tables, k under KINDS.
-KINDS = 64
 
 _START, _END = flat.mix(np.array([101, 102], flat.U64))
 _PAIR = flat.U64(0xD6E8FEB86659FD93)
-UNIGRAM, BIGRAM, CELLS, FILTER = 0, 1, 2, 3
+UNIGRAM, BIGRAM, FILTER = 0, 1, 2
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -97,16 +99,15 @@ def _places(key: np.ndarray, level: np.ndarray | int, bits: np.ndarray) -> Itera
         yield (a + flat.U64(i) * b) % bits
 
 
-PART = "kind int, part int, key binary, n binary, before binary, word binary"
+PART = "kind int, part int, key binary, n binary"
 
 
 def _count(parts_: int):
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("key", "n", "before", "word"))])
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("key", "n"))])
 
     def flush(held: list[np.ndarray]):
         every = np.concatenate(held)
         seen, place, count = np.unique(every, return_inverse=True, return_counts=True)
-        kind = np.minimum(KINDS - 1, np.floor(np.log2(len(every) / count))).astype(np.uint8)
         word = np.flatnonzero(seen != _START)
         part = (seen[word] % flat.U64(parts_)).astype(np.int64)
         rows = [{"kind": UNIGRAM} | r for r in flat.spread(part, parts_, {"key": seen[word], "n": count[word].astype(np.int32)})]
@@ -117,7 +118,7 @@ def _count(parts_: int):
         before, after = np.divmod(code[first], len(seen))
         key = pair_hash(seen[before], seen[after])
         part = (key % flat.U64(parts_)).astype(np.int64)
-        rows += [{"kind": BIGRAM} | r for r in flat.spread(part, parts_, {"key": key, "n": n, "before": kind[before], "word": kind[after]})]
+        rows += [{"kind": BIGRAM} | r for r in flat.spread(part, parts_, {"key": key, "n": n})]
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches):
@@ -139,54 +140,49 @@ SUMS = "kind int, part int, key binary, n binary, total long, size long"
 
 
 def _sum():
-    """The vocabulary, the table for the weights and the filter of each part."""
+    """The vocabulary and the filter of each segment, from rows sorted by it; one segment is held at a time."""
 
-    def add_up(key: np.ndarray, n: np.ndarray):
+    def add_up(x: list[tuple[bytes, bytes]]):
+        key, n = np.frombuffer(b"".join(k for k, _ in x), flat.U64), np.frombuffer(b"".join(c for _, c in x), np.int32)
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order].astype(np.int64)
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = np.flatnonzero(new)
-        return key[first], np.add.reduceat(n, first), order, np.cumsum(new) - 1
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first], np.add.reduceat(n, first)
+
+    def summed(p: int, held: dict[int, list[tuple[bytes, bytes]]]):
+        out, items, levels = [], [], []
+        if UNIGRAM in held:
+            key, n = add_up(held.pop(UNIGRAM))
+            items.append(key)
+            levels.append(level_of(n))
+            out.append((UNIGRAM, p, key.tobytes(), n.tobytes(), int(n.sum()), len(key)))
+        if BIGRAM in held:
+            key, n = add_up(held.pop(BIGRAM))
+            items.append(key[n >= LEAST_BIGRAM])
+            levels.append(level_of(n[n >= LEAST_BIGRAM]))
+        key, level = np.concatenate(items), np.concatenate(levels)
+        size = int(max(64, level.sum() * HASHES / math.log(2)))
+        size = -(-size // 64) * 64
+        bit = np.zeros(size, bool)
+        for q in range(1, int(level.max()) + 1 if len(level) else 1):
+            some = key[level >= q]
+            for place in _places(some, q, np.full(1, size, flat.U64)):
+                bit[place.astype(np.int64)] = True
+        out.append((FILTER, p, np.packbits(bit, bitorder="little").tobytes(), b"", 0, size))
+        k, p, key, n, total, size = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.binary()), pa.array(total, pa.int64()), pa.array(size, pa.int64())], ["kind", "part", "key", "n", "total", "size"])
 
     def run(batches):
-        held: dict[tuple[int, int], list[list[bytes]]] = {}
+        here, held = None, {}
         for batch in batches:
             for r in batch.to_pylist():
-                mine = held.setdefault((r["part"], r["kind"]), [[], [], [], []])
-                for x, c in zip(mine, ("key", "n", "before", "word"), strict=True):
-                    x.append(r[c] or b"")
-        out = []
-        for p in sorted({p for p, _ in held}):
-            items, levels = [], []
-            if (x := held.pop((p, UNIGRAM), None)) is not None:
-                key, n, _, _ = add_up(np.frombuffer(b"".join(x[0]), flat.U64), np.frombuffer(b"".join(x[1]), np.int32))
-                items.append(key)
-                levels.append(level_of(n))
-                out.append((UNIGRAM, p, key.tobytes(), n.tobytes(), int(n.sum()), len(key)))
-            if (x := held.pop((p, BIGRAM), None)) is not None:
-                each = np.frombuffer(b"".join(x[1]), np.int32)
-                key, n, order, group = add_up(np.frombuffer(b"".join(x[0]), flat.U64), each)
-                before, word = (np.frombuffer(b"".join(y), np.uint8)[order].astype(np.int64) for y in x[2:])
-                # with a token taken out, is its bigram still there, and how often
-                left = np.where(n - 1 >= LEAST_BIGRAM, level_of(n - 1), 0)[group]
-                cell = np.bincount((before * KINDS + word) * 64 + np.minimum(left, 63), each[order], minlength=1)
-                some = np.flatnonzero(cell)
-                out.append((CELLS, p, some.astype(np.int64).tobytes(), cell[some].astype(np.int64).tobytes(), 0, len(some)))
-                level = level_of(n)
-                items.append(key[n >= LEAST_BIGRAM])
-                levels.append(level[n >= LEAST_BIGRAM])
-            key, level = np.concatenate(items), np.concatenate(levels)
-            size = int(max(64, level.sum() * HASHES / math.log(2)))
-            size = -(-size // 64) * 64
-            bit = np.zeros(size, bool)
-            for q in range(1, int(level.max()) + 1 if len(level) else 1):
-                some = key[level >= q]
-                for place in _places(some, q, np.full(1, size, flat.U64)):
-                    bit[place.astype(np.int64)] = True
-            out.append((FILTER, p, np.packbits(bit, bitorder="little").tobytes(), b"", 0, size))
-        if out:
-            k, p, key, n, total, size = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.binary()), pa.array(total, pa.int64()), pa.array(size, pa.int64())], ["kind", "part", "key", "n", "total", "size"])
+                if r["part"] != here and held:
+                    yield summed(here, held)
+                    held = {}
+                here = r["part"]
+                held.setdefault(r["kind"], []).append((r["key"], r["n"]))
+        if held:
+            yield summed(here, held)
 
     return run
 
@@ -242,23 +238,6 @@ class Filter:
         return level
 
 
-def fitted_weights(cells: dict[int, int], total: int) -> np.ndarray:
-    """Weight of the bigram estimate for each frequency of the word before, by expectation maximisation."""
-    weight = np.zeros(KINDS)
-    if not cells:
-        return weight
-    key, n = np.array(list(cells)), np.array(list(cells.values()), float)
-    left, word, before = VALUES[key % 64], 0.5 ** ((key // 64) % KINDS), key // (64 * KINDS)
-    bigram = left / np.maximum(total * 0.5 ** before.astype(float) * 0.75, 1.0)
-    for k in np.unique(before):
-        mine = before == k
-        w, b, u, m = 0.5, np.minimum(bigram[mine], 1.0), word[mine] * 0.75, n[mine]
-        for _ in range(60):
-            w = float((m * (w * b / (w * b + (1 - w) * u))).sum() / m.sum())
-        weight[k] = w
-    return np.clip(weight, 0.0, 0.95)
-
-
 class Ngrams:
     """The distinct n-grams of some texts, by place, and the keys that the filter is asked for."""
 
@@ -286,7 +265,7 @@ class Ngrams:
 @dataclass
 class Model:
     filter: Filter | None  # None: too large to be broadcast
-    weights: np.ndarray
+    segments: int
     total: int
     distinct: int
     vocabulary: tuple[np.ndarray, np.ndarray]
@@ -312,11 +291,8 @@ class Model:
         """The score of each text, from the levels of its n-grams' keys."""
         unigram, c = VALUES[level[: len(g.seen)]], VALUES[level[len(g.seen) :]]
         below = self.total + 0.1 * (self.distinct + 1)
-        context = np.maximum(unigram[g.a], 1e-9)
-        kind = np.clip(np.floor(np.log2(max(self.total, 1) / context)), 0, KINDS - 1).astype(np.int64)
-        w = np.where(unigram[g.a] > 0, self.weights[kind], 0.0)
         c = np.where(c >= LEAST_BIGRAM, c, 0.0)
-        p = w * np.minimum(c / context, 1.0) + (1 - w) * (unigram[g.b] + 0.1) / below
+        p = (np.minimum(c, unigram[g.a]) + PRIOR * (unigram[g.b] + 0.1) / below) / (unigram[g.a] + PRIOR)
         return np.bincount(g.owner, np.log10(p)[g.back], minlength=len(g.bounds) - 1)
 
 
@@ -333,7 +309,7 @@ def _broadcast_filter(sums: DataFrame, n: int, size: int) -> Filter:
     return Filter(n, at, bits, data)
 
 
-PROBE, LEVELS, HOME = 4, 5, 6
+PROBE, LEVELS, HOME = 3, 4, 5
 PROBES = "kind int, part int, home int, chunk string, from_part int, size long, key binary, place binary, bounds binary, rows binary"
 
 
@@ -393,20 +369,22 @@ def _asked(batches):
         yield _message([r | {"kind": LEVELS, "part": r["home"], "key": level.astype(np.uint8).tobytes()}])
 
 
+def segments_of(rows: int) -> int:
+    """A power of two; the counts of that many documents are in so many segments, whatever the partitions."""
+    return max(LEAST_SEGMENTS, 1 << max(0, (rows // SEGMENT_ROWS).bit_length()))
+
+
 def learn(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_vocabulary: int = MAX_VOCABULARY) -> tuple[Model, DataFrame]:
     """The model of the texts of training, and the sums it came from (vocabulary blobs are of kind UNIGRAM)."""
     spark = training.sparkSession
     ship(spark)
-    n = parts(spark)
-    sums = cut(training.select("text").mapInArrow(_count(n), PART).repartitionById(n, F.col("part")).mapInArrow(_sum(), SUMS))
+    n = segments_of(training.count())
+    dealt = training.select("text").mapInArrow(_count(n), PART).repartitionById(parts(spark), F.col("part") % parts(spark)).sortWithinPartitions("part")
+    sums = cut(dealt.mapInArrow(_sum(), SUMS))
     heads = sums.where(F.col("kind") == UNIGRAM).agg(F.sum("total"), F.sum("size")).first()
     total, distinct = int(heads[0] or 0), int(heads[1] or 0)
-    size = sum(r[0] for r in sums.where(F.col("kind") == FILTER).select(F.length("key")).collect())
+    size = int(sums.where(F.col("kind") == FILTER).agg(F.sum(F.length("key"))).first()[0] or 0)
     filter_ = _broadcast_filter(sums, n, size) if size <= max_filter_bytes else None
-    cells: dict[int, int] = {}
-    for r in sums.where(F.col("kind") == CELLS).select("key", "n").toLocalIterator():
-        for k, m in zip(np.frombuffer(r["key"], np.int64).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True):
-            cells[k] = cells.get(k, 0) + m
     words, least = sums.where(F.col("kind") == UNIGRAM).select("key", "n", "size"), 1
     size = distinct
     if distinct > max_vocabulary:
@@ -424,8 +402,7 @@ def learn(training: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, max_voc
     order = np.argsort(key)
     vocabulary = key[order], count[order]
     del key, count, order
-    weights = fitted_weights(cells, total)
-    return Model(filter_, weights, total, distinct, vocabulary, least), sums
+    return Model(filter_, n, total, distinct, vocabulary, least), sums
 
 
 def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
@@ -433,13 +410,14 @@ def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
+    rest = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "n_known", "base_score", "score")]
+    key, more_known, more_base = (unused(docs.columns, c) for c in ("row_key", "more_known", "more_base"))
     kept = docs.select(*rest, "text")
     names = ["n_tokens", "n_known", "base_score", "score"]
     exact = model.least == 1
     if not exact:
-        kept = kept.withColumn("row_key", F.monotonically_increasing_id())
-        rest = [*rest, "row_key"]
+        kept = kept.withColumn(key, F.monotonically_increasing_id())
+        rest = [*rest, key]
         kept = cut(kept)
 
     def named(batch: pa.RecordBatch, g: Ngrams) -> pa.RecordBatch:
@@ -455,7 +433,7 @@ def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
             g = Ngrams(*tokens(batch.column(batch.schema.get_field_index("text"))))
             yield scores(named(batch, g), g, sent.value.filter.level(g.keys()))
 
-    n = parts(spark)
+    n, many = model.segments, parts(spark)
 
     def answered(batches):
         homes, levels = {}, {}
@@ -482,15 +460,15 @@ def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
     else:
         probes = kept.mapInArrow(_sent_out(n, named), PROBES)
         filters = sums.where(F.col("kind") == FILTER).select("kind", "part", "size", "key")
-        asked = probes.unionByName(filters, allowMissingColumns=True).repartitionById(n, F.col("part")).mapInArrow(_asked, PROBES)
-        out = asked.repartitionById(n, F.col("part")).mapInArrow(answered, schema)
+        asked = probes.unionByName(filters, allowMissingColumns=True).repartitionById(many, F.col("part") % many).mapInArrow(_asked, PROBES)
+        out = asked.repartitionById(many, F.col("part") % many).mapInArrow(answered, schema)
     if exact:
         return out
 
     def pairs(batches):
         for batch in flat.steps(batches, "text"):
             x, bounds = tokens(batch.column(batch.schema.get_field_index("text")))
-            row = batch.column(batch.schema.get_field_index("row_key")).to_numpy()
+            row = batch.column(batch.schema.get_field_index(key)).to_numpy()
             owner = np.repeat(np.arange(len(row)), np.diff(bounds))
             inner = (x != _START) & (sent.value.exact(x) == 0)
             order = np.lexsort((x[inner], owner[inner]))
@@ -510,10 +488,10 @@ def scored(docs: DataFrame, model: Model, sums: DataFrame) -> DataFrame:
     vocabulary = rare.select("key", "n").mapInArrow(listed, "word long, c long")
     below = model.total + 0.1 * (model.distinct + 1)
     c = F.coalesce("c", F.lit(0))
-    term = kept.select("row_key", "text").mapInArrow(pairs, "row_key long, word long, n long").join(vocabulary, "word", "left")
-    each = term.groupBy("row_key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(below))).alias("more_base"))
-    both = out.join(each, "row_key", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("more_base", F.lit(0.0))})
-    return both.drop("row_key", "more_known", "more_base")
+    term = kept.select(key, "text").mapInArrow(pairs, "row_key long, word long, n long").join(vocabulary, "word", "left")
+    each = term.groupBy("row_key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(F.lit(0))).alias(more_known), F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(below))).alias(more_base)).withColumnRenamed("row_key", key)
+    both = out.join(each, key, "left").withColumns({"n_known": F.col("n_known") + F.coalesce(more_known, F.lit(0)), "base_score": F.col("base_score") + F.coalesce(more_base, F.lit(0.0))})
+    return both.drop(key, more_known, more_base)
 
 
 def held_out(doc_id: Column) -> Column:

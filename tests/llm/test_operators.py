@@ -174,6 +174,57 @@ def test_lm_of_a_large_filter_drops_nothing(docs, monkeypatch, most):
         assert (r["base_score"], r["score"]) == (pytest.approx(want[i]["base_score"], rel=1e-9), pytest.approx(want[i]["score"], rel=1e-12))
 
 
+def brute_scores(texts, training, prior=lm_bloom.PRIOR):
+    """The smoothed probabilities from exact counts, quantised as the filter holds them."""
+    tokens = [[w.translate(UPPER) for w in WORD.findall(t or "")] + [None] for t in texts]
+    seen = [x for x, h in zip(tokens, training) if h]
+    one, two = Counter(w for t in seen for w in t), Counter(p for t in seen for p in zip([0, *t], t))
+    value = lambda c: float(lm_bloom.VALUES[int(lm_bloom.level_of(np.array([c]))[0])])
+    below = sum(one.values()) + 0.1 * (len(one) + 1)
+    out = []
+    for t in tokens:
+        total = 0.0
+        for a, b in zip([0, *t], t):
+            context = value(one[None] if a == 0 else one[a])  # there is a start for every end
+            c = min(value(two[a, b]) if two[a, b] >= lm_bloom.LEAST_BIGRAM else 0.0, context)
+            total += math.log10((c + prior * (value(one[b]) + 0.1) / below) / (context + prior))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_lm_score_against_brute_force(docs, texts, monkeypatch, most):
+    monkeypatch.setattr(lm_bloom, "HASHES", 24)  # so that no probe errs
+    training = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    limits = {} if most is None else {"max_filter_bytes": most}
+    d = docs.select("doc_id", "text", lm_bloom.held_out(docs["doc_id"]).alias("held_out"), docs["n_chars"].alias("row_key"))
+    model, sums = lm_bloom.learn(d.where("not held_out"), **limits)
+    got = {r["doc_id"]: r for r in lm_bloom.scored(d, model, sums).collect()}
+    for i, want in enumerate(brute_scores(texts, training)):
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9) and got[i]["row_key"] == (None if texts[i] is None else len(texts[i]))
+
+
+def test_lm_scores_are_the_same_for_all_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "FLUSH", 3000)
+    d = docs.select("doc_id", "text")
+    runs = []
+    for n, shuffle, bound in ((1, 4, 10**8), (7, 64, 10**8), (5, 3, 0)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        try:
+            runs.append({r["doc_id"]: (r["score"], r["base_score"]) for r in lm_bloom.scored(d, *lm_bloom.learn(d.repartition(n), max_filter_bytes=bound)).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_lm_filter_errs_as_stated(docs):
+    """Of words never seen, about ERROR report a count; of those the most are one level up."""
+    model, _ = lm_bloom.learn(docs)
+    level = model.filter.level(np.random.default_rng(1).integers(1, 2**63, 50_000).astype(np.uint64))
+    assert 0.5 * lm_bloom.ERROR < (level > 0).mean() < 1.5 * lm_bloom.ERROR
+    assert (level > 1).mean() < 1.5 * lm_bloom.ERROR**2
+
+
 def test_lm_of_nothing(nothing, docs):
     model, sums = lm_bloom.learn(nothing)
     assert model.total == 0
