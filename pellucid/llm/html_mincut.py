@@ -113,10 +113,25 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, without labels."""
     root = Node("", None, 0)
     stack, out = [root], []
+    # where in the stack the elements of a tag, the limits of implied ends, and what isn't inline are: no search is longer than what it removes
+    open_: dict[str, list[int]] = {}
+    limits: list[int] = []
+    solid = [0]
     pieces: list[str] = []
     links = link_chars = 0
     at, end = 0, len(page)
 
+    def shut(k: int) -> None:
+        nonlocal links
+        while len(stack) > k:
+            tag = stack.pop().tag
+            open_[tag].pop()
+            if tag in _SCOPE or tag in _BOILER_TAGS:
+                limits.pop()
+            if tag not in _INLINE:
+                solid.pop()
+            links -= tag == "a"
+
     def close() -> None:
         nonlocal pieces, link_chars
         if pieces:
@@ -125,9 +140,7 @@ def blocks_of(page: str) -> list[Block]:
                 text = _html.unescape(text)
             text = " ".join(text.split())
             if text:
-                k = len(stack) - 1
-                while k and stack[k].tag in _INLINE:
-                    k -= 1
+                k = solid[-1]
                 out.append(Block(stack[k], stack[k].tag, text, link_chars))
         pieces, link_chars = [], 0
 
@@ -153,11 +166,8 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _INLINE and tag not in _RAW:
             close()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    links -= sum(x.tag == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                shut(open_[tag][-1])
             continue
         attributes = m[3] or m[6] or ""
         if tag in _RAW and not attributes.endswith("/"):
@@ -167,18 +177,18 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if tag == "p" or tag in _CLOSES:
-            shut = _CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut:
-                    links -= sum(x.tag == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE or stack[k].tag in _BOILER_TAGS:
-                    break
+            k = max((open_[x][-1] for x in _CLOSES.get(tag, {"p"}) if open_.get(x)), default=0)
+            if k and k > (limits[-1] if limits else 0):
+                shut(k)
         if tag in _INLINE and not attributes.strip():
             node = Node(tag, stack[-1], stack[-1].depth, *(getattr(stack[-1], x) for x in ("article", "content", "boiler_tag", "boiler_name", "hidden")))
         else:
             node = _node(tag, attributes, stack[-1])
+        open_.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE or tag in _BOILER_TAGS:
+            limits.append(len(stack))
+        if tag not in _INLINE:
+            solid.append(len(stack))
         stack.append(node)
         links += tag == "a"
     close()
@@ -206,8 +216,9 @@ def log_odds(b: Block) -> float:
 
 
 def _steps_apart(a: Node, b: Node) -> int:
+    """Steps in the tree from a to b; no more are counted than give an edge any capacity."""
     n = 0
-    while a is not b and n < 64:
+    while a is not b and n < 2 * _SCALE * ADJACENT:
         if a.depth >= b.depth and a.parent is not None:
             a = a.parent
         elif b.parent is not None:

@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,7 @@ def counted(texts: list[str | None], group: np.ndarray | None = None) -> tuple[n
     """(group, n-gram, count) sorted by group and n-gram; the group of a text is its number, or as given, -1 to leave it out.
 
     An n-gram is packed from the left, BITS for each code point, 0 behind a shorter one.
+    Texts with too many letters and groups for one key are counted in halves; a group may then come twice.
     """
     raw, at = code_points(texts)
     letter = letters()[raw]
@@ -101,9 +102,11 @@ def counted(texts: list[str | None], group: np.ndarray | None = None) -> tuple[n
     dense = np.cumsum(there)[chars].astype(np.int64)
     bits = int(len(alphabet)).bit_length()
     sums = []
-    groups = int(own.max()) + 1
-    if ORDERS * bits + groups.bit_length() > 63:
-        raise ValueError(f"too many letters and groups for a step: {len(alphabet)}, {groups}")
+    some, own = np.unique(own, return_inverse=True)
+    if ORDERS * bits + len(some).bit_length() > 62 and len(texts) > 1:
+        half = len(texts) // 2
+        low, high = (counted(texts[a:b], None if group is None else group[a:b]) for a, b in ((0, half), (half, len(texts))))
+        return np.concatenate([low[0], high[0] + (half if group is None else 0)]), np.concatenate([low[1], high[1]]), np.concatenate([low[2], high[2]])
     space = chars == 0x20
     a = own << (ORDERS * bits)
     one = a | (dense << (2 * bits))
@@ -120,7 +123,7 @@ def counted(texts: list[str | None], group: np.ndarray | None = None) -> tuple[n
     mask = (1 << bits) - 1
     back = np.concatenate([[0], alphabet]).astype(np.int64)
     gram = (back[(keys >> (2 * bits)) & mask] << (2 * BITS)) | (back[(keys >> bits) & mask] << BITS) | back[keys & mask]
-    return keys >> (ORDERS * bits), gram, count
+    return some[keys >> (ORDERS * bits)], gram, count
 
 
 @dataclass
@@ -195,8 +198,11 @@ def learn(training: DataFrame, profile: int = PROFILE) -> Model:
     ship(training.sparkSession)
     rows = training.select("lang", "text").where("lang is not null and text is not null")
     sums = cut(rows.mapInArrow(_count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    languages = sorted(r[0] for r in sums.select("lang").distinct().collect())
-    tops = [[r[0] for r in sums.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(profile).select("gram").collect()] for x in languages]
+    # tasks keep the first of each language before anything is sent
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    first = sums.withColumn("place", place).where(F.col("place") <= profile).collect()
+    languages = sorted({r["lang"] for r in first})
+    tops = [[r["gram"] for r in sorted((r for r in first if r["lang"] == x), key=lambda r: r["place"])] for x in languages]
     grams = np.unique(np.array([g for t in tops for g in t], np.int64))
     ranks = np.full((len(languages), len(grams)), profile, np.int64)
     for i, t in enumerate(tops):

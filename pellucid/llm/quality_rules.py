@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: At most so many labelled rows are learned from.
 LABELLED = 20_000
@@ -48,7 +48,7 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def repeat_words(words: Column, k: int = WINDOW) -> Column:
-    """How many words lie in windows of k words that are found twice or more in the array."""
+    """How many words lie in windows of k words that are found twice or more in the array (words, or their hashes)."""
 
     def places(s: Column) -> Column:
         n = F.size(s)
@@ -71,6 +71,10 @@ def repeat_words(words: Column, k: int = WINDOW) -> Column:
     )
 
 
+#: What statistics adds; columns of these names are replaced.
+STATISTICS = ("n_words", "n_repeat_words", "n_distinct", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "n_upper", "n_cries", "n_stops", "n_digits")
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """The columns of docs but text, and the statistics of text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -78,7 +82,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     row = F.struct(
-        _bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))).alias("w"),
+        _bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeat_words(h).cast("long").alias("n_repeat_words"), F.size(F.array_distinct(h)).cast("long").alias("n_distinct"))).alias("w"),
         _bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("x"),
         _without(text, _BLANK).cast("long").alias("word_chars"),
         (F.length(text) - _without(text, _SYMBOLS)).cast("long").alias("n_symbols"),
@@ -87,19 +91,18 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.length(text) - _without(text, ".,;:")).cast("long").alias("n_stops"),
         (F.length(text) - _without(text, "0123456789")).cast("long").alias("n_digits"),
     )
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c != "text" and c.lower() not in STATISTICS]
+    one = unused(rest, "row")
     # a generator keeps the statistics from being computed again wherever they are used
-    flat = docs.select(*rest, F.explode(F.array(row)).alias("_s"))
-    names = ["word_chars", "n_symbols", "n_upper", "n_cries", "n_stops", "n_digits"]
-    return flat.select(*rest, F.col("_s.w.n_words"), F.col("_s.w.n_repeat_words"), F.col("_s.w.n_distinct"), F.col("_s.x.n_lines"), F.col("_s.x.n_dup_lines"), *(F.col(f"_s.{n}") for n in names))
+    flat = docs.select(*rest, F.explode(F.array(row)).alias(one))
+    names = STATISTICS[5:]
+    return flat.select(*rest, *(F.col(f"{one}.w.{n}") for n in STATISTICS[:3]), *(F.col(f"{one}.x.{n}") for n in STATISTICS[3:5]), *(F.col(f"{one}.{n}") for n in names))
 
 
 def _share(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-
-
 def features() -> dict[str, Column]:
     return {
         "n_words": F.col("n_words").cast("double"),

@@ -863,3 +863,124 @@ def test_mixed_texts(docs):
         assert sum(len(WORD.findall(t)) for t in got[i].values()) == n
         assert sorted(got[i]) == list(range(1, len(got[i]) + 1)) and all(t == texts[i] for e, t in got[i].items() if e * size <= n)
     assert any(n % size for n, size in taken.values() if size)
+
+
+# awkward input and brute force for the learned parts
+
+
+def test_html_of_unclosed_elements_is_linear():
+    import time
+
+    def took(n):
+        page = "<div>" + "<font><b>" * n + "".join(f"<p>word {k} </i></td><li>x</li>" for k in range(n))
+        start = time.perf_counter()
+        assert html_mincut.blocks_of(page)
+        return time.perf_counter() - start
+
+    took(200)
+    assert took(8000) < 30 * took(1000)
+
+
+def test_html_where_only_the_cut_decides(spark):
+    """Pages without telling tags or names: a short line among prose goes with it, one among links doesn't."""
+    prose = "<p>The river rose in the night, and by morning the lower fields were under water, as the old people had said.</p>"
+    links = "".join(f"<p><a href=/{k}>Go to part {k}</a></p>" for k in range(6))
+    page = f"<div>{links}<p>Short line</p>{links}</div><div>{prose}<p>He waited</p>{prose}{prose}</div>"
+    got = html_mincut.main_text(page)
+    assert "He waited" in got and "Short line" not in got and "Go to" not in got and got.count("river") == 3
+    alone = [b for b in html_mincut.blocks_of(page) if b.text in ("He waited", "Short line")]
+    assert html_mincut.log_odds(alone[0]) == html_mincut.log_odds(alone[1])  # the classifier alone can't tell them apart
+    nothing = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_mincut.extracted(nothing).count() == 0
+
+
+def test_language_of_texts_with_all_letters():
+    every = "".join(chr(c) for c in range(0x110000) if chr(c).isalpha())
+    texts = [every, None, *(f"wort {k} und noch eins" for k in range(2000)), every]
+    group, gram, count = lang_rank.counted(texts)
+    assert set(group.tolist()) == set(range(len(texts))) - {1}
+    alone = lang_rank.counted(texts[7:8])
+    mine = group == 7
+    assert sorted(zip(gram[mine].tolist(), count[mine].tolist())) == sorted(zip(alone[1].tolist(), alone[2].tolist()))
+    by_group = lang_rank.counted(texts, np.arange(len(texts)) % 3)
+    assert sum(by_group[2]) == sum(count)
+
+
+def brute_profile(texts):
+    c = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            w = f" {w} "
+            c.update(w[k : k + n] for n in (1, 2, 3) for k in range(len(w) - n + 1) if w[k : k + n] != " ")
+    return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def test_language_distance_against_brute_force(spark):
+    rng = random.Random(3)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    known = [("aa", make("abcde", 40)), ("aa", make("abcdf", 30)), ("bb", make("defgh", 50)), (None, "zzz"), ("cc", make("ghijä", 20))]
+    model = lang_rank.learn(spark.createDataFrame(known, "lang string, text string").repartition(3), profile=60)
+    profiles = {x: brute_profile([t for y, t in known if y == x])[:60] for x in ("aa", "bb", "cc")}
+    texts = [make("abcde", 9), make("defgh", 30), make("hijä", 4), "q", "", "12 34", make("acegi", 200)]
+    lang, score = model.judge(texts)
+    for t, got, s in zip(texts, lang, score):
+        own = brute_profile([t])[:60]
+        if not own:
+            assert (got, s) == ("und", 0)
+            continue
+        far = {x: sum(abs(p.index(g) - k) if g in p else 60 for k, g in enumerate(own)) for x, p in profiles.items()}
+        assert got == min(far, key=lambda x: (far[x], x)) and s == pytest.approx(1 - far[got] / (60 * len(own)))
+
+
+def brute_markov(texts, text):
+    """Witten-Bell, order by order, of the bytes of text and its end."""
+    pad = [None] * url_markov.ORDER
+    counts = defaultdict(Counter)
+    for t in texts:
+        x = [*pad, *t.encode(), -1]
+        for i in range(url_markov.ORDER, len(x)):
+            for k in range(url_markov.ORDER + 1):
+                counts[tuple(x[i - k : i])][x[i]] += 1
+    x, out = [*pad, *text.encode(), -1], []
+    for i in range(url_markov.ORDER, len(x)):
+        p = 1 / url_markov.ALPHABET
+        for k in range(url_markov.ORDER + 1):
+            if c := counts.get(tuple(x[i - k : i])):
+                p = (c[x[i]] + len(c) * p) / (sum(c.values()) + len(c))
+        out.append(math.log(p))
+    return out
+
+
+def test_url_ratio_and_verdict_against_brute_force(spark):
+    rng = random.Random(6)
+    good = [f"https://www.site{rng.randrange(30)}.org/article/{rng.randrange(99)}-story" for _ in range(60)]
+    bad = [f"http://spam{rng.randrange(30)}.biz/win?cash={rng.randrange(99)}" for _ in range(60)]
+    urls = [(u, "allow") for u in good] + [(u, "block") for u in bad] + [(bad[0], "block")] * 200 + [(None, "allow"), ("", "block"), ("x" * 5000, "allow")]
+    judge = url_markov.learn(spark.createDataFrame(urls, "url string, label string").repartition(3), sample=40)
+    sides = {}
+    order = {r["url"]: r["h"] for r in spark.createDataFrame([(u,) for u in {*good, *bad, ""}], "url string").selectExpr("url", "xxhash64(url) as h").collect()}
+    for name, own in (("allow", {*good}), ("block", {*bad, ""})):
+        first = sorted(own, key=lambda u: (order[u], u))[:40]  # each URL once, however often it comes
+        sides[name] = [u for k, u in enumerate(first) if k % 5], first[::5]
+    mean = lambda u: np.mean(np.array(brute_markov(sides["allow"][0], u)) - np.array(brute_markov(sides["block"][0], u)))
+    asked = ["https://www.site3.org/article/5-story", "http://spam1.biz/win?cash=1", "", "ftp://other.example/ü"]
+    assert judge.ratio(asked) == pytest.approx([mean(u) for u in asked], rel=1e-6)
+    assert judge.threshold == pytest.approx(url_markov.calibrated(np.array([mean(u) for u in sides["allow"][1]]), np.array([mean(u) for u in sides["block"][1]])), rel=1e-6)
+    assert judge.ratio([good[0]])[0] >= judge.threshold > judge.ratio([bad[0]])[0]
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_markov.judged(pages).count() == 0
+
+
+def test_rules_verdict_against_brute_force(spark, docs):
+    """kept is what the list says when its conditions are tried one by one on plain numbers; clashing columns are replaced."""
+    rules = [(quality_rules.Condition("n_words", False, 6.5), quality_rules.Condition("upper", False, 0.5)), (quality_rules.Condition("distinct", False, 0.3),)]
+    clash = docs.select("doc_id", "text", docs["n_chars"].alias("n_words"), docs["source"].alias("kept"), docs["lang"].alias("row"))
+    got = quality_rules.judged(clash, rules).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        w = WORD.findall(texts[r["doc_id"]])
+        chars = sum(map(len, w))
+        short = len(w) <= 6.5 and sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for x in w for c in x) / max(1, chars) <= 0.5
+        same = len(set(w)) / max(1, len(w)) <= 0.3
+        assert r["n_words"] == len(w) and r["kept"] == (not r["base_failed"] and not short and not same)
