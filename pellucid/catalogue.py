@@ -6,15 +6,16 @@ sources/documents.py, and REC below for the same relation in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fingerprint, layout, ordering
-from .functions.vectors import cohesion_description, norm, normalized, similarity
+from .functions import completeness, fingerprint, layout, ordering
+from .functions.vectors import cohesion_description, norm, normalized, suggested_cluster_count
 from .operators import cache, compare, findings, vectors
 from .operators import similarity as sim
+from .operators.ranking import ranked
 from .plans.analysis import Analysis
-from .plans.report import csv_field, finding_rows
+from .plans.report import csv_field, csv_lines, finding_rows
 from .sources.documents import document_records
 from .streaming.watch import changes
 
@@ -29,9 +30,10 @@ _PATH = """(CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 10 = 7 THEN 'val/' W
 REC = f"""
 r0 AS MATERIALIZED (SELECT *, {_PATH} AS relative_path,
   CASE WHEN length(text) = 0 THEN 'empty' WHEN doc_id % 97 = 0 THEN 'unreadable' WHEN doc_id % 89 = 0 THEN 'decode_failed' WHEN n_chars < 20 THEN 'truncated' END AS problem,
-  list_transform(range(72), lambda i: unicode(substr(text, CAST(1 + (i * length(text)) // 72 AS BIGINT), 1))) AS gray,
-  list_transform(range(48), lambda i: unicode(substr(text, CAST(1 + (i * length(text)) // 48 AS BIGINT), 1))) AS rgb
-  FROM documents),
+  list_transform(range(72), lambda i: unicode(substr(sig, CAST(1 + i AS BIGINT), 1))) AS gray,
+  CASE WHEN doc_id % 29 = 0 THEN list_transform(range(48), lambda i: 255) ELSE list_transform(range(48), lambda i: unicode(substr(sig, CAST(25 + i AS BIGINT), 1))) END AS rgb
+  FROM (SELECT *, CASE length(text) % 8 WHEN 1 THEN sig0[1:10] || 'z' || sig0[12:96] WHEN 2 THEN sig0[1:19] || 'zazaza' || sig0[26:96] ELSE sig0 END AS sig
+    FROM (SELECT *, md5(k) || md5(k || '1') || md5(k || '2') AS sig0 FROM (SELECT *, CASE WHEN length(text) % 8 < 3 THEN 'L' || length(text) // 8 ELSE md5(text) END AS k FROM documents)))),
 r1 AS MATERIALIZED (SELECT *, list_sum(list_transform(range(64), lambda k: CASE WHEN gray[(k // 8) * 9 + k % 8 + 1] > gray[(k // 8) * 9 + k % 8 + 2] THEN CAST(1 AS HUGEINT) << CAST(k AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS wide FROM r0),
 rec AS MATERIALIZED (SELECT doc_id, 'file:///data/' || relative_path AS url, relative_path, CAST(strlen(text) AS BIGINT) AS byte_size,
   CASE WHEN doc_id % 19 <> 0 THEN CAST(1700000000 + doc_id * 3600 % 1000000 AS BIGINT) END AS modified_s,
@@ -168,7 +170,7 @@ def path_filter(spark, d):
 @query("natural_path_rank", rec_sql("SELECT url, row_number() OVER (ORDER BY nat, relative_path) AS place FROM rec"))
 def natural_path_rank(spark, d):
     p = F.col("relative_path")
-    return records(spark, d).select("url", F.row_number().over(Window.orderBy(ordering.natural_key(p), p)).cast("long").alias("place"))
+    return ranked(records(spark, d).select("url", "relative_path"), [ordering.natural_key(p).asc(), p.asc()]).select("url", "place")
 
 
 def _sorted_query(name: str, key: str, ascending: bool, value: str) -> None:
@@ -178,7 +180,8 @@ def _sorted_query(name: str, key: str, ascending: bool, value: str) -> None:
     @query(name, rec_sql(f"SELECT url, row_number() OVER (ORDER BY {value} {way} NULLS LAST, {tie}) AS place FROM rec"))
     def run(spark, d):
         k = ordering.record_keys()[key]
-        return records(spark, d).select("url", F.row_number().over(Window.orderBy(*k.order(F.col("relative_path"), ascending))).cast("long").alias("place"))
+        rows = records(spark, d).select("url", "relative_path", "byte_size", "pixel_size", "modified_at")
+        return ranked(rows, k.order(F.col("relative_path"), ascending)).select("url", "place")
 
 
 for _name, _value in (("size", "byte_size"), ("dimensions", "width * height"), ("modified", "modified_s")):
@@ -383,10 +386,11 @@ w AS (SELECT label, max(n) AS n, sqrt(sum(x * x)) AS size FROM u GROUP BY 1 HAVI
 c AS (SELECT label, w.n, list(x / size ORDER BY i) AS centre FROM u JOIN w USING (label) GROUP BY 1, 2)"""
 
 
-@query("label_centres", f"WITH {_VEC}, {_CENTRES} SELECT label, n, round(centre[1], 4) AS c1, round(centre[64], 4) AS c64 FROM c")
+@query("label_centres", f"WITH {_VEC}, {_CENTRES} SELECT label, n, i - 1 AS i, round(centre[i], 4) AS x FROM (SELECT label, n, centre, unnest(range(1, 65)) AS i FROM c)")
 def label_centres(spark, d):
     v = _vectors(spark, d)
-    return vectors.label_centres(v, v.select("path", "label")).select("label", "n", F.round(F.get("centre", 0), 4).alias("c1"), F.round(F.get("centre", 63), 4).alias("c64"))
+    centres = vectors.label_centres(v, v.select("path", "label")).select("label", "n", F.posexplode("centre").alias("i", "x"))
+    return centres.select("label", "n", F.col("i").cast("long").alias("i"), F.round("x", 4).alias("x"))
 
 
 @query("label_check", f"WITH {_VEC}, {_CENTRES}, s AS (SELECT v.path, v.label AS current_label, c.label, list_dot_product(v.e, c.centre) AS s FROM v, c), o AS (SELECT path, s AS own FROM s WHERE label = current_label), b AS (SELECT path, current_label, label AS suggested_label, s, row_number() OVER (PARTITION BY path ORDER BY s DESC, label) AS k FROM s WHERE label <> current_label) SELECT path, current_label, suggested_label, round(s - own, 4) AS margin FROM b JOIN o USING (path) WHERE k = 1 AND s > own AND s - own >= 0.02")
@@ -411,8 +415,7 @@ def pairwise_top1(spark, d):
     """The best other vector of every twentieth, against all: a stated query set, sent in blocks."""
     v = _vectors(spark, d).select("path", normalized(F.col("embedding")).alias("embedding"))
     q = v.where(F.substring("path", 2, 8).cast("long") % 20 == 0)
-    pair = F.round(similarity(F.col("q.embedding"), F.col("v.embedding")), 4)
-    return v.alias("v").join(q.alias("q").hint("broadcast"), F.col("q.path") != F.col("v.path")).groupBy(F.col("q.path").alias("path")).agg(F.max(pair).alias("similarity"))
+    return vectors.best_others(v, q).select("path", F.round("similarity", 4).alias("similarity"))
 
 
 def _cache_rows(spark, d) -> DataFrame:
@@ -451,3 +454,144 @@ def snapshot_changes(spark, d):
     before = e.where("event_id % 11 <> 0")
     after = e.where("event_id % 7 <> 0").withColumn("byte_size", F.col("byte_size") + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0))
     return changes(before, after)
+
+
+@query("relative_paths", rec_sql("SELECT url, CASE WHEN starts_with(url, 'file:///data/train/') THEN url[20:] ELSE regexp_extract(url, '[^/]*$') END AS path FROM rec"))
+def relative_paths(spark, d):
+    return records(spark, d).select("url", layout.relative_to(F.col("url"), "file:///data/train").alias("path"))
+
+
+@query("size_texts", rec_sql("SELECT url, width || ' × ' || height AS size, CAST(width AS BIGINT) * height AS pixels FROM rec"))
+def size_texts(spark, d):
+    return records(spark, d).select("url", ordering.size_text(F.col("pixel_size")).alias("size"), ordering.pixel_count(F.col("pixel_size")).alias("pixels"))
+
+
+#: First bytes, last bytes, format and verdict of made-up files, by doc_id modulo their number; the rest of a file is its text.
+_FILES = [
+    ("FFD8FFE000104A4649460001", "FFD90000", "JPEG", "complete"),
+    ("FFD8FFE000104A4649460001", "FFD8D900", "JPEG", "truncated"),
+    ("FFD8FFE000104A4649460001", "0FFD9000", "JPEG", "truncated"),
+    ("89504E470D0A1A0A0000000D49484452", "0000000049454E44AE426082", "PNG", "complete"),
+    ("89504E470D0A1A0A0000000D49484452", "49454E44", "PNG", "truncated"),
+    ("474946383961010001008000", "003B", "GIF", "complete"),
+    ("474946383761010001008000", "3B00", "GIF", "truncated"),
+    ("524946460800000057454250", "", "WEBP", "complete"),
+    ("52494646FFFFFF7F57454250", "", "WEBP", "truncated"),
+    ("424D46000000000000003600", "", "BMP", "unknown"),
+    ("49492A000800000000000000", "", "TIFF", "unknown"),
+    ("000000186674797061766966", "", "AVIF", "unknown"),
+    ("000000186674797068656963", "", "HEIC", "unknown"),
+    ("74657874", "", None, "unknown"),
+]
+
+
+def _file_sql(k: int) -> str:
+    return f"CASE doc_id % {len(_FILES)} " + " ".join(f"WHEN {i} THEN '{f[k]}'" for i, f in enumerate(_FILES) if f[k] is not None) + " END"
+
+
+@query("file_completeness", f"SELECT doc_id, {_file_sql(2)} AS format, {_file_sql(3)} AS verdict FROM documents")
+def file_completeness(spark, d):
+    part = lambda k: F.unhex(F.element_at(F.array(*(F.lit(f[k]) for f in _FILES)), (F.col("doc_id") % len(_FILES) + 1).cast("int")))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", part(0).alias("head"), part(1).alias("end"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    size = (F.length("head") + F.col("n") + F.length("end")).cast("long")
+    tail = F.concat("head", "end")
+    verdict = completeness.completeness(F.col("head"), tail, size, F.lit(None).cast("string"))
+    return docs.select("doc_id", completeness.format_name(F.col("head"), F.lit("heic")).alias("format"), verdict.alias("verdict"))
+
+
+_FIELDS = [f"""CASE WHEN regexp_matches({c}, '[,"\\r\\n]') THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END""" for c in ("finding", "file", '"group"', "detail")]
+
+
+@query("report_csv", rec_sql(f"SELECT {' || chr(44) || '.join(_FIELDS)} AS line FROM ({_CSV})", EXACT, NEAR, LEAK, recursive=True))
+def report_csv(spark, d):
+    return csv_lines(Analysis.make(records(spark, d)))
+
+
+@query("badge_counts", rec_sql("SELECT * FROM (SELECT 'exact' AS section, (SELECT count(*) FROM ex) AS n UNION ALL SELECT 'near', (SELECT count(*) FROM ng) UNION ALL SELECT 'problems', (SELECT count(*) FROM rec WHERE problem IS NOT NULL) UNION ALL SELECT 'leakage', (SELECT count(*) FROM lg)) WHERE n > 0", EXACT, NEAR, LEAK, recursive=True))
+def badge_counts(spark, d):
+    return Analysis.make(records(spark, d)).badge_counts
+
+
+@query("displayed_bytes", rec_sql("SELECT count(*) AS n_groups, CAST(coalesce(sum(b), 0) AS BIGINT) AS redundant_bytes FROM (SELECT content_hash, sum(CASE WHEN member_rank = n_members THEN 0 ELSE byte_size END) AS b FROM exm WHERE n_members > 1 GROUP BY 1 HAVING bool_or(contains(relative_path, 'train/')))", EXACT))
+def displayed_bytes(spark, d):
+    members = findings.exact_members(records(spark, d))
+    chosen = members.where("member_rank = n_members").select("group_id", F.col("url").alias("keeper"))
+    return findings.displayed_bytes(findings.chosen_keepers(members, chosen), "TRAIN/")
+
+
+@query("compare_filtered", rec_sql("SELECT candidate, kind FROM cmp WHERE kind = 'near' AND contains(candidate, 'doc')", _COMPARED))
+def compare_filtered(spark, d):
+    return compare.filtered(_compared(spark, d), "near", " DÓC").select("candidate", "kind")
+
+
+@query("action_targets", rec_sql("SELECT 'all' AS given, url FROM rec WHERE problem IS NOT NULL UNION ALL SELECT 'some', url FROM rec WHERE problem IS NOT NULL AND doc_id % 2 = 0"))
+def action_targets(spark, d):
+    r = records(spark, d)
+    bad = findings.problem_records(r)
+    every = compare.targets(bad, bad.where("false").select("url"))
+    some = compare.targets(bad, r.where("doc_id % 2 = 0").select("url"))
+    return every.select(F.lit("all").alias("given"), "url").unionByName(some.select(F.lit("some").alias("given"), "url"))
+
+
+@query("cache_hits", rec_sql("SELECT r.url, max(c.doc_id) AS seq FROM rec r JOIN rec c USING (content_hash) WHERE c.doc_id % 4 = 1 GROUP BY 1"))
+def cache_hits(spark, d):
+    r = records(spark, d)
+    rows = r.where("doc_id % 4 = 1").select("content_hash", F.array(F.col("doc_id").cast("float")).alias("embedding"), F.col("doc_id").alias("seq"), F.lit("p").alias("provider"))
+    return cache.hits(r, rows, "p").select("url", F.get("embedding", 0).cast("long").alias("seq"))
+
+
+@query("path_lookup", rec_sql("SELECT v.path, r.label FROM (SELECT 'file:///data/' || relative_path AS path FROM rec WHERE doc_id % 3 = 0) v JOIN rec r ON r.url = v.path"))
+def path_lookup(spark, d):
+    r = records(spark, d)
+    return r.where("doc_id % 3 = 0").select(F.col("url").alias("path")).join(r.select(F.col("url").alias("path"), "label"), "path")
+
+
+def _placed_groups(name: str, key: str, ascending: bool, near: bool, sql: str, *more: str, recursive: bool = False) -> None:
+    @query(name, rec_sql(sql, *more, recursive=recursive))
+    def run(spark, d):
+        r = records(spark, d)
+        groups = findings.near_groups(r)[0] if near else findings.exact_groups(r)
+        return ranked(groups, ordering.group_keys(near)[key].order(F.col("first_path"), ascending)).select("group_id", "place")
+
+
+_FIRST = NATURAL.format("first_path")
+_placed_groups("sort_exact_by_count", "count", False, False, f"SELECT group_id, row_number() OVER (ORDER BY n_members DESC, {_FIRST} DESC, first_path DESC) AS place FROM ex", EXACT)
+_placed_groups("sort_near_by_similarity", "similarity", True, True, f"SELECT group_id, row_number() OVER (ORDER BY spread, {_FIRST}, first_path) AS place FROM ngn", EXACT, NEAR, recursive=True)
+
+
+@query("problems_by_size", rec_sql("SELECT url, row_number() OVER (ORDER BY byte_size, nat, relative_path) AS place FROM rec WHERE problem IS NOT NULL"))
+def problems_by_size(spark, d):
+    return ranked(findings.problem_records(records(spark, d)), ordering.problem_keys()["size"].order(F.col("relative_path"))).select("url", "place")
+
+
+_CHECKED = ORACLES["label_check"].split(" SELECT path, current_label, suggested_label")[0]
+
+
+@query("suggestions_by_margin", f"{_CHECKED} SELECT path, row_number() OVER (ORDER BY round(s - own, 6) DESC, path) AS place FROM b JOIN o USING (path) WHERE k = 1 AND s > own AND s - own >= 0.02")
+def suggestions_by_margin(spark, d):
+    v = _vectors(spark, d)
+    rows = vectors.label_suggestions(v.select("path", "embedding"), v.select("path", "label")).withColumn("margin", F.round("margin", 6))
+    return ranked(rows, vectors.suggestion_order()).select("path", "place")
+
+
+@query("suggested_counts", "SELECT CAST(n AS INTEGER) AS n, CAST(CASE WHEN n <= 3 THEN greatest(1, n) ELSE least(24, greatest(2, floor(sqrt(n / 2.0) + 0.5))) END AS INTEGER) AS k FROM range(0, 3000) t(n)")
+def suggested_counts(spark, d):
+    return spark.createDataFrame([(n, suggested_cluster_count(n)) for n in range(3000)], "n int, k int")
+
+
+@query("kmeans_invariants", "SELECT count(*) AS n_points, true AS each_once, true AS ids_from_zero, true AS larger_first, true AS ranks_dense, true AS best_first FROM embeddings")
+def kmeans_invariants(spark, d):
+    """What holds of any clustering: every point once, clusters by size, members by score."""
+    rows = vectors.cluster(_vectors(spark, d).select("path", "embedding"))
+    of = rows.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_members").alias("said"), F.count_distinct("member_rank").alias("ranks"), F.max("member_rank").alias("last"), F.min("member_rank").alias("first"),
+        F.array_sort(F.collect_list(F.struct("member_rank", F.col("score").alias("s")))).alias("m"),
+    )
+    falling = F.forall(F.sequence(F.lit(1), F.size("m")), lambda i: (i == F.size("m")) | (F.get("m", i - 1)["s"] >= F.coalesce(F.get("m", i)["s"], F.lit(-9.0))))
+    of = of.select("cluster_id", "n", ((F.col("n") == F.col("said")) & (F.col("ranks") == F.col("n")) & (F.col("last") == F.col("n")) & (F.col("first") == 1)).alias("dense"), falling.alias("falling"))
+    a, b = of.alias("a"), of.alias("b")
+    order = a.join(b, F.col("b.cluster_id") == F.col("a.cluster_id") + 1).agg(F.coalesce(F.bool_and(F.col("a.n") >= F.col("b.n")), F.lit(True)).alias("larger_first"))
+    total = of.agg(F.sum("n").alias("n_points"), ((F.min("cluster_id") == 0) & (F.max("cluster_id") == F.count(F.lit(1)) - 1)).alias("ids_from_zero"), F.bool_and("dense").alias("ranks_dense"), F.bool_and("falling").alias("best_first"))
+    once = rows.agg((F.count_distinct("path") == F.count(F.lit(1))).alias("each_once"))
+    # one row each
+    return total.join(F.broadcast(order)).join(F.broadcast(once)).select("n_points", "each_once", "ids_from_zero", "larger_first", "ranks_dense", "best_first")

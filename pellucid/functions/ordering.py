@@ -25,10 +25,19 @@ def pixel_count(pixel_size: Column) -> Column:
     return pixel_size["width"].cast("long") * pixel_size["height"]
 
 
+def size_text(pixel_size: Column) -> Column:
+    """Width × height, or null."""
+    return F.concat(pixel_size["width"].cast("string"), F.lit(" × "), pixel_size["height"].cast("string"))
+
+
 def keeper_first() -> list[Column]:
     """Of equal files: not named like a copy, nearer to the root, then by path."""
+    return [k.asc() for k in keeper_keys()]
+
+
+def keeper_keys() -> list[Column]:
     p = F.col("relative_path")
-    return [looks_like_copy(file_name(p)).asc(), depth(p).asc(), natural_key(p).asc(), p.asc(), F.col("url").asc()]
+    return [looks_like_copy(file_name(p)), depth(p), natural_key(p), p, F.col("url")]
 
 
 def fidelity_first() -> list[Column]:

@@ -80,6 +80,13 @@ class EmbeddingStore:
     def count(self, provider: str) -> int:
         return self.load(provider).count()
 
+    def file_size(self, provider: str) -> int:
+        """Bytes of a provider's files; 0 if it has none."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/provider={provider}")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
     def remove_all(self, provider: str) -> None:
         """Drop a provider's partition."""
         jvm = self.spark.sparkContext._jvm

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import split_ordinal, split_title
-from ..functions.ordering import fidelity_first, keeper_first, natural_key, split_then_path
+from ..functions.ordering import fidelity_first, keeper_first, keeper_keys, matches_text, natural_key, split_then_path
 from ..schema import PROBLEMS, SPLITS
 from .graph import cut
+from .ranking import ranked
 from .similarity import BITS, COLOR, clusters, spreads
 
 
@@ -47,8 +48,8 @@ def group_summary(members: DataFrame) -> DataFrame:
 
 def numbered(groups: DataFrame, prefix: str, *order) -> DataFrame:
     """groups with number 1.. and name in the given order."""
-    n = F.row_number().over(Window.orderBy(*order, natural_key(F.col("first_path")), "first_path"))
-    return groups.withColumn("number", n).withColumn("name", F.concat(F.lit(prefix + "-"), F.col("number")))
+    rows = ranked(groups, [*order, natural_key(F.col("first_path")).asc(), F.col("first_path").asc()], "number")
+    return rows.withColumn("number", F.col("number").cast("int")).withColumn("name", F.concat(F.lit(prefix + "-"), F.col("number")))
 
 
 def exact_groups(records: DataFrame) -> DataFrame:
@@ -58,8 +59,9 @@ def exact_groups(records: DataFrame) -> DataFrame:
 
 def representatives(records: DataFrame) -> DataFrame:
     """The first record of each content, and all without one."""
-    own = Window.partitionBy(F.coalesce("content_hash", "url")).orderBy(*keeper_first())
-    return records.withColumn("_rank", F.row_number().over(own)).where("_rank = 1").drop("_rank")
+    # a partial result for each task, so that copies of one content needn't meet
+    first = F.min_by(F.struct(*records.columns), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keeper_keys()))))
+    return records.groupBy(F.coalesce("content_hash", "url")).agg(first.alias("first")).select("first.*")
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def leakage_by_split(members: DataFrame) -> DataFrame:
 def tally(records: DataFrame, column: str, unknown: str) -> DataFrame:
     """(name, n, place): how often each value occurs, most frequent first."""
     counts = records.groupBy(F.coalesce(F.col(column), F.lit(unknown)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), natural_key(F.col("name")), "name")))
+    return ranked(counts, [F.col("n").desc(), natural_key(F.col("name")).asc(), F.col("name").asc()])
 
 
 def format_tally(records: DataFrame) -> DataFrame:
@@ -167,6 +169,13 @@ def redundant_bytes(members: DataFrame) -> DataFrame:
     return members.groupBy("group_id").agg(F.sum(F.when(F.col("is_keeper"), F.lit(0)).otherwise(F.col("byte_size"))).alias("redundant_bytes"))
 
 
+def displayed_bytes(members: DataFrame, text: str = "") -> DataFrame:
+    """One row (n_groups, redundant_bytes) over the groups with a member whose path contains text; is_keeper says what is kept."""
+    shown = members.where(matches_text(F.col("relative_path"), text)).select("group_id").distinct()
+    sums = redundant_bytes(members.join(shown, "group_id", "left_semi"))
+    return sums.agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum("redundant_bytes"), F.lit(0)).alias("redundant_bytes"))
+
+
 def reconciled_keepers(keepers: DataFrame, members: DataFrame) -> DataFrame:
     """Choices that still hold: in their own group, or for a near group any old near choice that now is a member; the first old id wins."""
     held = members.select("group_id", F.col("url").alias("keeper"))

@@ -18,10 +18,13 @@ ONE_TASK = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's checkpoint folder; a private folder only where none is set, as in tests."""
+    """df, computed once and kept in the cluster's checkpoint folder; a private folder only in local mode, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
 
 

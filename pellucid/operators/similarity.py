@@ -1,12 +1,15 @@
 """Similarity joins of fingerprints: within a Hamming distance, and a colour distance.
 
-Two plans give the same pairs.  While the smaller side is at most
-BROADCAST_ROWS, it is broadcast and every pair is tested in generated code.
-Beyond that, 64 bits are cut into threshold // 2 + 1 bands: two hashes within the
-threshold differ by at most one bit in at least one of them, so an equi-join of one
-side's bands, each as it is and with every bit flipped, with the other's loses
-nothing; a pair is kept only in the first such band, so none comes twice.  Few wide
-bands leave far fewer candidates than many narrow ones that must agree.
+64 bits are cut into threshold // 2 + 1 bands: two hashes within the threshold differ
+by at most one bit in at least one of them, so an equi-join of one side's bands,
+each as it is and with every bit flipped, with the other's loses nothing; a pair is
+kept only in the first such band, so none comes twice.  Few wide bands leave far
+fewer candidates than many narrow ones that must agree.
+
+The bits are flipped on the smaller side.  While that has at most BROADCAST_ROWS rows
+(checked, on both sides) of BROADCAST_BYTES (summed), its bands are broadcast and
+the other side stays where it is; beyond that both are shuffled by band.  Either way
+the pairs are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from .graph import components, cut
 
 BITS = 8
 COLOR = 12
-BROADCAST_ROWS = 5_000
+#: Rows and bytes of a side whose bands are broadcast; a row has 70 of them at the usual threshold.
+BROADCAST_ROWS, BROADCAST_BYTES = 5_000, 2 << 20
 
 
 def bands(threshold: int) -> list[tuple[int, int]]:
@@ -44,21 +48,29 @@ def _colors(a: str, b: str, limit: int, strict: bool) -> Column:
     return F.coalesce(near, F.lit(False)) & ~missing if strict else missing | F.coalesce(near, F.lit(False))
 
 
+def _few(side: DataFrame) -> int | None:
+    """The side's bytes if it may be broadcast, else None; no more than BROADCAST_ROWS rows are looked at."""
+    n, size = side.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("id").cast("string")) + 2 * F.greatest(F.size("color"), F.lit(0)) + 16)).first()
+    return (size or 0) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else None
+
+
 def pairs(left: DataFrame, right: DataFrame, threshold: int = BITS, color: int = COLOR, strict: bool = False, ordered: bool = False, plan: str = "auto") -> DataFrame:
     """(a, b, bits_apart): ids of rows (id, bits, color) of the two sides that are alike; ordered: only a < b.
 
     plan: auto, broadcast or bands.
     """
     left, right = (x.where("bits is not null") for x in (left, right))
-    if plan == "auto":
-        few = min(left.limit(BROADCAST_ROWS + 1).count(), right.limit(BROADCAST_ROWS + 1).count())
-        plan = "broadcast" if few <= BROADCAST_ROWS else "bands"
+    small = None
+    if plan != "bands":
+        sizes = [x for x in ((_few(df), name) for df, name in ((right, "right"), (left, "left"))) if x[0] is not None]
+        if sizes:
+            small = min(sizes)[1]
+        elif plan == "broadcast":
+            raise ValueError("neither side is small enough to be broadcast")
     alike = _close("l", "r", threshold) & _colors("l", "r", color, strict)
     if ordered:
         alike = (F.col("l.id") < F.col("r.id")) & alike
     apart = hamming(F.col("l.bits"), F.col("r.bits")).alias("bits_apart")
-    if plan == "broadcast":
-        return left.alias("l").join(F.broadcast(right.alias("r")), alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart)
     cuts = bands(threshold)
 
     def keyed(df: DataFrame, flips: bool) -> DataFrame:
@@ -75,7 +87,12 @@ def pairs(left: DataFrame, right: DataFrame, threshold: int = BITS, color: int =
     for k in range(len(cuts) - 1, -1, -1):
         first = F.when(F.bit_count(band(x, *cuts[k])) <= 1, F.lit(k)).otherwise(first)
     same = (F.col("l.k") == F.col("r.k")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.k") == first)
-    return keyed(left, True).alias("l").join(keyed(right, False).alias("r"), same & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart)
+    l, r = keyed(left, small != "right"), keyed(right, small == "right")
+    if small == "right":
+        r = F.broadcast(r)
+    elif small == "left":
+        l = F.broadcast(l)
+    return l.alias("l").join(r.alias("r"), same & alike).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), apart)
 
 
 def clusters(rows: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> DataFrame:

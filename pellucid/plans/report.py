@@ -86,13 +86,14 @@ def html_text(analysis: Analysis, keepers: DataFrame | None = None) -> str:
     tiles = {"Images": h["n_images"], "Won't open": h["n_problems"], "Exact groups": h["n_exact_groups"], "Redundant copies": h["n_redundant"], "Recoverable": byte_text(h["reclaimable_bytes"]), "Near duplicates": h["n_near_images"], "Split leakage": h["n_leaks"]}
     body = f"<h1>{escape(title)}</h1><p>{h['n_images']} images, {byte_text(h['n_bytes'])}, scanned {analysis.scanned_at:%Y-%m-%d %H:%M}</p>"
     body += "<ul>" + "".join(f"<li>{escape(k)}: {escape(str(v))}</li>" for k, v in tiles.items()) + "</ul>"
-    body += _section("Won't open", "Files that could not be decoded.", ["File", "Problem"], [[escape(r["file"]), escape(r["detail"])] for g in sections[0].values() for r in g])
-    for k, name, note in ((1, "Exact duplicates", "Files with equal bytes."), (2, "Near duplicates", "Suggestions, not certainties.")):
+    body += _section("Won't open", "What is in them isn't a whole picture.", ["File", "Problem"], [[escape(r["file"]), escape(r["detail"])] for g in sections[0].values() for r in g])
+    for k, name, note in ((1, "Exact duplicates", "Equal in every byte; one of each group is enough."), (2, "Near duplicates", "Alike to the eye; look before removing any.")):
         body += _section(name, note, ["Files", "Group"], [["<br>".join(f"{escape(r['file'])} ({escape(r['detail'])})" for r in g), escape(g[0]["group"])] for g in sections[k].values()])
-    body += _section("Split leakage", "Images in more than one split.", ["Files", "Splits"], [["<br>".join(escape(r["file"]) for r in g), escape(g[0]["detail"])] for g in sections[3].values()])
+    leaks = [["<br>".join(escape(r["file"]) for r in g), *(escape(x) for x in g[0]["detail"].rsplit(", ", 1))] for g in sections[3].values()]
+    body += _section("Split leakage", "What a model is tested on, it should not have seen.", ["Files", "Splits", "Certainty"], leaks)
     if h["has_labels"]:
         rows = findings.label_tally(analysis.records).orderBy("place").collect()
-        body += _section("Folder balance", "How many images each folder has.", ["Folder", "Images"], [[escape(r["name"]), str(r["n"])] for r in rows])
+        body += _section("Folder balance", "Images of each label.", ["Folder", "Images"], [[escape(r["name"]), str(r["n"])] for r in rows])
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body>{body}<p>Version {__version__}</p></body></html>'
 
 

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 from ..operators import cache, vectors
 from ..operators.findings import representatives, usable
+from ..operators.graph import cut
 from ..runtime import ship
 
 
+#: Files embedded between two appends to the cache.
+ROUND = 100_000
+
+
 class EmbeddingProvider(ABC):
     """Makes vectors of files; instances are sent to tasks."""
 
@@ -83,14 +88,22 @@ def embedded(records: DataFrame, provider: EmbeddingProvider) -> DataFrame:
 class SemanticSession:
     """Vectors of a collection's representatives through the cache, and what they are good for."""
 
-    def __init__(self, records: DataFrame, provider: EmbeddingProvider, store: cache.EmbeddingStore):
-        self.records, self.provider, self.store = records, provider, store
+    def __init__(self, records: DataFrame, provider: EmbeddingProvider, store: cache.EmbeddingStore, round_: int = ROUND):
+        if not provider.is_available():
+            raise ValueError(f"{provider.identifier} can't make vectors here")
+        self.records, self.provider, self.store, self.round = records, provider, store, round_
         self.chosen = representatives(usable(records)).where("content_hash is not null")
 
     def build(self) -> DataFrame:
-        """Embed what the cache lacks, and give (path, embedding) of all representatives."""
-        new = embedded(cache.pending(self.chosen, self.store.rows(), self.provider.identifier), self.provider)
-        self.store.append(new, self.provider.identifier)
+        """Embed what the cache lacks, and give (path, embedding) of all representatives.
+
+        What is pending goes in rounds of about ROUND files, each appended when it's done, so that a crash loses one round.
+        """
+        pending = cut(cache.pending(self.chosen, self.store.rows(), self.provider.identifier))
+        rounds = -(-pending.count() // self.round)
+        for k in range(rounds):
+            some = pending.where(F.pmod(F.xxhash64("content_hash"), F.lit(rounds)) == k)
+            self.store.append(cut(embedded(some, self.provider)), self.provider.identifier)
         return self.embeddings()
 
     def embeddings(self) -> DataFrame:

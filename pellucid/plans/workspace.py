@@ -105,6 +105,10 @@ class Bin:
             self.done = [*self.done, r][-self.levels :]
         return r
 
+    def forget(self) -> None:
+        """Nothing can be undone any more; moved files stay where they are."""
+        self.done, self.undone = [], []
+
     def undo(self) -> Removal | None:
         """Bring back the last removal; files that reappeared are left as they are and reported."""
         if not self.done:

@@ -12,9 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.compare import compare
+from ..operators.findings import reconciled_keepers
 from ..operators.graph import cut
+from ..plans.analysis import Analysis
+from ..plans.workspace import Bin
 
-DEBOUNCE_S = 0.6
+DEBOUNCE_S, LIST_DEBOUNCE_S = 0.6, 0.12
 KEYS = ("byte_size", "modified_at")
 
 
@@ -33,6 +37,7 @@ class Watcher:
     def __init__(self, spark: SparkSession, scan: Callable[[], DataFrame], publish: Callable[[int, DataFrame, DataFrame], None], debounce: float = DEBOUNCE_S):
         self.spark, self.scan, self.publish, self.debounce = spark, scan, publish, debounce
         self.revision, self.snapshot, self.paused = 0, None, False
+        self.running = self.pending = False
 
     def poll(self) -> bool:
         """Scan once; True if a new revision was published.  A paused watcher catches up when it goes on."""
@@ -47,6 +52,21 @@ class Watcher:
         self.publish(self.revision, now, changed)
         return True
 
+    def signal(self) -> bool:
+        """Something changed: scan, or, while a scan runs, once more behind it."""
+        if self.running:
+            self.pending = True
+            return False
+        self.running, done = True, False
+        try:
+            while True:
+                self.pending = False
+                done |= self.poll()
+                if not self.pending:
+                    return done
+        finally:
+            self.running = False
+
     def pause(self) -> None:
         self.paused = True
 
@@ -63,3 +83,71 @@ class Watcher:
                 if not rounds:
                     return
             time.sleep(self.debounce if interval is None else interval)
+
+
+class Latest:
+    """Lets through only results of the newest work; what was begun before counts no more."""
+
+    def __init__(self):
+        self.generation = 0
+
+    def begin(self) -> int:
+        self.generation += 1
+        return self.generation
+
+    def holds(self, generation: int) -> bool:
+        return generation == self.generation
+
+
+class Debounced:
+    """The last value given, once nothing new has come for a while."""
+
+    def __init__(self, delay: float = LIST_DEBOUNCE_S, clock: Callable[[], float] = time.monotonic):
+        self.delay, self.clock, self.held = delay, clock, None
+
+    def give(self, value) -> None:
+        self.held = (value, self.clock() + self.delay)
+
+    def due(self):
+        """The value if it's time, else None."""
+        if self.held is None or self.clock() < self.held[1]:
+            return None
+        value, self.held = self.held[0], None
+        return value
+
+
+class Library:
+    """A collection as it's worked on: its analysis, chosen keepers, removals to undo, and a comparison with it."""
+
+    def __init__(self, records: DataFrame, root: str = "", trash: Bin | None = None):
+        self.analysis, self.trash = Analysis.make(records, root), trash
+        self.keepers = records.sparkSession.createDataFrame([], "group_id string, keeper string")
+        self.revision, self.comparison, self.work = 0, None, Latest()
+
+    def choose(self, keepers: DataFrame) -> None:
+        """Other members to keep: (group_id, keeper)."""
+        self.keepers = cut(self.keepers.join(keepers, "group_id", "left_anti").unionByName(keepers))
+
+    def compare(self, candidates: DataFrame, generation: int | None = None) -> DataFrame | None:
+        """What of candidates the library has; None if newer work began meanwhile."""
+        generation = self.work.begin() if generation is None else generation
+        rows = cut(compare(self.analysis.records, candidates))
+        if not self.work.holds(generation):
+            return None
+        self.comparison = rows
+        return rows
+
+    def refresh(self, records: DataFrame) -> bool:
+        """Take in a new scan if it differs: a new revision, keepers that still hold, nothing to undo, no comparison."""
+        now = cut(records)
+        if changes(self.analysis.records, now, ("byte_size", "modified_at", "content_hash", "problem")).isEmpty():
+            return False
+        self.analysis = Analysis.make(now, self.analysis.root)
+        members = self.analysis.exact_members.select("group_id", "url").unionByName(self.analysis.near[1].select("group_id", "url"))
+        self.keepers = cut(reconciled_keepers(self.keepers, members))
+        if self.trash is not None:
+            self.trash.forget()
+        self.revision += 1
+        self.work.begin()
+        self.comparison = None
+        return True
