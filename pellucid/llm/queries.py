@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, pii_bootstrap, quality_rules, substring_rlz, url_markov
+from . import decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, packing, pii_bootstrap, quality_rules, substring_rlz, url_markov
 
 QUERIES = {
     "op1_html_text": html_mincut.op1_html_text,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": lang_rank.op8_language,
     "op9_url_filter": url_markov.op9_url_filter,
     "op10_mixing": mixing.op10_mixing,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLES = {
