@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, packing, pii_bootstrap, quality_rules, substring_rlz, url_markov
+from . import conversation_repair, decontaminate_fm, html_mincut, lang_rank, lm_bloom, mixing, near_dedup, packing, pii_bootstrap, quality_rules, spelling, substring_rlz, url_markov
 
 QUERIES = {
     "op1_html_text": html_mincut.op1_html_text,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language": lang_rank.op8_language,
     "op9_url_filter": url_markov.op9_url_filter,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_spelling": spelling.op12_spelling,
     "op13_packing": packing.op13_packing,
 }
 
@@ -23,4 +25,6 @@ ORACLES = {
     "op5_near_dedup": near_dedup.ORACLE,
     "op7_decontaminate": decontaminate_fm.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }
