@@ -14,6 +14,7 @@ from .functions.vectors import cohesion_description, norm, normalized, suggested
 from .operators import cache, compare, findings, vectors
 from .operators import similarity as sim
 from .operators.ranking import ranked
+from .operators.vector_index import most_similar
 from .plans.analysis import Analysis
 from .plans.report import csv_field, csv_lines, finding_rows
 from .sources.documents import document_records
@@ -412,12 +413,23 @@ def cluster_cohesion(spark, d):
 
 @query("pairwise_top1", f"WITH {_VEC}, p AS (SELECT a.path, b.path AS other, round(list_dot_product(a.e, b.e), 4) AS s FROM v a JOIN v b ON a.path <> b.path WHERE CAST(a.path[2:] AS BIGINT) % 20 = 0) SELECT path, max(s) AS similarity FROM p GROUP BY path")
 def pairwise_top1(spark, d):
-    """The best other vector of every twentieth, against all: a stated query set, sent in blocks."""
+    """The best other vector of every twentieth, against all: a stated query set."""
     v = _vectors(spark, d).select("path", normalized(F.col("embedding")).alias("embedding"))
     q = v.where(F.substring("path", 2, 8).cast("long") % 20 == 0)
     return vectors.best_others(v, q).select("path", F.round("similarity", 4).alias("similarity"))
 
 
+_TWENTIETH = f"{_VEC}, s AS (SELECT a.path AS query, b.path, list_dot_product(a.e, b.e) AS s FROM v a JOIN v b ON a.path <> b.path WHERE CAST(a.path[2:] AS BIGINT) % 20 = 0)"
+
+
+@query("similar_top60", f"WITH {_TWENTIETH} SELECT query, path, round(s, 4) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, path) AS place FROM s) WHERE place <= 60")
+def similar_top60(spark, d):
+    """The 60 most similar vectors of every twentieth, against all: a stated query set."""
+    v = _vectors(spark, d).select("path", "embedding")
+    found = most_similar(v, v.where(F.substring("path", 2, 8).cast("long") % 20 == 0), vectors.SEARCH_LIMIT)
+    return found.select("query", "path", F.round("similarity", 4).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
 def _cache_rows(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
     return e.select(F.concat(F.lit("h"), (F.col("vec_id") % 200).cast("string")).alias("content_hash"), "embedding", F.col("vec_id").alias("seq"), F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("provider"))

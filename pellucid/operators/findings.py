@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layout import split_ordinal, split_title
 from ..functions.ordering import fidelity_first, keeper_first, keeper_keys, matches_text, natural_key, split_then_path
 from ..schema import PROBLEMS, SPLITS
 from .graph import cut
-from .ranking import ranked
-from .similarity import BITS, COLOR, clusters, spreads
+from .ranking import ranked, ranked_within
+from .similarity import BITS, COLOR, clusters
+from .spread import spreads
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -30,10 +31,11 @@ def problem_summary(problem):
 
 def exact_members(records: DataFrame) -> DataFrame:
     """Usable records that share their content, with group_id and member_rank; rank 1 is the one to keep."""
-    own = Window.partitionBy("content_hash")
-    some = usable(records).where("content_hash is not null").withColumn("n_members", F.count(F.lit(1)).over(own)).where("n_members > 1")
-    ranked = some.withColumn("member_rank", F.row_number().over(own.orderBy(*keeper_first())))
-    return ranked.withColumn("group_id", F.concat(F.lit("exact-"), F.col("content_hash")))
+    some = usable(records).where("content_hash is not null")
+    # partial counts; the rows of one content can be split among tasks in the join and lie in ranges after it
+    shared = some.groupBy("content_hash").count().where("count > 1").select("content_hash")
+    ranks = ranked_within(some.join(shared, "content_hash", "left_semi").select(*records.columns), "content_hash", keeper_first())
+    return ranks.withColumn("group_id", F.concat(F.lit("exact-"), F.col("content_hash")))
 
 
 def group_summary(members: DataFrame) -> DataFrame:
@@ -69,14 +71,12 @@ def fingerprints(records: DataFrame) -> DataFrame:
 
 
 def _grouped(records: DataFrame, found: DataFrame, order, prefix: str) -> DataFrame:
-    found = found.select(F.col("id").alias("url"), F.col("label").alias("component"))
-    members = records.join(found, "url")
-    own = Window.partitionBy("component")
-    members = members.withColumn("member_rank", F.row_number().over(own.orderBy(*order)))
-    first = F.max(F.when(F.col("member_rank") == 1, F.col("relative_path"))).over(own)
-    members = members.withColumn("group_id", F.concat(F.lit(prefix), first))
-    far = spreads(members.select(F.col("component").alias("label"), F.col("perceptual_hash").alias("bits")))
-    return members.join(far.withColumnRenamed("label", "component"), "component")
+    """records with component, member_rank, group_id and the group's spread, computed once; found has (id, label)."""
+    members = records.join(found.select(F.col("id").alias("url"), F.col("label").alias("component")), "url")
+    members = cut(ranked_within(members, "component", order).drop("n_members"))
+    first = members.where("member_rank = 1").select("component", F.concat(F.lit(prefix), "relative_path").alias("group_id"))
+    far = spreads(members.select(F.col("component").alias("label"), F.col("perceptual_hash").alias("bits"))).withColumnRenamed("label", "component")
+    return cut(members.join(first.join(far, "component"), "component"))
 
 
 def near_groups(records: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> tuple[DataFrame, DataFrame]:
@@ -158,10 +158,10 @@ def findings_per_file(records: DataFrame, exact: DataFrame, near: DataFrame, lea
 
 def chosen_keepers(members: DataFrame, keepers: DataFrame) -> DataFrame:
     """members with is_keeper: the user's choice (group_id, keeper) while it's a member, else rank 1."""
-    own = Window.partitionBy("group_id")
-    rows = members.join(keepers.select("group_id", "keeper").dropDuplicates(["group_id"]), "group_id", "left")
-    there = F.max(F.coalesce(F.col("keeper") == F.col("url"), F.lit(False))).over(own)
-    return rows.withColumn("is_keeper", F.when(there, F.col("keeper") == F.col("url")).otherwise(F.col("member_rank") == 1)).drop("keeper")
+    chosen = keepers.select("group_id", "keeper").dropDuplicates(["group_id"])
+    there = chosen.join(members.select("group_id", F.col("url").alias("keeper")), ["group_id", "keeper"], "left_semi")
+    rows = members.join(there, "group_id", "left")
+    return rows.withColumn("is_keeper", F.coalesce(F.col("keeper") == F.col("url"), F.col("member_rank") == 1)).drop("keeper")
 
 
 def redundant_bytes(members: DataFrame) -> DataFrame:

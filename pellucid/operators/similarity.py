@@ -108,11 +108,3 @@ def clusters(rows: DataFrame, threshold: int = BITS, color: int = COLOR, plan: s
     edges = same.select(F.col("d.id").alias("a"), F.col("r.id").alias("b")).unionByName(near.select("a", "b"))
     return components(edges).withColumnRenamed("node", "id")
 
-
-def spreads(members: DataFrame) -> DataFrame:
-    """(label, spread): the greatest distance between two of a group's hashes, from (label, bits); equal hashes count once."""
-    distinct = members.where("bits is not null").select("label", "bits").distinct()
-    a, b = distinct.alias("l"), distinct.alias("r")
-    far = a.join(b, (F.col("l.label") == F.col("r.label")) & (F.col("l.bits") < F.col("r.bits"))).groupBy(F.col("l.label").alias("label")).agg(F.max(hamming(F.col("l.bits"), F.col("r.bits"))).alias("spread"))
-    every = members.select("label").distinct()
-    return every.join(far, "label", "left").select("label", F.coalesce("spread", F.lit(0)).alias("spread"))
