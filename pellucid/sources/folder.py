@@ -1,8 +1,7 @@
 """Records of the image files of a folder.
 
-Discovery asks the Hadoop file system, so any store that Spark can read will do,
-and empty files and names that Spark's file sources skip are found too.  Content
-is read in tasks, in chunks: its SHA-256, its first and last bytes, the box walk
+Discovery is in listing.py: empty files and names that Spark's file sources skip are
+found too.  Content is read in tasks, in chunks: its SHA-256, its first and last bytes, the box walk
 and the header's size.  Pixels come from Spark's image source.
 """
 
@@ -23,34 +22,14 @@ from ..functions.fingerprint import COLUMNS, ROWS, difference_hash
 from ..functions.layout import attributes, relative_to
 from ..functions.ordering import natural_key
 from ..runtime import ship
-from ..schema import EXTENSIONS, RECORD
+from ..schema import RECORD
+from .listing import base_url, discover
 
 CHUNK = 1 << 20
-FILES_A_TASK = 256
 #: Formats that the JVM can decode; of others the pixels stay unknown and no problem is claimed.
 DECODABLE = ("JPEG", "PNG", "GIF", "BMP", "TIFF")
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(url, byte_size, modified_ms) of all files with an image's extension below root; hidden ones and packages' content left out."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
-        raise NotADirectoryError(root)
-    base = fs.getFileStatus(path).getPath().toString().rstrip("/") + "/"
-    rows, files = [], fs.listFiles(path, True)
-    while files.hasNext():
-        f = files.next()
-        url = f.getPath().toString()
-        parts = url[len(base) :].split("/")
-        package = any(p.rpartition(".")[2].lower() in ("app", "bundle", "photoslibrary", "framework") and "." in p for p in parts[:-1])
-        if f.isFile() and not package and not any(p.startswith(".") for p in parts) and parts[-1].rpartition(".")[2].lower() in EXTENSIONS and "." in parts[-1]:
-            rows.append((url, f.getLen(), f.getModificationTime()))
-    df = spark.createDataFrame(rows, "url string, byte_size long, modified_ms long")
-    return df.repartition(max(1, -(-len(rows) // FILES_A_TASK)), "url")
-
-
 def header_size(head: bytes, read, size: int) -> tuple[int, int] | None:
     """Width and height that a file's header states."""
     if head.startswith(b"\x89PNG") and len(head) >= 24:
@@ -182,9 +161,6 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """The records of a folder in natural path order; NotADirectoryError if it's none."""
     ship(spark)
     found = discover(spark, root)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getPath().toString()
     facts = found.mapInArrow(_facts, FACTS)
-    rows = classified(facts, decoded(spark, root), base)
+    rows = classified(facts, decoded(spark, root), base_url(spark, root))
     return rows.orderBy(natural_key(F.col("relative_path")), "relative_path").select(*RECORD.names)

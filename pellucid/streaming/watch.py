@@ -1,7 +1,8 @@
 """Refreshing by snapshots: list again, compare, and analyse anew only if something changed.
 
 Spark's file stream neither tells of deletions nor of a file replaced under its
-own name, so a snapshot of (url, size, time) is compared with the one before.
+own name, so a snapshot of (url, size, time) is compared with the one before: by watch()
+as a stream that survives restarts, or by a Watcher that is polled.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..operators.findings import reconciled_keepers
 from ..operators.graph import cut
 from ..plans.analysis import Analysis
 from ..plans.workspace import Bin
+from ..sources.listing import listings
 
 DEBOUNCE_S, LIST_DEBOUNCE_S = 0.6, 0.12
 KEYS = ("byte_size", "modified_at")
@@ -151,3 +153,58 @@ class Library:
         self.work.begin()
         self.comparison = None
         return True
+
+
+class SnapshotLog:
+    """Published snapshots of a stream of listings, in a shared folder: a folder for each revision, the newest two kept.
+
+    A revision counts once its rows are all written, so a restart goes on from the last one that did.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def revisions(self) -> list[tuple[int, int]]:
+        """(revision, batch) of whole snapshots."""
+        path, fs = self._fs()
+        if not fs.exists(path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        return sorted(tuple(map(int, n.split("-")[1:])) for n in names if n.startswith("revision-") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def snapshot(self, revision: int, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/revision-{revision}-{batch}")
+
+    def write(self, revision: int, batch: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/revision-{revision}-{batch}")
+        path, fs = self._fs()
+        for old in self.revisions()[:-2]:
+            fs.delete(path(f"{self.path}/revision-{old[0]}-{old[1]}"), True)
+
+
+def watch(spark: SparkSession, root: str, state: str, publish: Callable[[int, DataFrame, DataFrame], None], debounce: float = DEBOUNCE_S):
+    """A running stream that calls publish(revision, snapshot, changes) when the listing of root differs from the last published.
+
+    Folders are listed in tasks, a micro-batch for every trigger, never two at a time.  state is a shared folder
+    for Spark's checkpoint and the snapshots.  A restart compares with the last snapshot, so it tells what
+    changed in between, and a batch that's run again is compared with the one before it.
+    """
+    log = SnapshotLog(spark, f"{state.rstrip('/')}/snapshots")
+
+    def step(rows: DataFrame, batch: int) -> None:
+        known = [r for r in log.revisions() if r[1] < batch]
+        now = cut(rows)
+        before = log.snapshot(*known[-1]) if known else now.where("false")
+        changed = cut(changes(before, now, ("byte_size", "modified_ms")))
+        if known and changed.isEmpty():
+            return
+        revision = known[-1][0] + 1 if known else 1
+        log.write(revision, batch, now)
+        publish(revision, log.snapshot(revision, batch), changed)
+
+    stream = listings(spark, root).writeStream.foreachBatch(step)
+    return stream.option("checkpointLocation", f"{state.rstrip('/')}/checkpoint").trigger(processingTime=f"{int(debounce * 1000)} milliseconds").start()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pellucid.operators import compare, ranking, similarity, vectors
+from pellucid.operators import compare, ranking, similarity, vector_index, vectors
 from pellucid.operators.cache import EmbeddingStore
 from pellucid.plans.semantic import HashProvider, SemanticSession
 from pellucid.plans.workspace import Bin, FolderTrash
@@ -143,7 +143,7 @@ def test_many_labels_are_judged_in_blocks(spark, data, monkeypatch):
     want = sorted(map(tuple, vectors.label_suggestions(v.select("path", "embedding"), v.select("path", "label")).collect()))
     monkeypatch.setattr(vectors, "LABEL_BLOCK", 3)
     assert sorted(map(tuple, vectors.label_suggestions(v.select("path", "embedding"), v.select("path", "label")).collect())) == want and want
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 4)
     few = v.where("vec_id % 50 = 0")
     got = {r["path"]: r["similarity"] for r in vectors.best_others(v, few).collect()}
     import numpy as np
