@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import cut
+from .ranking import nth_largest, ranked_within
+
 CAP = 100_000
 COMPACT_FACTOR = 2
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """The newest row for each (provider, content_hash), by seq."""
-    own = Window.partitionBy("provider", "content_hash").orderBy(F.desc("seq"))
-    return rows.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
+    """The newest row for each (provider, content_hash), by seq; a partial result for each task, so that a key's rows needn't meet."""
+    newest = F.max_by(F.struct(*rows.columns), "seq").alias("own")
+    return rows.groupBy("provider", "content_hash").agg(newest).select("own.*")
 
 
 def compacted(rows: DataFrame, cap: int = CAP) -> DataFrame:
-    """The newest row of each key, and of those the newest cap of each provider."""
-    own = Window.partitionBy("provider").orderBy(F.desc("seq"))
-    return latest(rows).withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= cap).drop("_k")
+    """The newest row of each key, and of those the newest cap of each provider; of one seq those of the least hashes.
+
+    The cap-th newest seq of a provider is found by counting, so that its rows are neither sorted nor gathered.
+    """
+    rows = cut(latest(rows))
+    bounds = nth_largest(rows, "provider", "seq", cap)
+    placed = rows.join(F.broadcast(bounds), "provider", "left")  # a row for each provider over its cap
+    kept = placed.where(F.col("least").isNull() | (F.col("seq") > F.col("least"))).select(*rows.columns)
+    even = placed.where(F.col("seq") == F.col("least"))
+    if even.groupBy("provider").agg(F.max("above").alias("above"), F.count(F.lit(1)).alias("n")).where(F.col("above") + F.col("n") > cap).isEmpty():
+        return kept.unionByName(even.select(*rows.columns))
+    ranks = ranked_within(even, "provider", [F.asc("content_hash")], "_rank", "_size")
+    return kept.unionByName(ranks.where(F.col("above") + F.col("_rank") <= cap).select(*rows.columns))
 
 
 def needs_compaction(rows: DataFrame, cap: int = CAP) -> DataFrame:
@@ -70,8 +83,6 @@ class EmbeddingStore:
 
     def compact(self) -> None:
         """Rewrites the folder's providers with their newest rows; a temporary copy keeps readers whole."""
-        from .graph import cut
-
         cut(compacted(self.rows(), self.cap)).write.mode("overwrite").partitionBy("provider").option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
     def load(self, provider: str) -> DataFrame:

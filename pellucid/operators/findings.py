@@ -79,25 +79,49 @@ def _grouped(records: DataFrame, found: DataFrame, order, prefix: str) -> DataFr
     return cut(members.join(first.join(far, "component"), "component"))
 
 
+def near_members(ones: DataFrame, found: DataFrame) -> DataFrame:
+    """Ranked members of look-alikes, from representatives and their components (id, label)."""
+    return _grouped(ones, found, fidelity_first(), "near-")
+
+
+def near_summary(members: DataFrame) -> DataFrame:
+    """The groups of near_members, largest first."""
+    groups = group_summary(members).join(members.where("member_rank = 1").select("group_id", "spread"), "group_id")
+    return numbered(groups, "near", F.col("n_members").desc())
+
+
 def near_groups(records: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(groups, members) of look-alikes among representatives, largest first."""
     ones = cut(representatives(usable(records)))  # read several times below
-    members = _grouped(ones, clusters(fingerprints(ones), threshold, color, plan), fidelity_first(), "near-")
-    groups = group_summary(members).join(members.where("member_rank = 1").select("group_id", "spread"), "group_id")
-    return numbered(groups, "near", F.col("n_members").desc()), members
+    members = near_members(ones, clusters(fingerprints(ones), threshold, color, plan))
+    return near_summary(members), members
 
 
-def leakage_groups(records: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """(groups, members) of look-alikes that lie in more than one split; certain ones first, then the closest."""
-    some = cut(usable(records).where("split is not null"))
-    found = clusters(fingerprints(some), threshold, color, plan)
+def divided(records: DataFrame) -> DataFrame:
+    """The records among which leakage is looked for."""
+    return usable(records).where("split is not null")
+
+
+def leakage_members(some: DataFrame, found: DataFrame) -> DataFrame:
+    """Ranked members of look-alikes that lie in more than one split, from divided records and their components (id, label)."""
     splits = found.join(some.select(F.col("url").alias("id"), "split"), "id").groupBy("label").agg(F.count_distinct("split").alias("n")).where("n > 1")
-    members = _grouped(some, found.join(splits.select("label"), "label", "left_semi"), split_then_path(), "leak-")
+    return _grouped(some, found.join(splits.select("label"), "label", "left_semi"), split_then_path(), "leak-")
+
+
+def leakage_summary(members: DataFrame) -> DataFrame:
+    """The groups of leakage_members, certain ones first, then the closest."""
     twin = members.where("content_hash is not null").groupBy("group_id", "content_hash").agg(F.count_distinct("split").alias("n")).groupBy("group_id").agg(F.max(F.col("n") > 1).alias("identical"))
     names = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(split_ordinal(F.col("split")).alias("k"), split_title(F.col("split")).alias("t")))), lambda x: x["t"]), " ↔ ")
     groups = group_summary(members).join(members.groupBy("group_id").agg(names.alias("splits"), F.max("spread").alias("spread")), "group_id").join(twin, "group_id", "left")
     groups = groups.withColumn("identical", F.coalesce("identical", F.lit(False)))
-    return numbered(groups, "leak", F.col("identical").desc(), F.col("spread").asc()), members
+    return numbered(groups, "leak", F.col("identical").desc(), F.col("spread").asc())
+
+
+def leakage_groups(records: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of look-alikes that lie in more than one split; certain ones first, then the closest."""
+    some = cut(divided(records))
+    members = leakage_members(some, clusters(fingerprints(some), threshold, color, plan))
+    return leakage_summary(members), members
 
 
 def leakage_by_split(members: DataFrame) -> DataFrame:

@@ -58,3 +58,32 @@ def ranked_within(df: DataFrame, group: str, order: list[Column], rank: str = "m
     ).where("parts > 1")
     placed = placed.join(F.broadcast(across.select("of", "part", "before", "total")), ["of", "part"], "left")
     return placed.select("own.*", (F.col("r") + F.coalesce("before", F.lit(0))).cast("int").alias(rank), F.coalesce("total", "n").alias(size))
+
+
+#: Bits of a value that one round of a selection decides.
+DIGIT = 12
+
+
+def nth_largest(df: DataFrame, group: str, value: str, n: int, digit: int = DIGIT) -> DataFrame:
+    """(group, least, above): the n-th largest value of each group that has more than n rows, and how many rows are greater.
+
+    value is a long.  Its bits are decided from the top, some at a time, by counts of the rows that
+    agree so far: rows are only ever counted, at most 2 ** digit counts for each group and task.
+    """
+    flip = F.lit(-(1 << 63)).cast("long")  # order of bits as of numbers
+    high_bits = lambda x, k: F.shiftrightunsigned(x, k) if k < 64 else F.lit(0).cast("long")
+    u = F.col(value).bitwiseXOR(flip)
+    ranges = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.min(value).alias("low"), F.max(value).alias("high")).where(F.col("rows") > n))
+    differ = ranges.agg(F.max(F.length(F.ltrim(F.bin(F.col("low").bitwiseXOR(F.col("high"))), F.lit("0"))))).first()[0]
+    left = int(differ or 0)
+    state = ranges.select(group, high_bits(F.col("low").bitwiseXOR(flip), left).alias("prefix"), F.lit(0).cast("long").alias("above"))
+    while left:
+        width = min(digit, left)
+        inside = df.select(group, high_bits(u, left).alias("prefix"), high_bits(u, left - width).alias("next")).join(state, [group, "prefix"])
+        counts = inside.groupBy(group, "above", "next").agg(F.count(F.lit(1)).alias("n"))
+        # those that share a prefix differ in some low bits only, which are in order as they are
+        down = Window.partitionBy(group).orderBy(F.desc(F.col("next").bitwiseAND(F.lit((1 << width) - 1))))  # at most 2 ** width rows
+        upto = counts.withColumn("upto", F.col("above") + F.sum("n").over(down))
+        state = cut(upto.where((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n)).select(group, F.col("next").alias("prefix"), (F.col("upto") - F.col("n")).alias("above")))
+        left -= width
+    return state.select(group, F.col("prefix").bitwiseXOR(flip).alias("least"), "above")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pellucid.operators import spread
-from pellucid.operators.ranking import ranked, ranked_within
+from pellucid.operators.cache import compacted, latest
+from pellucid.operators.ranking import nth_largest, ranked, ranked_within
 
 
 def signed(x):
@@ -95,3 +96,32 @@ def test_spread_of_a_long_chain_takes_few_comparisons(spark, monkeypatch):
         assert spread.spreads(df).first()["spread"] == farthest(hashes)
         monkeypatch.undo()
         assert sum(met) < n * (n - 1) / 2 / 10, met
+
+
+def test_nth_largest_against_a_sort(spark):
+    """Wide and narrow ranges, ties, the ends of a long, groups of n rows or fewer."""
+    rng = random.Random(6)
+    values = {"wide": [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [2**63 - 1, -(2**63)], "dense": list(range(400)), "ties": [7] * 50 + [3] * 100, "few": [1, 2, 3]}
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in own], "g string, v long").repartition(4)
+    for n in (3, 60):
+        got = {r["g"]: (r["least"], r["above"]) for r in nth_largest(df, "g", "v", n, digit=5).collect()}
+        want = {g: (x := sorted(own, reverse=True)[n - 1], sum(v > x for v in own)) for g, own in values.items() if len(own) > n}
+        assert got == want
+
+
+def test_newest_of_a_provider(spark):
+    """As a sort gives them: the newest of each key, the newest cap of a provider, ties by hash; one key has a third of all rows."""
+    rng = random.Random(2)
+    rows = [(f"h{rng.randrange(90)}" if k % 3 else "hot", [float(k)], k * 10**12, rng.choice(["a", "a", "b"])) for k in range(600)] + [(f"t{k:02}", [0.5], 5, "c") for k in range(40)]
+    df = spark.createDataFrame(rows, "content_hash string, embedding array<float>, seq long, provider string").repartition(3)
+    newest = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        newest[r[3], r[0]] = r
+    assert {tuple(map(str, r)) for r in latest(df).collect()} == {tuple(map(str, r)) for r in newest.values()}
+    for cap in (1, 17, 1000):
+        want = set()
+        for p in "abc":
+            want |= {r[:1] + r[2:] for r in sorted((r for r in newest.values() if r[3] == p), key=lambda r: (-r[2], r[0]))[:cap]}
+        out = compacted(df, cap)
+        assert {(r["content_hash"], r["seq"], r["provider"]) for r in out.collect()} == want and out.columns == df.columns
+    assert compacted(df.where("false"), 5).count() == 0
