@@ -23,6 +23,7 @@ from ..functions.layout import attributes, relative_to
 from ..functions.ordering import natural_key
 from ..runtime import ship
 from ..schema import RECORD
+from .headers import header_size
 from .listing import base_url, discover
 
 CHUNK = 1 << 20
@@ -30,28 +31,6 @@ CHUNK = 1 << 20
 DECODABLE = ("JPEG", "PNG", "GIF", "BMP", "TIFF")
 
 
-def header_size(head: bytes, read, size: int) -> tuple[int, int] | None:
-    """Width and height that a file's header states."""
-    if head.startswith(b"\x89PNG") and len(head) >= 24:
-        return int.from_bytes(head[16:20], "big"), int.from_bytes(head[20:24], "big")
-    if head[:6] in (b"GIF87a", b"GIF89a") and len(head) >= 10:
-        return int.from_bytes(head[6:8], "little"), int.from_bytes(head[8:10], "little")
-    if head.startswith(b"BM") and len(head) >= 26:
-        return int.from_bytes(head[18:22], "little", signed=True), abs(int.from_bytes(head[22:26], "little", signed=True))
-    if head[:4] == b"RIFF" and head[8:16] == b"WEBPVP8X" and len(head) >= 30:
-        return 1 + int.from_bytes(head[24:27], "little"), 1 + int.from_bytes(head[27:30], "little")
-    if head.startswith(b"\xff\xd8"):
-        at = 2
-        while at + 9 < size:
-            marker = read(at, 9)
-            if len(marker) < 9 or marker[0] != 0xFF:
-                return None
-            if 0xC0 <= marker[1] <= 0xCF and marker[1] not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(marker[7:9], "big"), int.from_bytes(marker[5:7], "big")
-            at += 2 + int.from_bytes(marker[2:4], "big")
-    return None
-
-
 FACTS = "url string, byte_size long, modified_ms long, content_hash string, head binary, tail binary, boxes string, width int, height int"
 
 
