@@ -15,5 +15,7 @@ class ScanProgress:
 
     @property
     def fraction(self) -> float | None:
-        """At most 1; None while the total isn't known."""
-        return None if not self.total else min(1.0, self.processed / self.total)
+        """At most 1; None while the total isn't known, 1 when an empty folder is done."""
+        if not self.total:
+            return 1.0 if self.phase == PHASES[-1] else None
+        return min(1.0, self.processed / self.total)

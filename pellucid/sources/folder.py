@@ -136,10 +136,24 @@ def classified(facts: DataFrame, pixels: DataFrame, root: str) -> DataFrame:
     )
 
 
+def read_facts(found: DataFrame, read=None) -> DataFrame:
+    """FACTS of the files of discover(); read counts the files of each batch, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _facts(batches):
+            if read is not None:
+                read.add(out.num_rows)
+            yield out
+
+    return found.mapInArrow(run, FACTS)
+
+
+def in_path_order(records: DataFrame) -> DataFrame:
+    return records.orderBy(natural_key(F.col("relative_path")), "relative_path").select(*RECORD.names)
+
+
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """The records of a folder in natural path order; NotADirectoryError if it's none."""
     ship(spark)
-    found = discover(spark, root)
-    facts = found.mapInArrow(_facts, FACTS)
-    rows = classified(facts, decoded(spark, root), base_url(spark, root))
-    return rows.orderBy(natural_key(F.col("relative_path")), "relative_path").select(*RECORD.names)
+    facts = read_facts(discover(spark, root))
+    return in_path_order(classified(facts, decoded(spark, root), base_url(spark, root)))

@@ -8,7 +8,9 @@ as a stream that survives restarts, or by a Watcher that is polled.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,18 +90,36 @@ class Watcher:
 
 
 class Latest:
-    """Lets through only results of the newest work; what was begun before counts no more."""
+    """Lets through only results of the newest work; the Spark jobs of what was begun before are cancelled."""
 
-    def __init__(self):
-        self.generation = 0
+    def __init__(self, spark: SparkSession | None = None):
+        self.spark, self.generation, self.name = spark, 0, f"work-{uuid.uuid4().hex}"
+
+    def tag(self, generation: int) -> str:
+        return f"{self.name}-{generation}"
 
     def begin(self) -> int:
         self.generation += 1
+        if self.spark is not None:
+            self.spark.sparkContext.cancelJobsWithTag(self.tag(self.generation - 1))
         return self.generation
 
     def holds(self, generation: int) -> bool:
         return generation == self.generation
 
+    @contextmanager
+    def running(self, generation: int) -> Iterator[None]:
+        """Jobs of this thread belong to a generation; what a cancelled job raises ends the block quietly."""
+        sc, tag = self.spark.sparkContext, self.tag(generation)
+        sc.addJobTag(tag)
+        try:
+            yield
+        except Exception:
+            if self.holds(generation):
+                raise
+        finally:
+            sc.removeJobTag(tag)
+
 
 class Debounced:
     """The last value given, once nothing new has come for a while."""
@@ -124,16 +144,18 @@ class Library:
     def __init__(self, records: DataFrame, root: str = "", trash: Bin | None = None):
         self.analysis, self.trash = Analysis.make(records, root), trash
         self.keepers = records.sparkSession.createDataFrame([], "group_id string, keeper string")
-        self.revision, self.comparison, self.work = 0, None, Latest()
+        self.revision, self.comparison, self.work = 0, None, Latest(records.sparkSession)
 
     def choose(self, keepers: DataFrame) -> None:
         """Other members to keep: (group_id, keeper)."""
         self.keepers = cut(self.keepers.join(keepers, "group_id", "left_anti").unionByName(keepers))
 
     def compare(self, candidates: DataFrame, generation: int | None = None) -> DataFrame | None:
-        """What of candidates the library has; None if newer work began meanwhile."""
+        """What of candidates the library has; None if newer work began meanwhile, which also cancels the jobs of this one."""
         generation = self.work.begin() if generation is None else generation
-        rows = cut(compare(self.analysis.records, candidates))
+        rows = None
+        with self.work.running(generation):
+            rows = cut(compare(self.analysis.records, candidates))
         if not self.work.holds(generation):
             return None
         self.comparison = rows
