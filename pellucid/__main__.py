@@ -21,7 +21,7 @@ def main(args: list[str] | None = None) -> int:
     from .plans.report import export
     from .sources.folder import scan_folder
 
-    spark = SparkSession.builder.appName("pellucid").getOrCreate()
+    spark = SparkSession.builder.appName("pellucid").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     analysis = Analysis.make(scan_folder(spark, given.folder), given.folder)
     for name, value in analysis.health.first().asDict().items():
         print(f"{name}: {value}")

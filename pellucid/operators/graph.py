@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,14 +17,20 @@ from ..runtime import ship
 ONE_TASK = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's checkpoint folder; a private folder only in local mode, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a private one only in local mode, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder; its files go with it if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

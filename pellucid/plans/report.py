@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.ordering import natural_key
 from ..operators import findings
+from ..operators.graph import cut, shared_dir
+from ..sources.stores import store
 from .analysis import Analysis
 
 HEADER = "finding,file,group,detail"
+#: Bytes of a report that the driver copies at a time.
+PIECE = 1 << 20
 
 
 def finding_rows(analysis: Analysis, keepers: DataFrame | None = None) -> DataFrame:
-    """(section, number, member_rank, natural, finding, file, group, detail): a row for each file and reason."""
+    """(section, number, member_rank, natural, finding, file, group, detail, byte_size): a row for each file and reason."""
     spark = analysis.records.sparkSession
     keepers = keepers if keepers is not None else spark.createDataFrame([], "group_id string, keeper string")
     path = F.col("relative_path")
@@ -22,10 +30,10 @@ def finding_rows(analysis: Analysis, keepers: DataFrame | None = None) -> DataFr
 
     def rows(members: DataFrame, groups: DataFrame, section: int, finding: str, detail) -> DataFrame:
         named = members.join(groups.select("group_id", "number", "name", *(c for c in ("splits", "identical") if c in groups.columns)), "group_id")
-        return named.select(F.lit(section).alias("section"), "number", "member_rank", *head, F.lit(finding).alias("finding"), path.alias("file"), F.col("name").alias("group"), detail.alias("detail"))
+        return named.select(F.lit(section).alias("section"), "number", "member_rank", *head, F.lit(finding).alias("finding"), path.alias("file"), F.col("name").alias("group"), detail.alias("detail"), "byte_size")
 
     bad = analysis.problems.select(
-        F.lit(0).alias("section"), F.lit(0).alias("number"), F.lit(0).alias("member_rank"), *head, F.lit("Won't open").alias("finding"), path.alias("file"), F.lit("").alias("group"), findings.problem_summary(F.col("problem")).alias("detail")
+        F.lit(0).alias("section"), F.lit(0).alias("number"), F.lit(0).alias("member_rank"), *head, F.lit("Won't open").alias("finding"), path.alias("file"), F.lit("").alias("group"), findings.problem_summary(F.col("problem")).alias("detail"), "byte_size"
     )
     role = lambda other: F.when(F.col("is_keeper"), "keeping").otherwise(other)
     exact = rows(findings.chosen_keepers(analysis.exact_members, keepers), analysis.exact_groups, 1, "Exact duplicate", role("redundant copy"))
@@ -41,16 +49,15 @@ def csv_field(value):
     return F.when(value.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
+ORDER = ("section", "number", "member_rank", "natural", "file")
+
+
 def csv_lines(analysis: Analysis, keepers: DataFrame | None = None) -> DataFrame:
     """(line) in the report's order, without the header."""
-    rows = finding_rows(analysis, keepers).orderBy("section", "number", "member_rank", "natural", "file")
+    rows = finding_rows(analysis, keepers).orderBy(*ORDER)
     return rows.select(F.concat_ws(",", *(csv_field(F.col(c)) for c in ("finding", "file", "group", "detail"))).alias("line"))
 
 
-def csv_text(analysis: Analysis, keepers: DataFrame | None = None) -> str:
-    return "\n".join([HEADER, *(r["line"] for r in csv_lines(analysis, keepers).toLocalIterator())]) + "\n"
-
-
 def byte_text(n: int) -> str:
     """Bytes in decimal units, as file managers show them."""
     if n < 1000:
@@ -63,50 +70,118 @@ def byte_text(n: int) -> str:
     return str(n)
 
 
+def byte_column(n: Column) -> Column:
+    """byte_text of a column."""
+    out = None
+    for k, (unit, places) in reversed(list(enumerate((("kB", 0), ("MB", 1), ("GB", 2), ("TB", 2)), 1))):
+        size = n / F.lit(1000.0**k)
+        shown = F.regexp_replace(F.format_string(f"%.{places}f", F.bround(size, places)), r"(\.[0-9]*?)0+$", "$1")
+        text = F.concat(F.regexp_replace(shown, r"\.$", ""), F.lit(f" {unit}"))
+        out = text if out is None else F.when(size < 999.5, text).otherwise(out)
+    return F.when(n == 1, F.lit("1 byte")).when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(out)
+
+
 def escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
-def _section(title: str, note: str, headers: list[str], rows: list[list[str]]) -> str:
-    out = [f"<h2>{escape(title)}</h2><p>{escape(note)}</p>"]
-    if not rows:
-        return out[0] + "<p>Nothing found.</p>"
-    out.append("<table><tr>" + "".join(f"<th>{escape(h)}</th>" for h in headers) + "</tr>")
-    out += ["<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows]
-    return "".join(out) + "</table>"
+def escaped(value: Column) -> Column:
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(c), F.lit(name))
+    return value
 
 
-def html_text(analysis: Analysis, keepers: DataFrame | None = None) -> str:
-    """One self-contained page."""
+#: Sections of the page: title, note and columns; what a section's rows show follows in html_lines.
+SECTIONS = (
+    ("Won't open", "What is in them isn't a whole picture.", ("File", "Problem")),
+    ("Exact duplicates", "Equal in every byte; one of each group is enough.", ("Files", "Group", "Recoverable")),
+    ("Near duplicates", "Alike to the eye; look before removing any.", ("Files", "Group", "Recoverable")),
+    ("Split leakage", "What a model is tested on, it should not have seen.", ("Files", "Splits", "Certainty")),
+    ("Folder balance", "Images of each label.", ("Folder", "Images")),
+)
+LAST = (1 << 31) - 1
+
+
+def html_lines(analysis: Analysis, keepers: DataFrame | None = None) -> DataFrame:
+    """(line) of the page in order.  A line holds one file, so a group's row is as many lines as it has members, and nothing is gathered."""
+    spark = analysis.records.sparkSession
     h = analysis.health.first()
-    sections: dict[int, dict[int, list]] = {0: {}, 1: {}, 2: {}, 3: {}}
-    for r in finding_rows(analysis, keepers).orderBy("section", "number", "member_rank", "natural", "file").toLocalIterator():
-        sections[r["section"]].setdefault(r["number"], []).append(r)
-    title = analysis.root.rstrip("/").rpartition("/")[2]
-    tiles = {"Images": h["n_images"], "Won't open": h["n_problems"], "Exact groups": h["n_exact_groups"], "Redundant copies": h["n_redundant"], "Recoverable": byte_text(h["reclaimable_bytes"]), "Near duplicates": h["n_near_images"], "Split leakage": h["n_leaks"]}
-    body = f"<h1>{escape(title)}</h1><p>{h['n_images']} images, {byte_text(h['n_bytes'])}, scanned {analysis.scanned_at:%Y-%m-%d %H:%M}</p>"
-    body += "<ul>" + "".join(f"<li>{escape(k)}: {escape(str(v))}</li>" for k, v in tiles.items()) + "</ul>"
-    body += _section("Won't open", "What is in them isn't a whole picture.", ["File", "Problem"], [[escape(r["file"]), escape(r["detail"])] for g in sections[0].values() for r in g])
-    for k, name, note in ((1, "Exact duplicates", "Equal in every byte; one of each group is enough."), (2, "Near duplicates", "Alike to the eye; look before removing any.")):
-        body += _section(name, note, ["Files", "Group"], [["<br>".join(f"{escape(r['file'])} ({escape(r['detail'])})" for r in g), escape(g[0]["group"])] for g in sections[k].values()])
-    leaks = [["<br>".join(escape(r["file"]) for r in g), *(escape(x) for x in g[0]["detail"].rsplit(", ", 1))] for g in sections[3].values()]
-    body += _section("Split leakage", "What a model is tested on, it should not have seen.", ["Files", "Splits", "Certainty"], leaks)
+    found = cut(finding_rows(analysis, keepers))
+    groups = found.where("group <> ''").groupBy("section", "number").agg(F.max("member_rank").alias("last"), F.sum(F.when(F.col("detail").startswith("keeping"), F.lit(0)).otherwise(F.col("byte_size"))).alias("more"))
+    rows = found.join(groups, ["section", "number"], "left")
+    cell = lambda *x: F.concat(F.lit("</td><td>"), *x)
+    file, detail = escaped(F.col("file")), escaped(F.col("detail"))
+    both = F.concat(file, F.lit(" ("), detail, F.lit(")"))
+    leak = F.split(detail, ", ")
+    splits, certainty = F.array_join(F.slice(leak, 1, F.greatest(F.size(leak) - 1, F.lit(1))), ", "), F.element_at(leak, -1)
+    opening = F.when((F.col("section") == 0) | (F.col("member_rank") == 1), F.lit("<tr><td>")).otherwise(F.lit("<br>"))
+    shown = F.when(F.col("section") == 0, F.concat(file, cell(detail))).when(F.col("section") == 3, file).otherwise(both)
+    more = F.when(F.col("section") == 3, F.concat(cell(splits), cell(certainty))).otherwise(F.concat(cell(escaped(F.col("group"))), cell(byte_column(F.col("more")))))
+    closing = F.when(F.col("section") == 0, F.lit("</td></tr>")).when(F.col("member_rank") == F.col("last"), F.concat(more, F.lit("</td></tr>"))).otherwise(F.lit(""))
+    rows = rows.select(*ORDER, F.concat(opening, shown, closing).alias("line"))
+    filled = {r[0] for r in rows.select("section").distinct().collect()}  # four at most
     if h["has_labels"]:
-        rows = findings.label_tally(analysis.records).orderBy("place").collect()
-        body += _section("Folder balance", "Images of each label.", ["Folder", "Images"], [[escape(r["name"]), str(r["n"])] for r in rows])
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body>{body}<p>Version {__version__}</p></body></html>'
+        tally = findings.label_tally(analysis.records)
+        filled.add(4)
+        line = F.concat(F.lit("<tr><td>"), escaped(F.col("name")), cell(F.col("n").cast("string")), F.lit("</td></tr>"))
+        rows = rows.unionByName(tally.select(F.lit(4).alias("section"), F.col("place").cast("int").alias("number"), F.lit(0).alias("member_rank"), natural_key(F.col("name")).alias("natural"), F.col("name").alias("file"), line.alias("line")))
+
+    title = escape(analysis.root.rstrip("/").rpartition("/")[2])
+    tiles = {"Images": h["n_images"], "Won't open": h["n_problems"], "Exact groups": h["n_exact_groups"], "Redundant copies": h["n_redundant"], "Recoverable": byte_text(h["reclaimable_bytes"]), "Near duplicates": h["n_near_images"], "Split leakage": h["n_leaks"]}
+    head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><p>{h["n_images"]} images, {byte_text(h["n_bytes"])}, scanned {analysis.scanned_at:%Y-%m-%d %H:%M}</p>'
+    frame = [(-1, 0, head + "<ul>" + "".join(f"<li>{escape(k)}: {escape(str(v))}</li>" for k, v in tiles.items()) + "</ul>")]
+    for k, (name, note, columns) in enumerate(SECTIONS):
+        opened = f"<h2>{escape(name)}</h2><p>{escape(note)}</p>"
+        if k in filled:
+            frame += [(k, -1, opened + "<table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in columns) + "</tr>"), (k, LAST, "</table>")]
+        elif k < 4:
+            frame.append((k, -1, opened + "<p>Nothing found.</p>"))
+    frame.append((len(SECTIONS), 0, f"<p>Version {__version__}</p></body></html>"))
+    edges = spark.createDataFrame(frame, "section int, number int, line string")
+    edges = edges.select("section", "number", F.lit(0).alias("member_rank"), F.array().cast(rows.schema["natural"].dataType).alias("natural"), F.lit("").alias("file"), "line")
+    return rows.unionByName(edges).orderBy(*ORDER).select("line")
+
+
+def report_lines(path: str, analysis: Analysis, keepers: DataFrame | None = None) -> tuple[list[str], DataFrame]:
+    """The lines before, and the (line) that follow: CSV for names that end in .csv, HTML for all others."""
+    return ([HEADER], csv_lines(analysis, keepers)) if path.lower().endswith(".csv") else ([], html_lines(analysis, keepers))
 
 
 def contents(path: str, analysis: Analysis, keepers: DataFrame | None = None) -> str:
-    """CSV for names that end in .csv, HTML for all others."""
-    return csv_text(analysis, keepers) if path.lower().endswith(".csv") else html_text(analysis, keepers)
+    """The whole report as one text; export() writes large ones."""
+    first, lines = report_lines(path, analysis, keepers)
+    return "".join(f"{x}\n" for x in (*first, *(r["line"] for r in lines.toLocalIterator())))
+
+
+def csv_text(analysis: Analysis, keepers: DataFrame | None = None) -> str:
+    return contents("report.csv", analysis, keepers)
+
+
+def html_text(analysis: Analysis, keepers: DataFrame | None = None) -> str:
+    """One self-contained page."""
+    return contents("report.html", analysis, keepers)
 
 
 def export(path: str, analysis: Analysis, keepers: DataFrame | None = None) -> None:
-    """Write the report, whole or not at all."""
-    import os
+    """Write the report, whole or not at all.
 
-    temporary = f"{path}.new"
-    with open(temporary, "w", encoding="utf-8", newline="") as f:
-        f.write(contents(path, analysis, keepers))
-    os.replace(temporary, path)
+    Tasks write its lines, in ranges, to the shared folder; the ranges are copied behind one another into a
+    new file, a piece at a time, which then takes the report's name at once.  So the driver holds a piece, however long the report is.
+    """
+    first, lines = report_lines(path, analysis, keepers)
+    spark = analysis.records.sparkSession
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    source, at = store(folder)
+    target, to = store(path)
+    try:
+        with target.open_output_stream(f"{to}.new") as out:
+            out.write("".join(f"{x}\n" for x in first).encode())
+            for f in sorted(source.get_file_info(pa.fs.FileSelector(at)), key=lambda f: f.base_name):
+                if f.base_name.startswith("part-"):
+                    with source.open_input_stream(f.path) as part:
+                        while piece := part.read(PIECE):
+                            out.write(piece)
+        target.move(f"{to}.new", to)
+    finally:
+        source.delete_dir(at)

@@ -17,7 +17,6 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..runtime import ship
+from .stores import store
 
 MAGIC = b"VECLOG01"
 VERSION = 1
@@ -37,13 +37,6 @@ SPLIT_BYTES, STEP_BYTES = 64 << 20, 4 << 20
 SCHEMA = "content_hash string, embedding array<float>, seq long"
 
 
-def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """Where path lies; plain paths and file: are local."""
-    if "://" in path and not path.startswith("file:"):
-        return pa.fs.FileSystem.from_uri(quote(path, safe=":/"))
-    return pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-
-
 def header(provider: str, dimension: int) -> bytes:
     return MAGIC + struct.pack("<II", VERSION, dimension) + provider.encode()[:NAME_BYTES].ljust(NAME_BYTES, b"\0")
 
@@ -59,7 +52,7 @@ def records(keys: list[str], vectors: np.ndarray) -> bytes:
 def write_log(path: str, provider: str, entries: list[tuple[str, list[float]]]) -> None:
     """Replace a file by a few entries, at once; save_log writes the rows of a DataFrame."""
     dimension = len(entries[0][1]) if entries else 0
-    fs, at = _store(path)
+    fs, at = store(path)
     with fs.open_output_stream(f"{at}.new") as f:
         f.write(header(provider, dimension))
         if entries:
@@ -76,7 +69,7 @@ class _File:
 
 def _files(path: str, provider: str, dimension: int | None) -> list[_File] | None:
     """The files of a log in order, by their headers; None if one isn't of this provider and dimension."""
-    fs, at = _store(path)
+    fs, at = store(path)
     kind = fs.get_file_info(at).type
     if kind == pa.fs.FileType.NotFound:
         return None
@@ -123,7 +116,7 @@ class _Reader(DataSourceReader):
         file, size = partition.file, KEY_BYTES + 4 * partition.file.width
         if not partition.n:
             return
-        fs, at = _store(self.options["path"])[0], file.path
+        fs, at = store(self.options["path"])[0], file.path
         step = max(1, STEP_BYTES // size)
         with fs.open_input_file(at) as f:
             for k in range(0, partition.n, step):
@@ -153,7 +146,7 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        fs, at = _store(self.options["path"])
+        fs, at = store(self.options["path"])
         fs.create_dir(at, recursive=True)
         name, width, out = f"log-{self.run}-{context.partitionId():06}-{context.taskAttemptId()}", 0, None
         try:
@@ -175,7 +168,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(context.partitionId(), name if out is not None else None, width)
 
     def commit(self, messages: list) -> None:
-        fs, at = _store(self.options["path"])
+        fs, at = store(self.options["path"])
         written = sorted((m for m in messages if m is not None and m.name), key=lambda m: m.part)
         if len({m.width for m in written}) > 1:
             self.abort(messages)
@@ -193,7 +186,7 @@ class _Writer(DataSourceArrowWriter):
                 fs.delete_file(f.path)
 
     def abort(self, messages: list) -> None:
-        fs, at = _store(self.options["path"])
+        fs, at = store(self.options["path"])
         for m in messages:
             if m is not None and m.name:
                 fs.delete_file(f"{at}/{m.name}")
