@@ -6,18 +6,21 @@ sources/documents.py, and REC below for the same relation in SQL.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import completeness, fingerprint, layout, ordering
-from .functions.vectors import cohesion_description, norm, normalized, suggested_cluster_count
+from .functions.vectors import cohesion_description, norm, normalized, suggested_clusters
 from .operators import cache, compare, findings, vectors
 from .operators import similarity as sim
 from .operators.ranking import ranked
+from .operators.spread import spreads
 from .operators.vector_index import most_similar
 from .plans.analysis import Analysis
 from .plans.report import csv_field, csv_lines, finding_rows
 from .sources.documents import document_records
+from .streaming.live import LiveFindings
 from .streaming.watch import changes
 
 QUERIES: dict = {}
@@ -139,9 +142,12 @@ def layout_attributes(spark, d):
 _FOLDERS = [("train", "train"), ("Training", "train"), ("trainval", "train"), ("val", "validation"), ("VALID", "validation"), ("validation", "validation"), ("dev", "validation"), ("test", "test"), ("testing", "test"), ("Eval", "test"), ("holdout", "test"), ("tests", None), ("cats", None), ("", None)]
 
 
-@query("split_matching", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _FOLDERS) + ") AS t(folder, split)")
+@query("split_matching", f"SELECT doc_id, ([{', '.join('NULL' if b is None else repr(b) for _, b in _FOLDERS)}])[CAST(length(text) % {len(_FOLDERS)} + 1 AS BIGINT)] AS split FROM documents")
 def split_matching(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _FOLDERS], "folder string").select("folder", layout.split_of(F.col("folder")).alias("split"))
+    """The split that a folder's name stands for; each document lies in one of the names in question."""
+    names = F.array(*(F.lit(a) for a, _ in _FOLDERS))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", layout.split_of(F.get(names, (F.char_length("text") % len(_FOLDERS)).cast("int"))).alias("split"))
 
 
 @query("copy_name_flag", rec_sql("SELECT doc_id, regexp_extract(relative_path, '[^/]*$') AS file_name, is_copy FROM rec"))
@@ -586,9 +592,44 @@ def suggestions_by_margin(spark, d):
     return ranked(rows, vectors.suggestion_order()).select("path", "place")
 
 
-@query("suggested_counts", "SELECT CAST(n AS INTEGER) AS n, CAST(CASE WHEN n <= 3 THEN greatest(1, n) ELSE least(24, greatest(2, floor(sqrt(n / 2.0) + 0.5))) END AS INTEGER) AS k FROM range(0, 3000) t(n)")
+@query("suggested_counts", "SELECT source, lang, n, CAST(CASE WHEN n <= 3 THEN greatest(1, n) ELSE least(24, greatest(2, floor(sqrt(n / 2.0) + 0.5))) END AS INTEGER) AS k FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)")
 def suggested_counts(spark, d):
-    return spark.createDataFrame([(n, suggested_cluster_count(n)) for n in range(3000)], "n int, k int")
+    """The suggested number of clusters for the documents of each source and language."""
+    counts = spark.read.parquet(f"{d}/documents.parquet").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("k", suggested_clusters(F.col("n")))
+
+
+_STEP = f"""{_VEC}, c0 AS (SELECT row_number() OVER (ORDER BY path) - 1 AS c, e AS centre FROM v ORDER BY path LIMIT 5),
+a0 AS (SELECT path, e, arg_max(c, {{'s': list_dot_product(e, centre), 'c': -c}}) AS c FROM v, c0 GROUP BY path, e),
+u AS (SELECT c, i, sum(e[i]) AS x FROM (SELECT c, e, unnest(range(1, 65)) AS i FROM a0) GROUP BY c, i),
+c1 AS (SELECT c, list(CAST(CAST(x / size AS FLOAT) AS DOUBLE) ORDER BY i) AS centre FROM u JOIN (SELECT c, sqrt(sum(x * x)) AS size FROM u GROUP BY c) USING (c) GROUP BY c)"""
+
+
+@query("kmeans_step", f"WITH {_STEP} SELECT path, CAST(arg_max(c, {{'s': list_dot_product(e, centre), 'c': -c}}) AS INTEGER) AS cluster, round(max(list_dot_product(e, centre)), 4) AS score FROM v, c1 GROUP BY path")
+def kmeans_step(spark, d):
+    """One step of k-means from the first five vectors as centres: assigned, moved, assigned."""
+    v = _vectors(spark, d).select("path", "embedding")
+    first = [r["embedding"] for r in v.orderBy("path").limit(5).collect()]
+    points = v.withColumn("i", F.xxhash64("path"))
+    return vectors.lloyd(points, np.array(first, np.float32), 1).select("path", "cluster", F.round("score", 4).alias("score"))
+
+
+@query("label_spreads", rec_sql("SELECT a.label, CAST(max(bit_count(xor(a.bits, b.bits))) AS INTEGER) AS spread FROM rec a JOIN rec b ON a.label = b.label AND a.bits <= b.bits GROUP BY a.label"))
+def label_spreads(spark, d):
+    """The two least alike files of each label."""
+    return spreads(records(spark, d).where("perceptual_hash is not null").select("label", F.col("perceptual_hash").alias("bits")))
+
+
+@query("live_near_groups", ORACLES["near_groups"])
+def live_near_groups(spark, d):
+    """Near groups after a batch of changes: files come, are replaced and go; what is left is the whole table."""
+    r = records(spark, d).drop("doc_id")
+    number = F.regexp_extract("relative_path", "doc([0-9]+)", 1).cast("long")
+    stray = r.where(number % 11 == 0).withColumns({"url": F.concat("url", F.lit("#stray")), "content_hash": F.sha1("content_hash")})
+    early = r.where(number % 5 != 0).withColumn("perceptual_hash", F.when(number % 9 == 0, F.bitwise_not("perceptual_hash")).otherwise(F.col("perceptual_hash")))
+    live = LiveFindings(early.unionByName(stray), leakage=False)
+    live.apply(r.where((number % 5 == 0) | (number % 9 == 0)), stray.select("url"))
+    return live.near_groups.select("group_id", "n_members", "reclaimable_bytes", "first_path", "spread", F.col("number").cast("long").alias("number"))
 
 
 @query("kmeans_invariants", "SELECT count(*) AS n_points, true AS each_once, true AS ids_from_zero, true AS larger_first, true AS ranks_dense, true AS best_first FROM embeddings")

@@ -33,3 +33,8 @@ def suggested_cluster_count(n: int) -> int:
     if n <= 3:
         return max(1, n)
     return min(24, max(2, int((n / 2) ** 0.5 + 0.5)))
+
+
+def suggested_clusters(n: Column) -> Column:
+    """suggested_cluster_count of a column."""
+    return F.when(n <= 3, F.greatest(F.lit(1), n)).otherwise(F.least(F.lit(24), F.greatest(F.lit(2), F.floor(F.sqrt(n / 2) + 0.5)))).cast("int")

@@ -42,7 +42,9 @@ class LookAlikes:
     def changed(self, added: DataFrame, removed: DataFrame) -> tuple[LookAlikes, DataFrame]:
         """The graph without the ids of removed and with the rows (id, bits, color) of added, and (label): what groups, old and new, are other than before."""
         added = cut(added.where("bits is not null").withColumn("key", _print_key()))
-        lost = self.rows.join(removed.select("id").unionByName(added.select("id")).distinct(), "id", "left_semi")
+        lost = cut(self.rows.join(removed.select("id").unionByName(added.select("id")).distinct(), "id", "left_semi"))
+        if lost.isEmpty() and added.isEmpty():
+            return self, lost.select(F.col("key").alias("label"))
         rows = cut(self.rows.join(lost.select("id"), "id", "left_anti").unionByName(added.select("id", "key")))
         gone = cut(lost.select("key").distinct().join(rows.select("key"), "key", "left_anti"))
         fresh = cut(added.groupBy("key").agg(F.first("bits").alias("bits"), F.first("color").alias("color")).join(self.prints.select("key"), "key", "left_anti"))
@@ -50,12 +52,14 @@ class LookAlikes:
 
         # components that lost a fingerprint are joined up again
         broken = cut(self.prints.join(gone, "key", "left_semi").select("label").distinct())
-        left = cut(old.join(broken, "label", "left_semi").select("key"))
-        edges = self.edges.join(gone.select(F.col("key").alias("a")), "a", "left_anti").join(gone.select(F.col("key").alias("b")), "b", "left_anti").select("a", "b")
-        again = components(edges.join(left.select(F.col("key").alias("a")), "a", "left_semi")).select(F.col("node").alias("key"), F.col("label").alias("now"))
-        whole = old.join(broken, "label", "left_anti").select("key", "bits", "color", "label")
-        mended = old.join(left, "key", "left_semi").join(again, "key", "left").select("key", "bits", "color", F.coalesce("now", "key").alias("label"))
-        prints = cut(whole.unionByName(mended).unionByName(fresh.select("key", "bits", "color", F.col("key").alias("label"))))
+        left, edges, whole = old.where("false").select("key"), self.edges, old.select("key", "bits", "color", "label")
+        if not broken.isEmpty():
+            left = cut(old.join(broken, "label", "left_semi").select("key"))
+            edges = edges.join(gone.select(F.col("key").alias("a")), "a", "left_anti").join(gone.select(F.col("key").alias("b")), "b", "left_anti").select("a", "b")
+            again = components(edges.join(left.select(F.col("key").alias("a")), "a", "left_semi")).select(F.col("node").alias("key"), F.col("label").alias("now"))
+            mended = old.join(left, "key", "left_semi").join(again, "key", "left").select("key", "bits", "color", F.coalesce("now", "key").alias("label"))
+            whole = old.join(broken, "label", "left_anti").select("key", "bits", "color", "label").unionByName(mended)
+        prints = cut(whole.unionByName(fresh.select("key", "bits", "color", F.col("key").alias("label"))))
 
         # only new fingerprints are compared with others
         side = lambda df: df.select(F.col("key").alias("id"), "bits", "color")
@@ -80,14 +84,14 @@ class LookAlikes:
 
 
 class LiveFindings:
-    """The findings of a collection that changes."""
+    """The findings of a collection that changes; leakage is looked for if wanted."""
 
-    def __init__(self, records: DataFrame, threshold: int = BITS, color: int = COLOR):
+    def __init__(self, records: DataFrame, threshold: int = BITS, color: int = COLOR, leakage: bool = True):
         spark = records.sparkSession
         none = records.where("false")
         self.records, self.ones, self.exact_members = none, none, findings.exact_members(none)
         self._near, self._leaks = LookAlikes.empty(spark, threshold, color), LookAlikes.empty(spark, threshold, color)
-        self.near_members = self.leakage_members = None
+        self.near_members, self.leakage_members, self.leakage = None, None, leakage
         self.apply(records, spark.createDataFrame([], "url string"))
 
     def apply(self, added: DataFrame, removed: DataFrame) -> None:
@@ -110,6 +114,8 @@ class LiveFindings:
         self._near, touched = self._near.changed(findings.fingerprints(new), before.select(F.col("url").alias("id")))
         self.near_members = self._renewed(self.near_members, touched, findings.near_members(self.ones, self._near.found(touched)))
 
+        if not self.leakage:
+            return
         # all files of a split, not one of each content
         split = findings.divided(added)
         self._leaks, touched = self._leaks.changed(findings.fingerprints(split), gone.select(F.col("url").alias("id")))

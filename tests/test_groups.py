@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pellucid.operators import spread
+from pellucid.operators import spread, vectors
 from pellucid.operators.cache import compacted, latest
 from pellucid.operators.ranking import nth_largest, ranked, ranked_within
 
@@ -125,3 +125,16 @@ def test_newest_of_a_provider(spark):
         out = compacted(df, cap)
         assert {(r["content_hash"], r["seq"], r["provider"]) for r in out.collect()} == want and out.columns == df.columns
     assert compacted(df.where("false"), 5).count() == 0
+
+
+def test_clusters_by_one_task_and_by_many_are_the_same(spark):
+    """Fifty thousand points with copies, mirror images and points halfway between: every number is the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_000, 8))
+    signs = rng.choice([-1.0, 1.0], size=(10_000, 8))
+    halfway = np.repeat(np.eye(8), 2500, 0)[:10_000] + np.roll(np.eye(8), 1, 1)[np.arange(10_000) % 8]
+    rows = np.concatenate([x, x, x * signs, halfway, np.repeat(x[:10], 1000, 0)]).astype(np.float32)
+    df = spark.createDataFrame([(f"p{k:06}", v) for k, v in enumerate(rows.tolist())], "path string, embedding array<float>").repartition(6).cache()
+    here, there = (vectors.cluster(df, 9, iterations=4, one_task=n).select("path", "cluster_id", "member_rank", "score", "n_members") for n in (10**9, 0))
+    assert here.count() == 50_000 and here.exceptAll(there).isEmpty() and there.exceptAll(here).isEmpty()
+    df.unpersist()
