@@ -210,19 +210,19 @@ def learn(training: DataFrame, profile: int = PROFILE) -> Model:
     return Model(languages, grams, ranks, profile)
 
 
-def judged(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score (replaced if there)."""
+def judged(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with the language and score found, in columns of these names (replaced if there, whatever case)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang_name, score_name)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in flat.steps(batches, "text", STEP_BYTES):
             lang, score = sent.value.judge(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, lang_name, score_name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
