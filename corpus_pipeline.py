@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pellucid.llm import decontaminate_fm, lang_rank, mixing, near_dedup, pii_bootstrap
-from pellucid.llm.common import remove, shared_dir, table
+from pellucid.llm.common import remove, shared_dir, table, unused
 
 #: Documents less like every language's profile than this are rejected.
 LEAST_SCORE = 0.05
@@ -25,8 +25,9 @@ NEAR_PER_CENT = 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found; profiles are learned from the documents of the folds that op8 trains on."""
     model = lang_rank.learn(docs.where(lang_rank.fold(F.col("doc_id")) % 3 != 1).select("lang", "text"))
-    named = lang_rank.judged(docs, model)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = unused(docs.columns, "lang_pred"), unused(docs.columns, "score")
+    named = lang_rank.judged(docs, model, lang, score)
+    return named.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
