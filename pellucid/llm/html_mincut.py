@@ -319,9 +319,9 @@ def main_text(page: str | None) -> str:
 
 
 def extracted(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages without the html column, with text and n_chars (replaced if there)."""
+    """pages without the html column, with text and n_chars (replaced if there, whatever case)."""
     ship(pages.sparkSession)
-    rest = [c for c in pages.columns if c not in (column, "text", "n_chars")]
+    rest = [c for c in pages.columns if c.lower() not in (column.lower(), "text", "n_chars")]
     schema = T.StructType([*(pages.schema[c] for c in rest), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
