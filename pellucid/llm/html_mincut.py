@@ -3,7 +3,11 @@
 A page is read into blocks, the runs of text between block-level tags.  A
 linear classifier over a block's ancestors, links and wording gives the log-odds
 of content; softplus costs of either label become the capacities of the block's
-terminal edges.  Neighbours in page order and blocks of the same parent are tied
+terminal edges.  What an element's tag or name says counts for all that it holds, but
+not for wrappers of a page: where elements that look like boilerplate leave hardly any prose
+outside them, the one with most of it is taken for a wrapper, and only what is named within it
+counts.  Siblings of one shape that each hold a short line beside sentences (a name, a date, a link to
+answer) are records, such as readers' comments.  Neighbours in page order and blocks of the same parent are tied
 by smoothness edges, the weaker the farther apart they stand in the tree.  The
 maximum flow between the terminals separates content from boilerplate.
 
@@ -17,6 +21,7 @@ or a script ends there.  Pages are handled one by one where they are read.
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import math
 import re
@@ -57,12 +62,21 @@ _BOILER_NAMES = {
 }
 _CONTENT_NAMES = {"article", "content", "entry", "main", "post", "story", "body", "text"}
 
+#: Elements that never are wrappers of a page.
+_NEVER_WRAPS = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "head"}
+#: Words of a block of prose; words of prose that a page has outside what looks like boilerplate, at most and as a share.
+PROSE_WORDS, OUTSIDE, OUTSIDE_SHARE = 8, 25, 0.2
+#: Words of a short line, and siblings that make a series of records.
+SHORT_WORDS, RECORDS = 5, 3
+
 #: Log-odds of content: the classifier's weights.
 WEIGHTS = {
-    "bias": -0.6, "article": 3.0, "content_name": 1.2, "boiler_tag": -9.0, "boiler_name": -9.0, "hidden": -9.0, "link_share": -4.0, "words": 0.9, "stops": 0.5, "paragraph": 0.8, "heading": 0.5, "list": -0.4,
+    "bias": -0.6, "article": 3.0, "content_name": 1.2, "boiler": -9.0, "hidden": -9.0, "record": -6.0, "link_share": -4.0, "words": 0.9, "stops": 0.5, "paragraph": 0.8, "heading": 0.5, "list": -0.4,
 }
 #: Smoothness between neighbours a tree step apart, and between siblings.
 ADJACENT, SIBLING = 1.2, 0.8
+#: The log-odds that the likeliest block of a page has at least.
+LIKELY = 1.5
 _SCALE = 1000
 
 
@@ -73,9 +87,12 @@ class Node:
     depth: int
     article: bool = False
     content: bool = False
-    boiler_tag: bool = False
-    boiler_name: bool = False
     hidden: bool = False
+    #: What the element's own tag or names say; boiler and record hold for all within, once judged.
+    named: bool = False
+    shape: str = ""
+    boiler: bool = False
+    record: bool = False
 
 
 @dataclass
@@ -90,25 +107,107 @@ class Block:
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     n = Node(tag, parent, parent.depth + 1 if parent else 0)
     if parent:
-        n.article, n.content, n.boiler_tag, n.boiler_name, n.hidden = parent.article, parent.content, parent.boiler_tag, parent.boiler_name, parent.hidden
-    n.article |= tag in ("article", "main")
-    n.boiler_tag |= tag in _BOILER_TAGS
+        n.article, n.content, n.hidden = parent.article, parent.content, parent.hidden
+    main = tag in ("article", "main")
+    n.named, n.shape = tag in _BOILER_TAGS, tag
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role"):
                 words = {w.lower() for w in _NAMES.findall(value)}
                 if tag not in ("html", "body"):  # their names are about the page as a whole
-                    n.boiler_name |= bool(words & _BOILER_NAMES)
+                    n.named |= bool(words & _BOILER_NAMES)
                     n.content |= bool(words & _CONTENT_NAMES)
-                n.article |= name == "role" and bool(words & {"article", "main"})
+                main |= name == "role" and bool(words & {"article", "main"})
+                if name == "class":
+                    n.shape = f"{tag}.{value}"
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 n.hidden = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 n.hidden = True
+    n.article |= main
+    n.named &= not main  # the names of the main element are about its style
     return n
 
 
+def _words(b: Block) -> int:
+    return b.text.count(" ") + 1
+
+
+def _links(b: Block) -> float:
+    return min(1.0, b.link_chars / max(1, len(b.text)))
+
+
+def judge(blocks: list[Block]) -> None:
+    """Say of every element that holds text whether it is boilerplate or one of a series of records."""
+    nodes: dict[int, Node] = {}
+    for b in blocks:
+        n = b.parent
+        while n is not None and id(n) not in nodes:
+            nodes[id(n)] = n
+            n = n.parent
+    # inline elements stand as deep as their parents, so a parent's place is never behind its child's
+    order = sorted(nodes.values(), key=lambda n: n.depth)
+    plain = [b for b in blocks if not b.parent.hidden and _links(b) < 0.5]
+    main = [b for b in plain if b.parent.article]  # a page that says where its article is has nothing else to save
+    prose = main or [b for b in plain if _words(b) >= PROSE_WORDS] or plain
+    own: dict[int, int] = {}
+    short, said = set(), set()
+    for b in blocks:
+        k = id(b.parent)
+        if _words(b) <= SHORT_WORDS and b.text[-1] not in ".!?:" and b.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            short.add(k)
+    for b in plain:
+        if _words(b) > SHORT_WORDS and b.text[-1] in ".!?\"'":
+            said.add(id(b.parent))
+    for b in prose:
+        own[id(b.parent)] = own.get(id(b.parent), 0) + _words(b)
+    total = sum(own.values())
+    series: dict[tuple[int, str], list[Node]] = {}
+    for n in reversed(order):
+        if n.parent is None:
+            continue
+        k, above = id(n), id(n.parent)
+        own[above] = own.get(above, 0) + own.get(k, 0)
+        if k in short and k in said and n.tag not in _INLINE:
+            series.setdefault((above, n.shape), []).append(n)
+        for kind in (short, said):
+            if k in kind:
+                kind.add(above)
+    for held in series.values():
+        if len(held) >= RECORDS:
+            for n in held:
+                n.record = True
+
+    # wrappers: outermost named elements first
+    within: dict[int, list[Node]] = {}
+    above: dict[int, int] = {}
+    for n in order:
+        up = above.get(id(n.parent), 0) if n.parent is not None else 0
+        above[id(n)] = up
+        if n.named:
+            within.setdefault(up, []).append(n)
+            above[id(n)] = id(n)
+    spared: set[int] = set()
+    outer = [(-own.get(id(n), 0), k, n) for k, n in enumerate(within.get(0, []))]
+    outside, need = total + sum(x for x, *_ in outer), 1 if main else min(OUTSIDE, OUTSIDE_SHARE * total)
+    outer = [x for x in outer if x[2].tag not in _NEVER_WRAPS]
+    heapq.heapify(outer)
+    while outer and outside < need and outer[0][0] < 0:
+        words, _, n = heapq.heappop(outer)
+        spared.add(id(n))
+        inner = within.get(id(n), [])
+        outside += -words - sum(own.get(id(x), 0) for x in inner)
+        for x in inner:
+            if x.tag not in _NEVER_WRAPS:
+                heapq.heappush(outer, (-own.get(id(x), 0), len(spared) * len(nodes) + len(outer), x))
+    for n in order:
+        n.boiler = n.named and id(n) not in spared
+        if n.parent is not None:
+            n.boiler |= n.parent.boiler
+            n.record |= n.parent.record
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, without labels."""
     root = Node("", None, 0)
@@ -181,7 +280,7 @@ def blocks_of(page: str) -> list[Block]:
             if k and k > (limits[-1] if limits else 0):
                 shut(k)
         if tag in _INLINE and not attributes.strip():
-            node = Node(tag, stack[-1], stack[-1].depth, *(getattr(stack[-1], x) for x in ("article", "content", "boiler_tag", "boiler_name", "hidden")))
+            node = Node(tag, stack[-1], stack[-1].depth, *(getattr(stack[-1], x) for x in ("article", "content", "hidden")))
         else:
             node = _node(tag, attributes, stack[-1])
         open_.setdefault(tag, []).append(len(stack))
@@ -192,21 +291,21 @@ def blocks_of(page: str) -> list[Block]:
         stack.append(node)
         links += tag == "a"
     close()
+    judge(out)
     return out
 
 
 def log_odds(b: Block) -> float:
-    n, w, chars = b.parent, WEIGHTS, max(1, len(b.text))
-    words = b.text.count(" ") + 1
+    n, w, words = b.parent, WEIGHTS, _words(b)
     stops = b.text.count(". ") + b.text.count(", ") + (b.text[-1] in ".!?")
     return (
         w["bias"]
         + w["article"] * n.article
         + w["content_name"] * n.content
-        + w["boiler_tag"] * n.boiler_tag
-        + w["boiler_name"] * n.boiler_name
+        + w["boiler"] * n.boiler
         + w["hidden"] * n.hidden
-        + w["link_share"] * min(1.0, b.link_chars / chars)
+        + w["record"] * n.record
+        + w["link_share"] * _links(b)
         + w["words"] * min(2.0, math.log2(1 + words) / 4)
         + w["stops"] * min(2.0, math.log2(1 + stops))
         + w["paragraph"] * (b.tag in ("p", "blockquote", "pre"))
@@ -298,8 +397,15 @@ def labels(blocks: list[Block]) -> list[bool]:
     """True for content."""
     source, sink, edges = [], [], []
     last: dict[int, int] = {}
+    for b in blocks:
+        b.log_odds = log_odds(b)
+    # a page that has anything to read has content: its likeliest block, if none is likely
+    free = [b for b in blocks if not (b.parent.boiler or b.parent.hidden or b.parent.record) and _links(b) < 0.5]
+    lift = max(0.0, LIKELY - max((b.log_odds for b in free), default=LIKELY))
+    for b in free:
+        b.log_odds += lift
     for i, b in enumerate(blocks):
-        x = b.log_odds = log_odds(b)
+        x = b.log_odds
         source.append(round(_SCALE * math.log1p(math.exp(min(x, 50.0)))))  # the cost of calling it boilerplate
         sink.append(round(_SCALE * math.log1p(math.exp(min(-x, 50.0)))))
         if i:
