@@ -14,7 +14,7 @@ from .functions import completeness, fingerprint, layout, ordering
 from .functions.vectors import cohesion_description, norm, normalized, suggested_clusters
 from .operators import cache, compare, findings, vectors
 from .operators import similarity as sim
-from .operators.ranking import ranked
+from .operators.ranking import ranked, ranked_within
 from .operators.spread import spreads
 from .operators.vector_index import most_similar
 from .plans.analysis import Analysis
@@ -411,6 +411,14 @@ def kmeans_clusters(spark, d):
     return vectors.cluster(_vectors(spark, d).select("path", "embedding")).select("path", "cluster_id", "member_rank", F.round("score", 4).alias("score"))
 
 
+@query("label_preview", f"WITH {_VEC} SELECT path, label, place, greatest(0, n - 12) AS n_more FROM (SELECT path, label, row_number() OVER (PARTITION BY label ORDER BY round(e[1], 4) DESC, path) AS place, count(*) OVER (PARTITION BY label) AS n FROM v) WHERE place <= 12")
+def label_preview(spark, d):
+    """The first twelve vectors of each label, by their first number, as a cluster shows its members."""
+    v = _vectors(spark, d).withColumn("x", F.round(F.get("embedding", 0), 4))
+    ranks = ranked_within(v.select("path", "label", "x"), "label", [F.desc("x"), F.asc("path")])
+    return vectors.cluster_preview(ranks).select("path", "label", F.col("member_rank").cast("long").alias("place"), "n_more")
+
+
 @query("cluster_cohesion")
 def cluster_cohesion(spark, d):
     rows = vectors.cluster(_vectors(spark, d).select("path", "embedding")).where("member_rank = 1")
