@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..operators import cache, vectors
 from ..operators.findings import representatives, usable
 from ..operators.graph import cut
 from ..runtime import ship
+from ..sources.pixels import Preprocessing, pixel_rows
 
 
 #: Files embedded between two appends to the cache.
@@ -44,6 +46,19 @@ class EmbeddingProvider(ABC):
         return self.embed_text(f"a photo of {text}")
 
 
+class PixelProvider(EmbeddingProvider):
+    """Makes vectors of pixels that other tasks decoded and scaled, so a model sees whole batches of pictures."""
+
+    preprocessing = Preprocessing()
+
+    @abstractmethod
+    def embed_pixels(self, pixels: np.ndarray) -> np.ndarray:
+        """A row for each picture of a batch, n x size x size x 3."""
+
+    def embed(self, urls):
+        raise NotImplementedError("this provider takes pixels")
+
+
 class HashProvider(EmbeddingProvider):
     """Deterministic unit vectors of names, for tests and demonstrations."""
 
@@ -85,13 +100,55 @@ def embedded(records: DataFrame, provider: EmbeddingProvider) -> DataFrame:
     return records.select("url", "content_hash").mapInPandas(run, "content_hash string, embedding array<float>")
 
 
+def embedded_pixels(records: DataFrame, images: DataFrame, provider: PixelProvider) -> DataFrame:
+    """(content_hash, embedding) of the records of one round (some 100,000 names) whose pictures are in images, in the provider's batches.
+
+    A batch that fails is tried one by one.
+    """
+    size = provider.preprocessing.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider.prepare()
+        keys: list[str] = []
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            x = np.stack(held).reshape(-1, size, size, 3)
+            try:
+                got = list(zip(keys, provider.embed_pixels(x), strict=True))
+            except Exception:  # one bad picture must not cost its batch
+                got = []
+                for k, one in zip(keys, x, strict=True):
+                    try:
+                        got.append((k, provider.embed_pixels(one[None])[0]))
+                    except Exception:
+                        continue
+            keys.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([np.asarray(v, np.float32) for _, v in got], pa.list_(pa.float32()))], ["content_hash", "embedding"])
+
+        for b in batches:
+            for k in range(b.num_rows):
+                keys.append(b.column("content_hash")[k].as_py())
+                held.append(b.column("pixels").slice(k, 1).flatten().to_numpy(zero_copy_only=False))
+                if len(held) == provider.batch_size:
+                    yield out()
+        if held:
+            yield out()
+
+    ship(records.sparkSession)
+    # the names of a round are sent to the pictures, so neither those nor their pixels are shuffled
+    named = images.join(F.broadcast(records.select("url", "content_hash")), "url").select("content_hash", "height", "width", "channels", "data")
+    return pixel_rows(named, provider.preprocessing, "content_hash").mapInArrow(run, "content_hash string, embedding array<float>")
+
+
 class SemanticSession:
-    """Vectors of a collection's representatives through the cache, and what they are good for."""
+    """Vectors of a collection's representatives through the cache, and what they are good for; a PixelProvider needs the pictures (images())."""
 
-    def __init__(self, records: DataFrame, provider: EmbeddingProvider, store: cache.EmbeddingStore, round_: int = ROUND):
-        if not provider.is_available():
+    def __init__(self, records: DataFrame, provider: EmbeddingProvider, store: cache.EmbeddingStore, round_: int = ROUND, images: DataFrame | None = None):
+        if not provider.is_available() or isinstance(provider, PixelProvider) and images is None:
             raise ValueError(f"{provider.identifier} can't make vectors here")
-        self.records, self.provider, self.store, self.round = records, provider, store, round_
+        self.records, self.provider, self.store, self.round, self.images = records, provider, store, round_, images
         self.chosen = representatives(usable(records)).where("content_hash is not null")
 
     def build(self) -> DataFrame:
@@ -103,7 +160,8 @@ class SemanticSession:
         rounds = -(-pending.count() // self.round)
         for k in range(rounds):
             some = pending.where(F.pmod(F.xxhash64("content_hash"), F.lit(rounds)) == k)
-            self.store.append(cut(embedded(some, self.provider)), self.provider.identifier)
+            made = embedded_pixels(some, self.images, self.provider) if isinstance(self.provider, PixelProvider) else embedded(some, self.provider)
+            self.store.append(cut(made), self.provider.identifier)
         return self.embeddings()
 
     def embeddings(self) -> DataFrame:

@@ -82,25 +82,36 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         urls, gray, color = [], [], []
         for r in batch.to_pylist():
-            h, w, n = r["height"], r["width"], r["channels"]
+            rgb = rgb_of(r)
             urls.append(r["url"])
-            if h <= 0 or w <= 0:
+            if rgb is None:
                 gray.append(None)
                 color.append(None)
                 continue
-            x = np.frombuffer(r["data"], np.uint8).reshape(h, w, n)
-            rgb = np.repeat(x, 3, 2) if n == 1 else x[:, :, 2::-1]
             luma = rgb @ np.array([[0.299], [0.587], [0.114]])
             gray.append(np.round(area_means(luma, ROWS, COLUMNS)).astype(int).ravel().tolist())
             color.append(np.round(area_means(rgb, 4, 4)).astype(int).ravel().tolist())
         yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(gray, pa.list_(pa.int32())), pa.array(color, pa.list_(pa.int16()))], ["url", "gray", "color_signature"])
 
 
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """(url, height, width, channels, data) of the files that the JVM can decode; height -1 where it fails."""
+    image = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
+    return image.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("url"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+
+
+def rgb_of(row: dict) -> np.ndarray | None:
+    """height x width x 3 bytes of a row of images(); None where decoding failed."""
+    h, w, n = row["height"], row["width"], row["channels"]
+    if h <= 0 or w <= 0:
+        return None
+    x = np.frombuffer(row["data"], np.uint8).reshape(h, w, n)
+    return np.repeat(x, 3, 2) if n == 1 else x[:, :, 2::-1]
+
+
 def decoded(spark: SparkSession, root: str) -> DataFrame:
     """(url, gray, color_signature) of the files that the JVM can decode; null samples where it fails."""
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-    flat = image.select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("url"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return flat.mapInArrow(_samples, "url string, gray array<int>, color_signature array<smallint>")
+    return images(spark, root).mapInArrow(_samples, "url string, gray array<int>, color_signature array<smallint>")
 
 
 def classified(facts: DataFrame, pixels: DataFrame, root: str) -> DataFrame:

@@ -13,9 +13,10 @@ from pellucid.operators import cache, compare, findings, similarity, vectors
 from pellucid.operators.graph import components
 from pellucid.plans import report
 from pellucid.plans.analysis import Analysis
-from pellucid.plans.semantic import HashProvider, SemanticSession
+from pellucid.plans.semantic import HashProvider, PixelProvider, SemanticSession
 from pellucid.schema import RECORD
 from pellucid.sources import embedding_log, folder
+from pellucid.sources.pixels import Preprocessing, model_pixels
 from pellucid.streaming.watch import Watcher, changes
 
 GRAY = [128] * 48
@@ -304,6 +305,35 @@ def test_scan_folder(spark, tmp_path):
         folder.scan_folder(spark, str(tmp_path / "none"))
 
 
+def test_vectors_of_pixels(spark, tmp_path):
+    """Every decodable picture but the one that fails has the vector of its pixels, copies share one, and a second session finds them all cached."""
+
+    class MeanProvider(PixelProvider):
+        """The mean of each channel; fails on a batch with a very bright picture, and on that picture."""
+
+        identifier, batch_size, preprocessing = "mean-3", 3, Preprocessing(16)
+
+        def embed_pixels(self, pixels):
+            if pixels.max() > 1.6:
+                raise ValueError("too bright")
+            return pixels.mean((1, 2))
+
+    for k in range(7):
+        png(tmp_path / f"p{k}.png", blocks(k, 40 + 8 * k) // 4 * (4 if k == 5 else 3))
+    (tmp_path / "copy.png").write_bytes((tmp_path / "p1.png").read_bytes())
+    (tmp_path / "bad.png").write_bytes(b"text")
+    rows = folder.scan_folder(spark, str(tmp_path)).cache()
+    store = cache.EmbeddingStore(spark, str(tmp_path / "store"))
+    session = SemanticSession(rows, MeanProvider(), store, images=folder.images(spark, str(tmp_path)))
+    got = {r["path"].rpartition("/")[2]: r["embedding"] for r in session.build().collect()}
+    assert set(got) == {"copy.png" if "copy.png" in got else "p1.png", "p0.png", "p2.png", "p3.png", "p4.png", "p6.png"}
+    x = model_pixels(blocks(3, 64) // 4 * 3, Preprocessing(16))
+    assert got["p3.png"] == pytest.approx(x.mean((0, 1)).tolist(), abs=1e-5)
+    assert store.count("mean-3") == 6
+    with pytest.raises(ValueError):
+        SemanticSession(rows, MeanProvider(), store)
+
+
 def test_area_means():
     x = np.arange(12.0).reshape(2, 6, 1)
     assert np.allclose(folder.area_means(x, 1, 2)[0, :, 0], [x[:, :3].mean(), x[:, 3:].mean()])
