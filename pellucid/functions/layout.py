@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import SPLITS
 
-#: Folder names that stand for a split.
+#: Folder names that stand for a split.
 SPLIT_NAMES = {
     "train": ("train", "training", "trainval"),
     "validation": ("val", "valid", "validation", "dev"),
