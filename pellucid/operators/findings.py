@@ -54,9 +54,17 @@ def numbered(groups: DataFrame, prefix: str, *order) -> DataFrame:
     return rows.withColumn("number", F.col("number").cast("int")).withColumn("name", F.concat(F.lit(prefix + "-"), F.col("number")))
 
 
+def exact_summary(records: DataFrame) -> DataFrame:
+    """group_summary of exact_members by partial results of each task; no member is ranked."""
+    keys = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keeper_keys())))
+    first = F.min_by(F.struct(F.col("byte_size").alias("size"), F.col("relative_path").alias("path")), keys)
+    groups = usable(records).where("content_hash is not null").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_members"), F.sum("byte_size").alias("total"), first.alias("first"))
+    return groups.where("n_members > 1").select(F.concat(F.lit("exact-"), "content_hash").alias("group_id"), "n_members", (F.col("total") - F.col("first.size")).alias("reclaimable_bytes"), F.col("first.path").alias("first_path"))
+
+
 def exact_groups(records: DataFrame) -> DataFrame:
     """Groups of equal files, most recoverable bytes first."""
-    return numbered(group_summary(exact_members(records)), "exact", F.col("reclaimable_bytes").desc())
+    return numbered(exact_summary(records), "exact", F.col("reclaimable_bytes").desc())
 
 
 def representatives(records: DataFrame) -> DataFrame:
@@ -150,7 +158,7 @@ def split_tally(records: DataFrame) -> DataFrame:
 
 def health(records: DataFrame, near: DataFrame | None = None, leaks: DataFrame | None = None) -> DataFrame:
     """One row of totals; near members and leakage groups are counted if given."""
-    groups = group_summary(exact_members(records))
+    groups = exact_summary(records)
     totals = records.agg(
         F.count(F.lit(1)).alias("n_images"),
         F.coalesce(F.sum("byte_size"), F.lit(0)).alias("n_bytes"),
