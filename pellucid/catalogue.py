@@ -492,7 +492,7 @@ def size_texts(spark, d):
     return records(spark, d).select("url", ordering.size_text(F.col("pixel_size")).alias("size"), ordering.pixel_count(F.col("pixel_size")).alias("pixels"))
 
 
-#: First bytes, last bytes, format and verdict of made-up files, by doc_id modulo their number; the rest of a file is its text.
+#: First bytes, last bytes, format and verdict of made-up files, by doc_id modulo their number; the rest of a file is its text, which may be empty.
 _FILES = [
     ("FFD8FFE000104A4649460001", "FFD90000", "JPEG", "complete"),
     ("FFD8FFE000104A4649460001", "FFD8D900", "JPEG", "truncated"),
@@ -501,7 +501,7 @@ _FILES = [
     ("89504E470D0A1A0A0000000D49484452", "49454E44", "PNG", "truncated"),
     ("474946383961010001008000", "003B", "GIF", "complete"),
     ("474946383761010001008000", "3B00", "GIF", "truncated"),
-    ("524946460800000057454250", "", "WEBP", "complete"),
+    ("524946460800000057454250", "00000000", "WEBP", "complete"),
     ("52494646FFFFFF7F57454250", "", "WEBP", "truncated"),
     ("424D46000000000000003600", "", "BMP", "unknown"),
     ("49492A000800000000000000", "", "TIFF", "unknown"),
