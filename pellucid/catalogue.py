@@ -14,6 +14,7 @@ from .functions import completeness, fingerprint, layout, ordering
 from .functions.vectors import cohesion_description, norm, normalized, suggested_clusters
 from .operators import cache, compare, findings, vectors
 from .operators import similarity as sim
+from .operators.graph import cut
 from .operators.ranking import ranked, ranked_within
 from .operators.spread import spreads
 from .operators.vector_index import most_similar
@@ -213,13 +214,13 @@ def representatives(spark, d):
 
 @query("near_pairs", rec_sql(f"SELECT a.url AS a, b.url AS b, CAST({_APART} AS INTEGER) AS bits_apart FROM rep a JOIN rep b ON a.url < b.url AND {_APART} <= 8 AND (a.color IS NULL OR b.color IS NULL OR {_COLORS})", EXACT))
 def near_pairs(spark, d):
-    f = findings.fingerprints(findings.representatives(findings.usable(records(spark, d))))
+    f = cut(findings.fingerprints(findings.representatives(findings.usable(records(spark, d)))))  # read several times
     return sim.pairs(f, f, ordered=True)
 
 
 @query("near_pairs_banded", rec_sql(f"SELECT a.url AS a, b.url AS b, CAST({_APART} AS INTEGER) AS bits_apart FROM rep a JOIN rep b ON a.url < b.url AND {_APART} <= 12 AND (a.color IS NULL OR b.color IS NULL OR {_COLORS})", EXACT))
 def near_pairs_banded(spark, d):
-    f = findings.fingerprints(findings.representatives(findings.usable(records(spark, d))))
+    f = cut(findings.fingerprints(findings.representatives(findings.usable(records(spark, d)))))  # read several times
     return sim.pairs(f, f, threshold=12, ordered=True, plan="bands")
 
 
