@@ -112,6 +112,7 @@ def divided(records: DataFrame) -> DataFrame:
 
 def leakage_members(some: DataFrame, found: DataFrame) -> DataFrame:
     """Ranked members of look-alikes that lie in more than one split, from divided records and their components (id, label)."""
+    found = cut(found)  # read twice
     splits = found.join(some.select(F.col("url").alias("id"), "split"), "id").groupBy("label").agg(F.count_distinct("split").alias("n")).where("n > 1")
     return _grouped(some, found.join(splits.select("label"), "label", "left_semi"), split_then_path(), "leak-")
 

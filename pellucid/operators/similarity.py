@@ -33,6 +33,8 @@ COLOR = 12
 BROADCAST_ROWS, BROADCAST_BYTES = 5_000, 2 << 20
 #: Hashes that a block has on average, and at most about; comparisons that a task makes at a time; ids of one fingerprint that are expanded together.
 BLOCK, MOST, CELLS, DEALT = 512, 2_048, 1 << 18, 4_096
+#: Comparisons that are worth a task of their own.
+TASK = 1 << 26
 
 
 def bands(threshold: int) -> list[list[int]]:
@@ -81,7 +83,7 @@ def _compared(masks: list[int], threshold: int):
                 x, y = p[pa_[r] : pa_[r + 1]], q[qa[r] : qa[r + 1]]
                 step = max(1, CELLS // len(y))
                 for s in range(0, len(x), step):
-                    i, j = np.nonzero(np.bitwise_count(x[s : s + step, None] ^ y[None, :]) <= threshold)
+                    i, j = np.divmod(np.flatnonzero(np.bitwise_count(x[s : s + step, None] ^ y[None, :]) <= threshold), len(y))
                     i += s
                     d = x[i] ^ y[j]
                     keep = np.bitwise_count(d & first[k]) <= 1
@@ -106,7 +108,8 @@ def close(left: DataFrame, right: DataFrame, threshold: int = BITS, block: int =
     else:
         both = left.select("bits", F.lit(1).alias("sides")).unionByName(right.select("bits", F.lit(2).alias("sides")))
         hashes = cut(both.groupBy("bits").agg(F.bit_or("sides").cast("byte").alias("sides")))
-    used = max(0, (hashes.count() // block).bit_length() - 1)
+    n = hashes.count()
+    used = max(0, (n // block).bit_length() - 1)
     cuts = [b[:used] for b in bands(threshold)]
     masks = [_mask(b) for b in cuts]
     keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("bits").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks)))
@@ -120,6 +123,9 @@ def close(left: DataFrame, right: DataFrame, threshold: int = BITS, block: int =
     meet = meet.join(counted.select("k", F.col("v").alias("w"), F.col("parts").alias("others")), ["k", "w"])
     meet = meet.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).where("v < w or i <= j").select("k", "v", "i", "w", "j")
     met = meet.join(blocks.select("k", "v", "i", F.col("bits").alias("p"), F.col("sides").alias("ps")), ["k", "v", "i"])
+    # dealt by the work, which is not seen from the few bytes of the blocks: by those they'd be put together into one task
+    tasks = min(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks) * (n >> used) * (used + 2) // 2 // TASK))
+    met = met.repartition(max(1, tasks), "k", "w", "j")
     met = met.join(blocks.select("k", F.col("v").alias("w"), F.col("i").alias("j"), F.col("bits").alias("q"), F.col("sides").alias("qs")), ["k", "w", "j"])
     met = met.select("k", ((F.col("v") == F.col("w")) & (F.col("i") == F.col("j"))).alias("same"), "p", "q", "ps", "qs")
     equal = hashes.where("sides = 3").select(F.col("bits").alias("x"), F.col("bits").alias("y"))
@@ -197,14 +203,16 @@ def pairs(left: DataFrame, right: DataFrame, threshold: int = BITS, color: int =
 def clusters(rows: DataFrame, threshold: int = BITS, color: int = COLOR, plan: str = "auto") -> DataFrame:
     """(id, label) of rows (id, bits, color) in components of two or more.
 
-    Rows with equal fingerprints are linked in a chain to the first of them, and
-    only distinct fingerprints are joined, so that many copies make few pairs.
+    The first row of each fingerprint stands for it: only these are joined and joined up, and
+    what is found goes to all rows of a fingerprint, so that copies make neither pairs nor edges.
     """
     rows = rows.where("bits is not null")
     alike = cut(rows.groupBy("bits", "color").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    same = rows.alias("r").join(alike.where("n > 1").alias("d"), (F.col("r.bits") == F.col("d.bits")) & F.col("r.color").eqNullSafe(F.col("d.color"))).where("r.id <> d.id")
     ones = alike.select("id", "bits", "color")
     near = pairs(ones, ones, threshold, color, ordered=True, plan=plan)
-    edges = same.select(F.col("d.id").alias("a"), F.col("r.id").alias("b")).unionByName(near.select("a", "b"))
-    return components(edges).withColumnRenamed("node", "id")
+    joined = components(near.select("a", "b")).withColumnRenamed("node", "id")
+    # the least of the first rows is the least of all rows
+    found = alike.join(joined, "id", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "id"))
+    same = (F.col("r.bits") == F.col("d.bits")) & F.col("r.color").eqNullSafe(F.col("d.color"))
+    return rows.alias("r").join(found.alias("d"), same).select("r.id", "d.label")
 
