@@ -632,7 +632,7 @@ def label_spreads(spark, d):
 @query("live_near_groups", ORACLES["near_groups"])
 def live_near_groups(spark, d):
     """Near groups after a batch of changes: files come, are replaced and go; what is left is the whole table."""
-    r = records(spark, d).drop("doc_id")
+    r = cut(records(spark, d).drop("doc_id"))  # read four times
     number = F.regexp_extract("relative_path", "doc([0-9]+)", 1).cast("long")
     stray = r.where(number % 11 == 0).withColumns({"url": F.concat("url", F.lit("#stray")), "content_hash": F.sha1("content_hash")})
     early = r.where(number % 5 != 0).withColumn("perceptual_hash", F.when(number % 9 == 0, F.bitwise_not("perceptual_hash")).otherwise(F.col("perceptual_hash")))

@@ -11,20 +11,24 @@ from ..functions.layout import attributes
 ROOT = "file:///data"
 
 
-def _signature():
-    """96 characters that stand for a picture: texts of about the same length share them but for a few, others have their own; equal texts have equal ones."""
-    kind, n = F.length("text") % 8, F.length("text")
-    key = F.when(kind < 3, F.concat(F.lit("L"), F.floor(n / 8).cast("string"))).otherwise(F.md5(F.col("text").cast("binary")))
-    whole = F.concat(*(F.md5(F.concat(key, F.lit(x)).cast("binary")) for x in ("", "1", "2")))
+def _signed(docs: DataFrame) -> DataFrame:
+    """docs with signature: 96 characters that stand for a picture; texts of about the same length share them but for a few, others have their own; equal texts have equal ones.
+
+    What is used more than once is a column of its own, or it would be worked out anew at each place, within lambdas by interpretation.
+    """
+    kind, whole = F.col("kind"), F.col("whole")
+    docs = docs.withColumn("kind", F.length("text") % 8)
+    key = F.when(kind < 3, F.concat(F.lit("L"), F.floor(F.length("text") / 8).cast("string"))).otherwise(F.md5(F.col("text").cast("binary")))
+    docs = docs.withColumn("key", key)
+    docs = docs.withColumn("whole", F.concat(*(F.md5(F.concat("key", F.lit(x)).cast("binary")) for x in ("", "1", "2"))))
     few = F.concat(F.substring(whole, 1, 10), F.lit("z"), F.substring(whole, 12, 85))
     more = F.concat(F.substring(whole, 1, 19), F.lit("zazaza"), F.substring(whole, 26, 71))
-    return F.when(kind == 1, few).when(kind == 2, more).otherwise(whole)
+    return docs.withColumn("signature", F.when(kind == 1, few).when(kind == 2, more).otherwise(whole)).drop("kind", "key", "whole")
 
 
 def _code_points(text, first: int, n: int):
-    """The text is bound, so that it's made once for each row."""
-    of = lambda t: F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda k: F.ascii(F.substring(t, k, F.lit(1))))
-    return F.element_at(F.transform(F.array(text), of), 1)
+    """Those of n characters, the first of them counted from 1; text has that many."""
+    return F.transform(F.split(F.substring(text, first, n), "", n), F.ascii)
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(folder, "lang", F.lit("/doc"), i.cast("string"), mark, F.lit(".txt"))
     problem = F.when(F.length("text") == 0, "empty").when(i % 97 == 0, "unreadable").when(i % 89 == 0, "decode_failed").when(F.col("n_chars") < 20, "truncated")
     fine = problem.isNull() & (F.length("text") > 0)
-    rows = docs.withColumns({"relative_path": path, "problem": problem, "signature": _signature()})
+    rows = _signed(docs.withColumns({"relative_path": path, "problem": problem}))
     color = F.when(i % 29 == 0, F.transform(F.sequence(F.lit(1), F.lit(COLOR_SAMPLES)), lambda _: F.lit(255))).otherwise(_code_points(F.col("signature"), 25, COLOR_SAMPLES))
     size = F.struct((F.col("n_chars") % 640 + 1).cast("int").alias("width"), (F.col("n_chars") % 480 + 1).cast("int").alias("height"))
     return rows.select(
