@@ -40,15 +40,19 @@ def keeper_keys() -> list[Column]:
     return [looks_like_copy(file_name(p)), depth(p), natural_key(p), p, F.col("url")]
 
 
-def fidelity_first() -> list[Column]:
-    """Of similar files: more pixels, more bytes, then by path."""
+def fidelity_first(natural: Column | None = None) -> list[Column]:
+    """Of similar files: more pixels, more bytes, then by path; natural is the path's key if it's there."""
     p = F.col("relative_path")
-    return [F.coalesce(pixel_count(F.col("pixel_size")), F.lit(0)).desc(), F.col("byte_size").desc(), natural_key(p).asc(), p.asc(), F.col("url").asc()]
+    return [F.coalesce(pixel_count(F.col("pixel_size")), F.lit(0)).desc(), F.col("byte_size").desc(), *_by_path(natural, p)]
 
 
-def split_then_path() -> list[Column]:
+def split_then_path(natural: Column | None = None) -> list[Column]:
     p = F.col("relative_path")
-    return [split_ordinal(F.col("split")).asc(), natural_key(p).asc(), p.asc(), F.col("url").asc()]
+    return [split_ordinal(F.col("split")).asc(), *_by_path(natural, p)]
+
+
+def _by_path(natural: Column | None, path: Column) -> list[Column]:
+    return [(natural_key(path) if natural is None else natural).asc(), path.asc(), F.col("url").asc()]
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layout import split_ordinal, split_title
-from ..functions.ordering import fidelity_first, keeper_first, keeper_keys, matches_text, natural_key, split_then_path
+from ..functions.ordering import fidelity_first, keeper_keys, matches_text, natural_key, split_then_path
 from ..schema import PROBLEMS, SPLITS
 from .graph import cut
 from .ranking import ranked, ranked_within
@@ -34,7 +34,8 @@ def exact_members(records: DataFrame) -> DataFrame:
     some = usable(records).where("content_hash is not null")
     # partial counts; the rows of one content can be split among tasks in the join and lie in ranges after it
     shared = some.groupBy("content_hash").count().where("count > 1").select("content_hash")
-    ranks = ranked_within(some.join(shared, "content_hash", "left_semi").select(*records.columns), "content_hash", keeper_first())
+    keys = {f"_key{i}": k for i, k in enumerate(keeper_keys())}
+    ranks = ranked_within(some.join(shared, "content_hash", "left_semi").select(*records.columns), "content_hash", [F.col(k).asc() for k in keys], keys=keys)
     return ranks.withColumn("group_id", F.concat(F.lit("exact-"), F.col("content_hash")))
 
 
@@ -50,7 +51,7 @@ def group_summary(members: DataFrame) -> DataFrame:
 
 def numbered(groups: DataFrame, prefix: str, *order) -> DataFrame:
     """groups with number 1.. and name in the given order."""
-    rows = ranked(groups, [*order, natural_key(F.col("first_path")).asc(), F.col("first_path").asc()], "number")
+    rows = ranked(groups, [*order, F.col("_natural").asc(), F.col("first_path").asc()], "number", keys={"_natural": natural_key(F.col("first_path"))})
     return rows.withColumn("number", F.col("number").cast("int")).withColumn("name", F.concat(F.lit(prefix + "-"), F.col("number")))
 
 
@@ -79,9 +80,9 @@ def fingerprints(records: DataFrame) -> DataFrame:
 
 
 def _grouped(records: DataFrame, found: DataFrame, order, prefix: str) -> DataFrame:
-    """records with component, member_rank, group_id and the group's spread, computed once; found has (id, label)."""
+    """records with component, member_rank, group_id and the group's spread, computed once; found has (id, label), order(natural) are the members' keys."""
     members = records.join(found.select(F.col("id").alias("url"), F.col("label").alias("component")), "url")
-    members = cut(ranked_within(members, "component", order).drop("n_members"))
+    members = cut(ranked_within(members, "component", order(F.col("_natural")), keys={"_natural": natural_key(F.col("relative_path"))}).drop("n_members"))
     first = members.where("member_rank = 1").select("component", F.concat(F.lit(prefix), "relative_path").alias("group_id"))
     far = spreads(members.select(F.col("component").alias("label"), F.col("perceptual_hash").alias("bits"))).withColumnRenamed("label", "component")
     return cut(members.join(first.join(far, "component"), "component"))
@@ -89,7 +90,7 @@ def _grouped(records: DataFrame, found: DataFrame, order, prefix: str) -> DataFr
 
 def near_members(ones: DataFrame, found: DataFrame) -> DataFrame:
     """Ranked members of look-alikes, from representatives and their components (id, label)."""
-    return _grouped(ones, found, fidelity_first(), "near-")
+    return _grouped(ones, found, fidelity_first, "near-")
 
 
 def near_summary(members: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def leakage_members(some: DataFrame, found: DataFrame) -> DataFrame:
     """Ranked members of look-alikes that lie in more than one split, from divided records and their components (id, label)."""
     found = cut(found)  # read twice
     splits = found.join(some.select(F.col("url").alias("id"), "split"), "id").groupBy("label").agg(F.count_distinct("split").alias("n")).where("n > 1")
-    return _grouped(some, found.join(splits.select("label"), "label", "left_semi"), split_then_path(), "leak-")
+    return _grouped(some, found.join(splits.select("label"), "label", "left_semi"), split_then_path, "leak-")
 
 
 def leakage_summary(members: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from .graph import cut
 PART_ROWS = 50_000
 
 
-def _in_ranges(df: DataFrame, order: list[Column], *more: Column, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
+def _in_ranges(df: DataFrame, order: list[Column], *more: Column, part_rows: int = PART_ROWS, keys: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
     """(own, part, k, more) and the number of parts: df's columns in ranges of the given order, the k-th row of each part by place."""
-    rows = cut(df)  # sampling reads it before the sort does
+    # sampling reads it before the sort does, and a sort would work keys out for both rows of each comparison
+    rows = cut(df.withColumns(keys or {}))
     parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows)))
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = (rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
@@ -22,12 +23,12 @@ def _in_ranges(df: DataFrame, order: list[Column], *more: Column, part_rows: int
     return cut(rows) if parts > 1 else rows, parts
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "place", part_rows: int = PART_ROWS) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str = "place", part_rows: int = PART_ROWS, keys: dict[str, Column] | None = None) -> DataFrame:
     """df with its place (from 1) in the given order: ranges are sorted each by itself and start where the one before ends.
 
-    order must be total for places to be the same in every run.
+    order must be total for places to be the same in every run.  keys are columns that order names, worked out once.
     """
-    rows, parts = _in_ranges(df, order, part_rows=part_rows)
+    rows, parts = _in_ranges(df, order, part_rows=part_rows, keys=keys)
     if parts == 1:
         return rows.select("own.*", (F.col("k") + 1).alias(name))
     starts, total = [], 0
@@ -38,15 +39,15 @@ def ranked(df: DataFrame, order: list[Column], name: str = "place", part_rows: i
     return rows.join(offsets, "part").select("own.*", (F.col("start") + F.col("k") + 1).alias(name))
 
 
-def ranked_within(df: DataFrame, group: str, order: list[Column], rank: str = "member_rank", size: str = "n_members", part_rows: int = PART_ROWS) -> DataFrame:
-    """df with each row's rank (from 1) in its group by the given order, and the group's size.
+def ranked_within(df: DataFrame, group: str, order: list[Column], rank: str = "member_rank", size: str = "n_members", part_rows: int = PART_ROWS, keys: dict[str, Column] | None = None) -> DataFrame:
+    """df with each row's rank (from 1) in its group by the given order, and the group's size; keys as in ranked.
 
     Rows are dealt to ranges of (group, order), so a large group lies in several parts.  Its
     rows are ranked within each part; the counts of a group in the parts before
     come from a table of (group, part), which holds a group as often as it has parts.  Groups that go across
     parts are two for each part at most; only these are sent to all tasks.
     """
-    rows, parts = _in_ranges(df, [F.col(group).asc(), *order], F.col(group).alias("of"), part_rows=part_rows)
+    rows, parts = _in_ranges(df, [F.col(group).asc(), *order], F.col(group).alias("of"), part_rows=part_rows, keys=keys)
     here = Window.partitionBy("part", "of")
     placed = rows.withColumns({"r": F.row_number().over(here.orderBy("k")), "n": F.count(F.lit(1)).over(here)})
     if parts == 1:
